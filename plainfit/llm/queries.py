@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac, huffman, packing, piece_bpe, topk
+from . import flac, huffman, near, packing, piece_bpe, topk
 
 
 
@@ -69,6 +69,26 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe._with(docs, digest, fields, "text").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of similarity 0.8 and more on runs of five words: each document's class and number of links."""
+    return near.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+             ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y, c = nx.n AND c = ny.n AS same FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 5 * c >= 4 * (nx.n + ny.n - c)),
+r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT d.doc_id, (SELECT min(y) FROM r WHERE r.x = d.doc_id) AS class_id,
+       least(d.doc_id, coalesce((SELECT min(y) FROM l WHERE l.x = d.doc_id AND same), d.doc_id)) AS copy_id,
+       CAST((SELECT count(*) FROM l WHERE l.x = d.doc_id) AS BIGINT) AS n_links
+FROM documents d
+"""
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1024 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -86,8 +106,8 @@ def op10_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_flac, op4_topk, op6_pieces, op8_packing, op10_huffman)}
+    return {f.__name__: f for f in (op2_flac, op4_topk, op6_pieces, op7_jaccard, op8_packing, op10_huffman)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": OP4_SQL}
+    return {"op4_topk": OP4_SQL, "op7_jaccard": OP7_SQL}
