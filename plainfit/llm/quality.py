@@ -1,7 +1,8 @@
 """Quality classifier: ordinal (cumulative-link) regression on graded ratings.
 
 A text is the mean of its tokens' hashed features: each run of non-spaces counts as its lower-cased word and as its
-shape (kinds of characters, repeats taken together).  One weight vector is shared by all grades, and ordered thresholds
+shape (kinds of characters, repeats taken together); the share of tokens that repeat the one before is a feature of
+its own.  One weight vector is shared by all grades, and ordered thresholds
 cut its score: P(grade >= k) = logistic(score - threshold_k).  A fit uses at most ``MAX_ROWS`` rated rows (the first by
 a hash of the id; a documented bound, 6000), whose features reach the driver as sparse counts; every text is scored.
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from itertools import groupby
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import types as T
 from .common import rows_of, text_or_empty
 from .tokens import Memo
 
-BUCKETS, MAX_ROWS, LEAST_DOCUMENTS, EPOCHS, RATE, RIDGE = 1 << 18, 6000, 3, 150, 0.2, 1e-5
+BUCKETS, MAX_ROWS, LEAST_DOCUMENTS, EPOCHS, RATE, RIDGE, GAIN = 1 << 18, 6000, 10, 200, 0.3, 1e-5, 10.0
 _kinds = {c: "x" if c.islower() else "X" if c.isupper() else "9" if c.isdigit() else c for c in map(chr, range(128))}
 
 
@@ -40,6 +42,12 @@ def features(token: str) -> tuple[int, int]:
 
 
 _features = Memo(features, 200_000)
+AGAIN = xxhash.xxh3_64_intdigest("again") % BUCKETS
+
+
+def again(tokens: list[str]) -> float:
+    """The share of tokens that equal the one before."""
+    return sum(map(eq, tokens, tokens[1:])) / len(tokens)
 
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -48,12 +56,12 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     if not tokens:
         return np.empty(0, np.int32), np.empty(0, np.float32)
     ids, counts = np.unique(np.array(_features.all(tokens), dtype=np.int32).ravel(), return_counts=True)
-    return ids, (counts / len(tokens)).astype(np.float32)
+    return np.append(ids, np.int32(AGAIN)), np.append(counts / len(tokens), again(tokens)).astype(np.float32)
 
 
 def rated_sample(docs: DataFrame, ratings: DataFrame, columns: list[Column], id_column: str, most: int) -> DataFrame:
     """(columns..., text) of at most ``most`` ratings' documents, the first by a hash of the id; so few that they may be broadcast."""
-    few = ratings.filter(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("__id"), *columns).orderBy(F.xxhash64("__id"), *[c for c in ["__id"]]).limit(most)
+    few = ratings.filter(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("__id"), *columns).orderBy(F.xxhash64("__id"), "__id").limit(most)
     texts = docs.select(F.col(id_column).cast("long").alias("__id"), text_or_empty().alias("text"))
     return texts.join(F.broadcast(few), "__id").drop("__id")
 
@@ -79,8 +87,7 @@ def fit_ordinal(grades: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray]], l
     keep = np.bincount(ids, minlength=BUCKETS)[ids] >= LEAST_DOCUMENTS
     used, ids = np.unique(ids[keep], return_inverse=True)
     rows, values = rows[keep], values[keep]
-    scale = np.sqrt(np.bincount(ids, values**2, len(used)) / len(grades)) + 1e-9  # steps of equal effect for rare and common
-    values = values / scale[ids] / np.sqrt(len(used))
+    values = values * GAIN
     w, g = np.zeros(len(used)), np.zeros(len(used))
     share = np.array([((grades >= k).sum() + 0.5) / (len(grades) + 1) for k in range(1, levels)])
     cut = np.log((1 - share) / share)
@@ -103,9 +110,9 @@ def fit_ordinal(grades: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray]], l
         d_w = np.bincount(ids, d_score[rows] * values, len(used)) / len(grades) + RIDGE * w
         g += d_w**2
         graw += d_raw**2
-        w -= RATE * 20 * d_w / (np.sqrt(g) + 1e-8)
+        w -= RATE * d_w / (np.sqrt(g) + 1e-8)
         raw -= RATE * d_raw / (np.sqrt(graw) + 1e-8)
-    weights[used] = w / scale / np.sqrt(len(used))
+    weights[used] = w * GAIN
     return Ordinal(weights, np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])])))
 
 
@@ -137,12 +144,12 @@ def score_quality(docs: DataFrame, model: Ordinal, level: int = 1) -> DataFrame:
             word, form = features(token)
             return float(weights[word] + weights[form])
 
-        memo = Memo(weight, 300_000)
+        memo, more = Memo(weight, 300_000), float(weights[AGAIN])
         for batch in rows_of(batches, 2000):
             score = np.zeros(batch.num_rows)
             for i, text in enumerate(batch.column(at).to_pylist()):
                 tokens = text.split()
-                score[i] = sum(memo.all(tokens)) / len(tokens) if tokens else 0.0
+                score[i] = sum(memo.all(tokens)) / len(tokens) + more * again(tokens) if tokens else 0.0
             tails = shared.value.tails(score)
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(tails.sum(axis=1)), pa.array(tails[:, level - 1])], names=[*keep, *names])
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac, huffman, near, packing, piece_bpe, topk
+from . import flac, huffman, lm, near, packing, piece_bpe, pii, quality, topk, toxicity
 
 
 
@@ -19,6 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The key of the registered queries' surrogates; users give their own.
+KEY = b"registered queries"
+
+
+def held_out():
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their personal data replaced."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_pii(docs, KEY)
+
+
 def _flac_digest(doc_id, n_bytes, media, blocks, error):
     if error:
         raise ValueError(f"stored form of {doc_id}: {error}")
@@ -35,6 +50,27 @@ def op2_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.media_features(flac.encode_flac(table(spark, sf_dir, "documents"), "doc_id", "text"), _flac_digest, schema)
 
 
+def op3_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's mean log score under the bigram counts of all others."""
+    return lm.backoff_scores(table(spark, sf_dir, "documents"), 2).withColumn("score", F.round("score", 6))
+
+
+OP3_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents),
+t AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS b, unnest(range(1, len(ws) + 1)) AS i, unnest(list_concat(CASE WHEN len(ws) > 0 THEN [NULL] ELSE [] END, ws[1:len(ws) - 1])) AS a FROM w),
+u AS (SELECT b AS g, count(*) AS c FROM t GROUP BY 1), ud AS (SELECT doc_id, b AS g, count(*) AS c FROM t GROUP BY 1, 2),
+v AS (SELECT a, b, count(*) AS c FROM t WHERE a IS NOT NULL GROUP BY 1, 2), vd AS (SELECT doc_id, a, b, count(*) AS c FROM t WHERE a IS NOT NULL GROUP BY 1, 2, 3),
+k AS (SELECT (SELECT count(*) FROM t) AS n, (SELECT count(*) FROM u) AS v),
+s AS (SELECT t.doc_id, t.n,
+        CASE WHEN t.a IS NOT NULL AND v.c - vd.c > 0 THEN ln((v.c - vd.c) / (ua.c - uad.c))
+             ELSE CASE WHEN t.a IS NULL THEN 0 ELSE ln(0.4) END + ln((ub.c - ubd.c + 1) / (k.n - t.n + k.v + 1)) END AS s
+      FROM t CROSS JOIN k JOIN u ub ON ub.g = t.b JOIN ud ubd ON ubd.g = t.b AND ubd.doc_id = t.doc_id
+      LEFT JOIN u ua ON ua.g = t.a LEFT JOIN ud uad ON uad.g = t.a AND uad.doc_id = t.doc_id
+      LEFT JOIN v ON v.a = t.a AND v.b = t.b LEFT JOIN vd ON vd.a = t.a AND vd.b = t.b AND vd.doc_id = t.doc_id)
+SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, round(avg(s.s), 6) AS score FROM w LEFT JOIN s ON s.doc_id = w.doc_id GROUP BY w.doc_id, w.ws
+"""
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best of all vectors for each vector whose id is divisible by 20."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), 20, "vec_id", "embedding", lambda c: c % 20 == 0)
@@ -50,6 +86,19 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+def grade():
+    """Ratings of three grades: poor; good but toxic; good."""
+    return F.col("quality") * (2 - F.col("toxic"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's expected grade and its chance of being at least good."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"), grade(), 3)
+    scored = quality.score_quality(docs, model)
+    return scored.select("doc_id", "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).cast("int").alias("selected"))
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's piece ids and the text they decode to, as digests."""
     path = public_tokenizers.path("piece_bpe_32k.model")
@@ -94,6 +143,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's noisy-or of its sentences; labels of the held-out fifth are never read."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels").filter(~held_out()), F.col("toxic"))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def _ids_digest(doc_ids, starts, ids):
     cols = [pa.array(doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4")) for x in ids], pa.int64())]
     return pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"])
@@ -106,8 +163,8 @@ def op10_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_flac, op4_topk, op6_pieces, op7_jaccard, op8_packing, op10_huffman)}
+    return {f.__name__: f for f in (op1_surrogates, op2_flac, op3_backoff, op4_topk, op5_quality, op6_pieces, op7_jaccard, op8_packing, op9_toxicity, op10_huffman)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": OP4_SQL, "op7_jaccard": OP7_SQL}
+    return {"op3_backoff": OP3_SQL, "op4_topk": OP4_SQL, "op7_jaccard": OP7_SQL}

@@ -1,6 +1,7 @@
 """Toxicity by multiple-instance learning: labels are on documents, scores are on sentences.
 
-A sentence's chance of being toxic is logistic in the sum of its words' hashed weights; a document is toxic if any
+A sentence's chance of being toxic is logistic in the sum of the hashed weights of its words and of their first 4, 5
+and 6 letters (inflected and compound words share them); a document is toxic if any
 sentence is (noisy-or): 1 - product of (1 - p).  Training maximises the likelihood of the documents' labels through
 the noisy-or, so the weights learn which sentences explain a label; ``locate`` then gives the offending sentences with
 their places.  A fit uses at most ``MAX_ROWS`` labelled rows (the first by a hash of the id; a documented bound, 6000).
@@ -26,15 +27,18 @@ from .common import WORD, rows_of, text_or_empty
 from .quality import rated_sample
 from .tokens import Memo
 
-BUCKETS, MAX_ROWS, LEAST_DOCUMENTS, EPOCHS, RATE, RIDGE, START = 1 << 20, 6000, 4, 200, 0.1, 2e-3, -5.0
+BUCKETS, MAX_ROWS, LEAST_DOCUMENTS, LEAST_Z, EPOCHS, RATE, RIDGE, START = 1 << 20, 6000, 4, 3.5, 300, 0.1, 1e-4, -6.0
+STEMS = (4, 5, 6)
 SENTENCE = re.compile(r"[^.!?\n]+")
 
 
-def bucket(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word) % BUCKETS
+def buckets(word: str) -> tuple[int, ...]:
+    """A word's bucket and those of its first letters; four in all, a short word's own again where it has no more."""
+    own = xxhash.xxh3_64_intdigest(word) % BUCKETS
+    return own, *(xxhash.xxh3_64_intdigest(f"{word[:k]}-") % BUCKETS if len(word) >= k else own for k in STEMS)
 
 
-_buckets = Memo(bucket, 200_000)
+_buckets = Memo(buckets, 200_000)
 
 
 def sentences(text: str) -> list[list[str]]:
@@ -49,7 +53,7 @@ class NoisyOr:
 
 
 def fit_noisy_or(labels: np.ndarray, words: list[np.ndarray], sizes: list[np.ndarray]) -> NoisyOr:
-    """``words``: each document's buckets in order; ``sizes``: the number of words of each of its sentences."""
+    """``words``: each document's buckets in order; ``sizes``: the number of buckets of each of its sentences."""
     weights = np.zeros(BUCKETS, dtype=np.float64)
     if not len(labels):
         return NoisyOr(weights, START - 3)
@@ -58,7 +62,12 @@ def fit_noisy_or(labels: np.ndarray, words: list[np.ndarray], sizes: list[np.nda
     doc_of_sentence = np.repeat(np.arange(len(labels)), [len(s) for s in sizes])
     sentence_of_word = np.repeat(np.arange(len(length)), length)
     pairs = np.unique(ids.astype(np.int64) * len(labels) + doc_of_sentence[sentence_of_word])
-    keep = np.bincount(pairs // len(labels), minlength=BUCKETS)[ids] >= LEAST_DOCUMENTS
+    # Only what occurs clearly more often in toxic documents can explain a label; the rest's weights stay 0.
+    share = np.clip(labels.mean(), 1e-6, 1 - 1e-6)
+    documents = np.bincount(pairs // len(labels), minlength=BUCKETS)
+    toxic = np.bincount(pairs // len(labels), labels[pairs % len(labels)], BUCKETS)
+    explains = (documents >= LEAST_DOCUMENTS) & (toxic - documents * share >= LEAST_Z * np.sqrt(documents * share * (1 - share)))
+    keep = explains[ids]
     used, ids = np.unique(ids[keep], return_inverse=True)
     sentence_of_word = sentence_of_word[keep]
     w, b, gw, gb = np.zeros(len(used)), START, np.zeros(len(used)), 0.0
@@ -90,7 +99,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: Column, id_column: s
             for text in batch.column("text").to_pylist():
                 own = sentences(text)
                 ids.append(np.array(_buckets.all([w for s in own for w in s]), dtype=np.int32).tobytes())
-                sizes.append(np.array([len(s) for s in own], dtype=np.int32).tobytes())
+                sizes.append(np.array([len(s) * (1 + len(STEMS)) for s in own], dtype=np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(ids, pa.binary()), pa.array(sizes, pa.binary())], names=["label", "ids", "sizes"])
 
     rows = sorted(sample.mapInArrow(run, "label int, ids binary, sizes binary").collect(), key=lambda r: (r.label, bytes(r.ids), bytes(r.sizes)))
@@ -98,7 +107,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: Column, id_column: s
 
 
 def _weights_of(model: NoisyOr) -> Memo:
-    return Memo(lambda word: float(model.weights[bucket(word)]), 300_000)
+    return Memo(lambda word: float(sum(model.weights[i] for i in buckets(word))), 300_000)
 
 
 def score_toxicity(docs: DataFrame, model: NoisyOr) -> DataFrame:
