@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, rows_of, text_or_empty
+from .common import WORD, materialise, rows_of, text_or_empty
 from .quality import rated_sample
 from .tokens import Memo
 
@@ -52,24 +52,14 @@ class NoisyOr:
     start: float
 
 
-def fit_noisy_or(labels: np.ndarray, words: list[np.ndarray], sizes: list[np.ndarray]) -> NoisyOr:
-    """``words``: each document's buckets in order; ``sizes``: the number of buckets of each of its sentences."""
+def fit_noisy_or(labels: np.ndarray, used: np.ndarray, words: list[np.ndarray], sizes: list[np.ndarray]) -> NoisyOr:
+    """``used``: the buckets that may have weights; ``words``: each document's places in ``used`` in order; ``sizes``: how many each of its sentences has."""
     weights = np.zeros(BUCKETS, dtype=np.float64)
     if not len(labels):
         return NoisyOr(weights, START - 3)
-    ids = np.concatenate(words) if words else np.empty(0, np.int32)
-    length = np.concatenate(sizes) if sizes else np.empty(0, np.int32)
+    ids, length = np.concatenate(words), np.concatenate(sizes)
     doc_of_sentence = np.repeat(np.arange(len(labels)), [len(s) for s in sizes])
     sentence_of_word = np.repeat(np.arange(len(length)), length)
-    pairs = np.unique(ids.astype(np.int64) * len(labels) + doc_of_sentence[sentence_of_word])
-    # Only what occurs clearly more often in toxic documents can explain a label; the rest's weights stay 0.
-    share = np.clip(labels.mean(), 1e-6, 1 - 1e-6)
-    documents = np.bincount(pairs // len(labels), minlength=BUCKETS)
-    toxic = np.bincount(pairs // len(labels), labels[pairs % len(labels)], BUCKETS)
-    explains = (documents >= LEAST_DOCUMENTS) & (toxic - documents * share >= LEAST_Z * np.sqrt(documents * share * (1 - share)))
-    keep = explains[ids]
-    used, ids = np.unique(ids[keep], return_inverse=True)
-    sentence_of_word = sentence_of_word[keep]
     w, b, gw, gb = np.zeros(len(used)), START, np.zeros(len(used)), 0.0
     positive = labels.astype(bool)
     for _ in range(EPOCHS):
@@ -91,19 +81,43 @@ def fit_noisy_or(labels: np.ndarray, words: list[np.ndarray], sizes: list[np.nda
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: Column, id_column: str = "doc_id", most: int = MAX_ROWS) -> NoisyOr:
     """A model of the 0/1 column ``label`` of ``labels`` by the sentences of the labelled documents."""
-    sample = rated_sample(docs, labels.filter(label.isNotNull()), [label.cast("int").alias("label")], id_column, most)
+    sample = materialise(rated_sample(docs, labels.filter(label.isNotNull()), [label.cast("int").alias("label")], id_column, most), "labelled")
+    whole = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("label"), F.lit(0.0)).alias("share")).first()
+
+    def occur(batches):
+        """In how many documents, and toxic ones, of a batch each bucket occurs."""
+        for batch in rows_of(batches, 500):
+            every, toxic = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for y, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                own = np.unique(np.array(_buckets.all([w for s in sentences(text) for w in s]), dtype=np.int64).ravel())
+                (toxic if y else every).append(own)
+            ids, n = np.unique(np.concatenate(every + toxic), return_counts=True)
+            t = np.bincount(np.searchsorted(ids, np.concatenate(toxic)), minlength=len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64)), pa.array(t.astype(np.int64))], names=["bucket", "n", "t"])
+
+    # Only what occurs clearly more often in toxic documents can explain a label; the other weights stay 0.
+    n, expected = F.col("n"), F.col("n") * float(whole.share)
+    explains = (n >= LEAST_DOCUMENTS) & (F.col("t") - expected >= LEAST_Z * F.sqrt(expected * (1 - float(whole.share))))
+    counts = sample.mapInArrow(occur, "bucket long, n long, t long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    used = np.array(sorted(r.bucket for r in counts.filter(explains).select("bucket").collect()), dtype=np.int64)  # at most one for each bucket
+    shared = docs.sparkSession.sparkContext.broadcast(used)
 
     def run(batches):
-        for batch in rows_of(batches, 1000):
+        place = np.full(BUCKETS, -1, dtype=np.int32)
+        place[shared.value] = np.arange(len(shared.value), dtype=np.int32)
+        for batch in rows_of(batches, 500):
             ids, sizes = [], []
             for text in batch.column("text").to_pylist():
                 own = sentences(text)
-                ids.append(np.array(_buckets.all([w for s in own for w in s]), dtype=np.int32).tobytes())
-                sizes.append(np.array([len(s) * (1 + len(STEMS)) for s in own], dtype=np.int32).tobytes())
+                found = place[np.array(_buckets.all([w for s in own for w in s]), dtype=np.int64).reshape(-1, 1 + len(STEMS))]
+                owner = np.repeat(np.arange(len(own)), [len(s) for s in own])
+                hits = (found >= 0).sum(axis=1)
+                ids.append(found[found >= 0].tobytes())
+                sizes.append(np.bincount(owner, hits, len(own)).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(ids, pa.binary()), pa.array(sizes, pa.binary())], names=["label", "ids", "sizes"])
 
     rows = sorted(sample.mapInArrow(run, "label int, ids binary, sizes binary").collect(), key=lambda r: (r.label, bytes(r.ids), bytes(r.sizes)))
-    return fit_noisy_or(np.array([r.label for r in rows]), [np.frombuffer(r.ids, np.int32) for r in rows], [np.frombuffer(r.sizes, np.int32) for r in rows])
+    return fit_noisy_or(np.array([r.label for r in rows]), used, [np.frombuffer(r.ids, np.int32) for r in rows], [np.frombuffer(r.sizes, np.int32) for r in rows])
 
 
 def _weights_of(model: NoisyOr) -> Memo:
