@@ -165,7 +165,9 @@ def surrogate(key: bytes, kind: str, canonical: str, turn: int = 0) -> str:
     if kind == "card":
         body = canonical[0] + "".join(str(draw.below(10)) for _ in canonical[1:-1])
         return body + draw.of([c for c in "0123456789" if luhn(body + c) == luhn(canonical)])
-    if kind in ("phone", "ssn"):
+    if kind == "phone":  # the first digit stays: it tells trunk prefixes and the world's numbering zones
+        return canonical[0] + alike(draw, canonical[1:])
+    if kind == "ssn":
         return alike(draw, canonical)
     consonants, vowels, endings = SOUNDS[script(canonical)]
     name = "".join(draw.of(consonants) + draw.of(vowels) for _ in range(3 + turn // 8)) + draw.of(consonants)
@@ -179,14 +181,12 @@ def fitted(original: str, kind: str, replacement: str) -> str:
         return replacement.upper() if original.isupper() else replacement
     if kind not in ("phone", "card", "ssn", "iban"):
         return replacement
-    plus = len(re.match(r"\+\d{1,3}(?=[ .(-])|", original)[0]) if kind == "phone" else 0  # the country's code stays
     new = iter(replacement)
-    out = [(c, next(new)) if c.isalnum() else (c, c) for c in original]
-    return "".join(a if i < plus else b for i, (a, b) in enumerate(out))
+    return "".join(next(new) if c.isalnum() else c for c in original)
 
 
 def form(kind: str, canonical: str) -> str:
-    """What two entities of a kind are compared by: a phone number by all its digits but the country's code's stand-in."""
+    """What two entities of a kind are compared by: names of all genders together, in lower case."""
     return f"{kind.split('-')[0]}\0{canonical.lower()}"
 
 

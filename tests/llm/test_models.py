@@ -94,6 +94,12 @@ def test_surrogates_keep_type_format_and_coreference():
     assert pii.rewritten(TEXT, KEY, {})[0] == new != pii.rewritten(TEXT, b"other", {})[0]
 
 
+def test_a_phone_number_is_replaced_alike_however_it_is_written():
+    written = ("+1 (415) 555-8791", "+1 415 555-8791", "+1-415-555-8791")
+    digits = {re.sub(r"\D", "", pii.rewritten(f"call {x} now", KEY, {})[0]) for x in written}
+    assert len(digits) == 1 and len(*digits) == 11 and digits.pop()[0] == "1"
+
+
 @pytest.mark.parametrize("most", [1000, 0])
 def test_collisions_draw_again_until_all_are_distinct(spark, most):
     """Two-digit local parts in one domain must collide; both ways of looking up the repeats give distinct results."""
