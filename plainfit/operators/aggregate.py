@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import row_mean
+from ..plans.order import running
 
 
 def rmse(df: DataFrame, keys: list[str], label: str = "label", pred: str = "pred") -> DataFrame:
@@ -87,12 +88,16 @@ def pareto(df: DataFrame, lo: str, hi: str, by: list[str] | None = None) -> Data
     """Rows that no row with a smaller-or-equal ``lo`` reaches in ``hi``, one of equal ones by the sort order.
 
     Rows are first thinned to the best ``hi`` of each distinct ``lo``, which a partial aggregate does, so the ordered
-    window runs over distinct values only.
+    window runs over distinct values only; without groups it runs range by range.
     """
     by = by or []
     best = df.filter(F.col(lo).isNotNull() & F.col(hi).isNotNull()).groupBy(*by, lo).agg(F.max(hi).alias(hi))
-    before = F.max(hi).over(Window.partitionBy(*by).orderBy(lo).rowsBetween(Window.unboundedPreceding, -1))
-    return best.withColumn("__b", before).filter(F.col("__b").isNull() | (F.col(hi) > F.col("__b"))).drop("__b")
+    if by:
+        before = F.max(hi).over(Window.partitionBy(*by).orderBy(lo).rowsBetween(Window.unboundedPreceding, -1))
+        best = best.withColumn("__b", before)
+    else:
+        best = running(best, lo, hi, "__b", "max")
+    return best.filter(F.col("__b").isNull() | (F.col(hi) > F.col("__b"))).drop("__b")
 
 
 def non_dominated(cands: DataFrame, refs: DataFrame, lo: str, hi: str) -> DataFrame:

@@ -6,12 +6,12 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dist
 from ..plans.gram import gram
-from .aggregate import avg_rank
+from ..plans.order import running, value_ranks
 
 
 @dataclass(frozen=True)
@@ -53,8 +53,7 @@ def mann_whitney(df: DataFrame, value: str, group: str, a, b) -> Test:
     """
     both = df.filter(F.col(group).isin(a, b) & F.col(value).isNotNull())
     by = both.groupBy(value).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col(group) == a).alias("ca"))
-    below = F.coalesce(F.sum("c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = by.withColumn("rank", below + (F.col("c") + 1) / 2).agg(F.sum(F.col("rank") * F.col("ca")).alias("r"), F.sum("c").alias("n"), F.sum("ca").alias("na"), F.sum(F.pow("c", 3) - F.col("c")).alias("ties")).first()
+    r = running(by, value, "c", "below").withColumn("rank", F.col("below") + (F.col("c") + 1) / 2).agg(F.sum(F.col("rank") * F.col("ca")).alias("r"), F.sum("c").alias("n"), F.sum("ca").alias("na"), F.sum(F.pow("c", 3) - F.col("c")).alias("ties")).first()
     na, nb = r.na, r.n - r.na
     u = r.r - na * (na + 1) / 2
     sd = math.sqrt(na * nb / 12 * (r.n + 1 - r.ties / (r.n * (r.n - 1))))
@@ -65,8 +64,7 @@ def mann_whitney(df: DataFrame, value: str, group: str, a, b) -> Test:
 def wilcoxon(df: DataFrame, difference: Column) -> Test:
     """Sum of the ranks of positive differences (zeros left out), normal approximation with tie correction."""
     by = df.select(difference.alias("d")).filter("d <> 0").groupBy(F.abs("d").alias("v")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("d") > 0).alias("cp"))
-    below = F.coalesce(F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = by.withColumn("rank", below + (F.col("c") + 1) / 2).agg(F.sum(F.col("rank") * F.col("cp")).alias("w"), F.sum("c").alias("n"), F.sum(F.pow("c", 3) - F.col("c")).alias("ties")).first()
+    r = running(by, "v", "c", "below").withColumn("rank", F.col("below") + (F.col("c") + 1) / 2).agg(F.sum(F.col("rank") * F.col("cp")).alias("w"), F.sum("c").alias("n"), F.sum(F.pow("c", 3) - F.col("c")).alias("ties")).first()
     sd = math.sqrt(r.n * (r.n + 1) * (2 * r.n + 1) / 24 - r.ties / 48)
     z = (r.w - r.n * (r.n + 1) / 4) / sd
     return Test(r.w, r.n, min(1.0, 2 * dist.normal_sf(abs(z))))
@@ -102,8 +100,15 @@ def pearson(df: DataFrame, x: str, y: str) -> Test:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> Test:
-    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
-    return pearson(avg_rank(avg_rank(rows, [], x, "__x"), [], y, "__y"), "__x", "__y")
+    """Correlation of average ranks, from the counts of the distinct pairs of values."""
+    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("c"))
+    known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    ranks = [value_ranks(known.select(F.col(c).alias(n)), n).select(n, F.col("rank").alias(f"r{n}")) for c, n in ((x, "x"), (y, "y"))]
+    m = gram(pairs.join(ranks[0], "x").join(ranks[1], "y"), {"x": F.col("rx")}, F.col("ry"), weight=F.col("c"))[()]
+    _, s, c, yy, _ = m.centered()
+    r = float(c[0] / math.sqrt(s[0, 0] * yy))
+    t = r * math.sqrt((m.n - 2) / max(1e-300, 1 - r**2))
+    return Test(r, m.n - 2, dist.t_sf2(t, m.n - 2))
 
 
 def partial_corr(df: DataFrame, x: str, y: str, controls: list[str]) -> float:

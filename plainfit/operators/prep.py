@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import clip, numeric
+from ..plans.order import running
 
 
 def to_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -58,10 +59,8 @@ class OrdinalEncoder:
     codes: DataFrame | None = None
 
     def fit(self, train: DataFrame) -> OrdinalEncoder:
-        from pyspark.sql import Window
-
-        levels = train.select(F.col(self.col)).na.drop().distinct()
-        self.codes = levels.withColumn("__code", (F.row_number().over(Window.orderBy(self.col)) - 1).cast("long"))
+        levels = train.select(F.col(self.col)).na.drop().distinct().withColumn("__one", F.lit(1))
+        self.codes = running(levels, self.col, "__one", "__code").select(self.col, F.col("__code").cast("long"))
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions import columns as C
 from .operators import aggregate as A
 from .operators import board as B
+from .operators import glm as M
 from .operators import inference as H
 from .operators import linear as L
 from .operators import prep as P
@@ -267,3 +268,28 @@ def price_inference(spark, sf):
         terms, r2, f = H.ols_inference(rows, "l_extendedprice", xs, cov, "l_suppkey")
         out += [(cov, *map(lambda v: v if isinstance(v, str) else float(v), t), float(r2), float(f)) for t in terms]
     return spark.createDataFrame(out, "cov string, term string, coef double, se double, t double, p double, low double, high double, r2 double, f double")
+
+
+def effects(spark, found) -> DataFrame:
+    return spark.createDataFrame([(e.name, e.coef, e.se, e.ratio) for e in found], "name string, coef double, se double, ratio double")
+
+
+BY_DISCOUNT = "SELECT count(*) FILTER (l_discount > 0.05)::DOUBLE AS n1, count(*) FILTER (l_discount <= 0.05)::DOUBLE AS n0, count(*) FILTER (l_discount > 0.05 AND l_quantity > 25)::DOUBLE AS a1, count(*) FILTER (l_discount <= 0.05 AND l_quantity > 25)::DOUBLE AS a0, CAST(sum(l_quantity) FILTER (l_discount > 0.05) AS DOUBLE) AS s1, CAST(sum(l_quantity) FILTER (l_discount <= 0.05) AS DOUBLE) AS s0 FROM lineitem"
+
+
+@query(f"WITH t AS ({BY_DISCOUNT}) SELECT 'intercept' AS name, round(ln(a0 / (n0 - a0)), 4) AS coef, round(sqrt(1 / a0 + 1 / (n0 - a0)), 4) AS se, round(a0 / (n0 - a0), 4) AS ratio FROM t UNION ALL SELECT 'high', round(ln(a1 * (n0 - a0) / (n1 - a1) / a0), 4), round(sqrt(1 / a0 + 1 / (n0 - a0) + 1 / a1 + 1 / (n1 - a1)), 4), round(a1 * (n0 - a0) / (n1 - a1) / a0, 4) FROM t")
+def logistic_effects(spark, sf):
+    rows = table(spark, sf, "lineitem")
+    return rounded(effects(spark, M.glm(rows, (F.col("l_quantity") > 25).cast("int"), {"high": (F.col("l_discount") > 0.05).cast("int")})), "coef", "se", "ratio", digits=4)
+
+
+@query(f"WITH t AS ({BY_DISCOUNT}) SELECT 'intercept' AS name, round(ln(s0 / n0), 4) AS coef, round(sqrt(1 / s0), 4) AS se, round(s0 / n0, 4) AS ratio FROM t UNION ALL SELECT 'high', round(ln(s1 / n1 / (s0 / n0)), 4), round(sqrt(1 / s0 + 1 / s1), 4), round(s1 / n1 / (s0 / n0), 4) FROM t")
+def poisson_effects(spark, sf):
+    rows = table(spark, sf, "lineitem")
+    return rounded(effects(spark, M.glm(rows, F.col("l_quantity"), {"high": (F.col("l_discount") > 0.05).cast("int")}, "poisson")), "coef", "se", "ratio", digits=4)
+
+
+@query("WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS a, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS b FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL) SELECT round(corr(a, b), 8) AS rho, count(*) AS n FROM r")
+def rank_correlation(spark, sf):
+    found = H.spearman(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice")
+    return spark.createDataFrame([(round(found.statistic, 8), int(found.df) + 2)], "rho double, n long")
