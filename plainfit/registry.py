@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as C
+from .operators import additive as G
 from .operators import aggregate as A
 from .operators import board as B
 from .operators import glm as M
@@ -13,6 +14,7 @@ from .operators import inference as H
 from .operators import linear as L
 from .operators import prep as P
 from .operators.model import Term, TermModel, linear_model
+from .plans.bins import binned
 from .plans.gram import gram
 from .sources import tables as S
 
@@ -293,3 +295,42 @@ def poisson_effects(spark, sf):
 def rank_correlation(spark, sf):
     found = H.spearman(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice")
     return spark.createDataFrame([(round(found.statistic, 8), int(found.df) + 2)], "rho double, n long")
+
+
+@query("SELECT CASE WHEN l_quantity <= 10 THEN 0 WHEN l_quantity <= 20 THEN 1 WHEN l_quantity <= 40 THEN 2 ELSE 3 END AS quantity_bin, CASE WHEN l_discount <= 0.02 THEN 0 WHEN l_discount <= 0.06 THEN 1 ELSE 2 END AS discount_bin, count(*) AS n FROM lineitem WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL AND l_extendedprice IS NOT NULL GROUP BY ALL")
+def bins_meeting(spark, sf):
+    b = binned(table(spark, sf, "lineitem"), ["l_quantity", "l_discount"], F.col("l_extendedprice"), [[10.0, 20.0, 40.0], [0.02, 0.06]])[0]
+    meet = b.meet[b.cells[0], b.cells[1]]
+    return spark.createDataFrame([(i, j, int(meet[i, j])) for i in range(4) for j in range(3) if meet[i, j]], "quantity_bin int, discount_bin int, n long")
+
+
+@query("SELECT l_linenumber, round(avg(l_extendedprice), 4) AS pred, count(*) AS n FROM lineitem GROUP BY 1")
+def backfitted_lines(spark, sf):
+    rows = table(spark, sf, "lineitem")
+    model = G.bin_gam(rows, ["l_linenumber"], F.col("l_extendedprice"), bins=128)
+    return rounded(model.transform(rows).groupBy("l_linenumber").agg(F.max("pred").alias("pred"), F.count(F.lit(1)).alias("n")), "pred", digits=4)
+
+
+FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+
+
+def held_out_error(spark, sf, fit) -> DataFrame:
+    """Test error of what ``fit`` learns on the other rows, by SQL's own split."""
+    rows = table(spark, sf, "lineitem").select(*(F.col(c).cast("double").alias(c) for c in [*FEATURES, "l_extendedprice", "l_orderkey"]), F.expr(HELD_OUT).alias("test"))
+    model = fit(rows.filter("not test"), F.col("l_extendedprice"))
+    return rounded(G.error_of(model, rows.filter("test"), F.col("l_extendedprice")), "rmse", "r2", digits=4)
+
+
+@query()
+def stump_gam_error(spark, sf):
+    return held_out_error(spark, sf, lambda rows, y: G.stump_gam(rows, FEATURES, y, F.col("l_orderkey") % 7 == 0))
+
+
+@query()
+def hinge_lasso_error(spark, sf):
+    return held_out_error(spark, sf, lambda rows, y: G.hinge_lasso(rows, FEATURES, y, F.col("l_orderkey") % 3))
+
+
+@query()
+def symbolic_error(spark, sf):
+    return held_out_error(spark, sf, lambda rows, y: G.symbolic(rows, FEATURES, y, F.col("l_orderkey") % 7 == 0))
