@@ -13,6 +13,8 @@ from .operators import glm as M
 from .operators import inference as H
 from .operators import linear as L
 from .operators import prep as P
+from .operators import teacher as E
+from .operators import tree as R
 from .operators.model import Term, TermModel, linear_model
 from .plans.bins import binned
 from .plans.gram import gram
@@ -334,3 +336,28 @@ def hinge_lasso_error(spark, sf):
 @query()
 def symbolic_error(spark, sf):
     return held_out_error(spark, sf, lambda rows, y: G.symbolic(rows, FEATURES, y, F.col("l_orderkey") % 7 == 0))
+
+
+@query("SELECT l_linenumber, round(avg(l_extendedprice), 4) AS pred, count(*) AS n FROM lineitem GROUP BY 1")
+def tree_lines(spark, sf):
+    rows = table(spark, sf, "lineitem")
+    tree = R.fit_tree(rows, ["l_linenumber"], F.col("l_extendedprice"), max_depth=7)
+    return rounded(tree.transform(rows).groupBy("l_linenumber").agg(F.max("pred").alias("pred"), F.count(F.lit(1)).alias("n")), "pred", digits=4)
+
+
+@query()
+def tree_rules(spark, sf):
+    rows = table(spark, sf, "lineitem")
+    tree = R.shrink(R.fit_tree(rows, FEATURES, F.col("l_extendedprice"), max_depth=4, max_leaves=8), 10.0)
+    return spark.createDataFrame([(i, r.text(), float(r.value), r.n) for i, r in enumerate(tree.rules())], "place int, rule string, value double, n long")
+
+
+@query()
+def corrected_error(spark, sf):
+    def fit(rows, y):
+        m = gram(rows, {c: F.col(c) for c in FEATURES}, y)[()]
+        return E.with_corrector(linear_model(L.ols(m)), rows, FEATURES, y, trees=10)
+
+    rows = table(spark, sf, "lineitem").select(*(F.col(c).cast("double").alias(c) for c in [*FEATURES, "l_extendedprice"]), F.expr(HELD_OUT).alias("test"))
+    scored = fit(rows.filter("not test"), F.col("l_extendedprice")).transform(rows.filter("test"))
+    return rounded(scored.agg(F.sqrt(F.avg(F.pow(F.col("l_extendedprice") - F.col("pred"), 2))).alias("rmse")), "rmse", digits=4)
