@@ -84,10 +84,18 @@ def cross_validated(folds: dict[tuple, Moments], fit) -> float:
 
 
 def lasso_cv(folds: dict[tuple, Moments], n: int = 40, l1_ratio: float = 1.0) -> tuple[Equation, float]:
-    """The path's equation with the least cross-validated error, and its alpha."""
+    """The path's equation with the least cross-validated error, and its alpha; each fold's path starts every fit from the one before."""
     total = sum(list(folds.values())[1:], start=next(iter(folds.values())))
-    best = min((cross_validated(folds, lambda m, a=a: elastic_net(m, a, l1_ratio)), a) for a, _ in lasso_path(total, n, l1_ratio=l1_ratio))
-    return elastic_net(total, best[1], l1_ratio), best[1]
+    alphas = [a for a, _ in lasso_path(total, n, l1_ratio=l1_ratio)]
+    errors = np.zeros(n)
+    for part in folds.values():
+        train, start = total - part, None
+        for i, a in enumerate(alphas):
+            fit = elastic_net(train, a, l1_ratio, start=start)
+            start = fit.coef
+            errors[i] += part.sse(fit.coef, fit.intercept)
+    best = min(zip(errors, alphas, strict=True))[1]
+    return elastic_net(total, best, l1_ratio), best
 
 
 def ridge_gcv(m: Moments, alphas: list[float]) -> tuple[Equation, float]:
