@@ -144,7 +144,7 @@ def totals(blocks: DataFrame, order: int, parts: int) -> DataFrame:
     return asked.groupBy("part").applyInPandas(add, "block long, order int, part int, distinct long, counts binary")
 
 
-def backoff_scores(docs: DataFrame, order: int = 2, id_column: str = "doc_id") -> DataFrame:
+def backoff_scores(docs: DataFrame, order: int = 3, id_column: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, score) of every document."""
     blocks = stored_blocks(docs, id_column)
     total = blocks.agg(F.sum("n")).first()[0] or 0

@@ -71,6 +71,33 @@ SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, round(avg(s.s), 6) AS sco
 """
 
 
+def op3_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's mean log score under the trigram counts of all others, backing off to bigrams and words."""
+    return lm.backoff_scores(table(spark, sf_dir, "documents"), 3).withColumn("score", F.round("score", 6))
+
+
+OP3_TRIGRAMS_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents),
+t AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS b, unnest(list_concat(CASE WHEN len(ws) > 0 THEN [NULL] ELSE [] END, ws[1:len(ws) - 1])) AS a,
+        unnest(list_concat(CASE WHEN len(ws) > 1 THEN [NULL, NULL] WHEN len(ws) = 1 THEN [NULL] ELSE [] END, ws[1:greatest(len(ws) - 2, 0)])) AS z FROM w),
+u AS (SELECT b AS g, count(*) AS c FROM t GROUP BY 1), ud AS (SELECT doc_id, b AS g, count(*) AS c FROM t GROUP BY 1, 2),
+v AS (SELECT a, b, count(*) AS c FROM t WHERE a IS NOT NULL GROUP BY 1, 2), vd AS (SELECT doc_id, a, b, count(*) AS c FROM t WHERE a IS NOT NULL GROUP BY 1, 2, 3),
+x AS (SELECT z, a, b, count(*) AS c FROM t WHERE z IS NOT NULL GROUP BY 1, 2, 3), xd AS (SELECT doc_id, z, a, b, count(*) AS c FROM t WHERE z IS NOT NULL GROUP BY 1, 2, 3, 4),
+k AS (SELECT (SELECT count(*) FROM t) AS n, (SELECT count(*) FROM u) AS v),
+s AS (SELECT t.doc_id,
+        CASE WHEN t.z IS NOT NULL AND x.c - xd.c > 0 THEN ln((x.c - xd.c) / (va.c - vad.c))
+             ELSE CASE WHEN t.z IS NULL THEN 0 ELSE ln(0.4) END
+                + CASE WHEN t.a IS NOT NULL AND v.c - vd.c > 0 THEN ln((v.c - vd.c) / (ua.c - uad.c))
+                       ELSE CASE WHEN t.a IS NULL THEN 0 ELSE ln(0.4) END + ln((ub.c - ubd.c + 1) / (k.n - t.n + k.v + 1)) END END AS s
+      FROM t CROSS JOIN k JOIN u ub ON ub.g = t.b JOIN ud ubd ON ubd.g = t.b AND ubd.doc_id = t.doc_id
+      LEFT JOIN u ua ON ua.g = t.a LEFT JOIN ud uad ON uad.g = t.a AND uad.doc_id = t.doc_id
+      LEFT JOIN v ON v.a = t.a AND v.b = t.b LEFT JOIN vd ON vd.a = t.a AND vd.b = t.b AND vd.doc_id = t.doc_id
+      LEFT JOIN v va ON va.a = t.z AND va.b = t.a LEFT JOIN vd vad ON vad.a = t.z AND vad.b = t.a AND vad.doc_id = t.doc_id
+      LEFT JOIN x ON x.z = t.z AND x.a = t.a AND x.b = t.b LEFT JOIN xd ON xd.z = t.z AND xd.a = t.a AND xd.b = t.b AND xd.doc_id = t.doc_id)
+SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, round(avg(s.s), 6) AS score FROM w LEFT JOIN s ON s.doc_id = w.doc_id GROUP BY w.doc_id, w.ws
+"""
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best of all vectors for each vector whose id is divisible by 20."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), 20, "vec_id", "embedding", lambda c: c % 20 == 0)
@@ -163,8 +190,8 @@ def op10_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_surrogates, op2_flac, op3_backoff, op4_topk, op5_quality, op6_pieces, op7_jaccard, op8_packing, op9_toxicity, op10_huffman)}
+    return {f.__name__: f for f in (op1_surrogates, op2_flac, op3_backoff, op3_trigrams, op4_topk, op5_quality, op6_pieces, op7_jaccard, op8_packing, op9_toxicity, op10_huffman)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_backoff": OP3_SQL, "op4_topk": OP4_SQL, "op7_jaccard": OP7_SQL}
+    return {"op3_backoff": OP3_SQL, "op3_trigrams": OP3_TRIGRAMS_SQL, "op4_topk": OP4_SQL, "op7_jaccard": OP7_SQL}
