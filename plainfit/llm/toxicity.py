@@ -2,7 +2,8 @@
 
 A sentence's chance of being toxic is logistic in the sum of the hashed weights of its words and of their first 4, 5
 and 6 letters (inflected and compound words share them); a document is toxic if any
-sentence is (noisy-or): 1 - product of (1 - p).  Training maximises the likelihood of the documents' labels through
+sentence is (noisy-or): 1 - product of (1 - p).  A sentence without any weighted word is no evidence (p = 0), so that
+length alone adds nothing.  Training maximises the likelihood of the documents' labels through
 the noisy-or, so the weights learn which sentences explain a label; ``locate`` then gives the offending sentences with
 their places.  A fit uses at most ``MAX_ROWS`` labelled rows (the first by a hash of the id; a documented bound, 6000).
 
@@ -58,7 +59,8 @@ def fit_noisy_or(labels: np.ndarray, used: np.ndarray, words: list[np.ndarray],
     if not len(labels):
         return NoisyOr(weights, START - 3)
     ids, length = np.concatenate(words), np.concatenate(sizes)
-    doc_of_sentence = np.repeat(np.arange(len(labels)), [len(s) for s in sizes])
+    doc_of_sentence = np.repeat(np.arange(len(labels)), [len(s) for s in sizes])[length > 0]
+    length = length[length > 0]
     sentence_of_word = np.repeat(np.arange(len(length)), length)
     w, b, gw, gb = np.zeros(len(used)), START, np.zeros(len(used)), 0.0
     positive = labels.astype(bool)
@@ -136,7 +138,7 @@ def score_toxicity(docs: DataFrame, model: NoisyOr) -> DataFrame:
         for batch in rows_of(batches, 1000):
             z, owner = [], []
             for i, text in enumerate(batch.column(at).to_pylist()):
-                own = [sum(memo.all(s)) for s in sentences(text)]
+                own = [sum(w) for s in sentences(text) if any(w := memo.all(s))]
                 z += own
                 owner += [i] * len(own)
             none = np.bincount(np.array(owner, dtype=np.int64), -np.logaddexp(0, np.clip(np.array(z) + start, -30, 30)), batch.num_rows)
@@ -156,8 +158,8 @@ def locate(docs: DataFrame, model: NoisyOr, id_column: str = "doc_id", least: fl
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for m in SENTENCE.finditer(text):
-                    if words := WORD.findall(m[0].lower()):
-                        p = 1 / (1 + np.exp(-np.clip(sum(memo.all(words)) + start, -30, 30)))
+                    if any(found := memo.all(WORD.findall(m[0].lower()))):
+                        p = 1 / (1 + np.exp(-np.clip(sum(found) + start, -30, 30)))
                         if p >= least:
                             rows.append((doc, m.start(), m.end(), m[0], float(p)))
             cols = list(zip(*rows, strict=True)) or [()] * 5
