@@ -42,11 +42,11 @@ def grams(words: np.ndarray, sizes: np.ndarray, order: int) -> tuple[np.ndarray,
 
 
 def stored_blocks(docs: DataFrame, id_column: str) -> DataFrame:
-    """(block, ids, sizes, words, n): documents as arrays, in blocks of about ``BLOCK_WORDS`` words, a document at least.
+    """(block, ids, known, sizes, words, n): documents as arrays, in blocks of about ``BLOCK_WORDS`` words, a document at least.
 
-    ``words`` are indices into ``hashes``, the block's sorted distinct word hashes.
+    ``known`` tells which ids are not null.  ``words`` are indices into ``hashes``, the block's sorted distinct word hashes.
     """
-    schema = "block long, n long, ids binary, sizes binary, hashes binary, words binary"
+    schema = "block long, n long, ids binary, known binary, sizes binary, hashes binary, words binary"
 
     def run(batches):
         task, made, ids, arrays, n = TaskContext.get().partitionId(), 0, [], [], 0
@@ -54,8 +54,8 @@ def stored_blocks(docs: DataFrame, id_column: str) -> DataFrame:
         def block():
             flat = np.concatenate(arrays)
             hashes, index = np.unique(flat, return_inverse=True)
-            row = [task << 32 | made, len(flat), np.array(ids, dtype=np.int64).tobytes(), np.array([len(a) for a in arrays], dtype=np.int64).tobytes(), hashes.tobytes(), index.astype(np.uint32).tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int64(), pa.int64(), *[pa.binary()] * 4], strict=True)], names=[f.split()[0] for f in schema.split(", ")])
+            row = [task << 32 | made, len(flat), np.array([i or 0 for i in ids], dtype=np.int64).tobytes(), bytes(i is not None for i in ids), np.array([len(a) for a in arrays], dtype=np.int64).tobytes(), hashes.tobytes(), index.astype(np.uint32).tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int64(), pa.int64(), *[pa.binary()] * 5], strict=True)], names=[f.split()[0] for f in schema.split(", ")])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -190,6 +190,6 @@ def backoff_scores(docs: DataFrame, order: int = 3, id_column: str = "doc_id") -
                 sums = np.bincount(owner, score, len(ids))
                 with np.errstate(invalid="ignore"):
                     mean = sums / sizes
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes), pa.array(mean, mask=sizes == 0)], names=["doc_id", "n_words", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=np.frombuffer(row["known"], np.uint8) == 0), pa.array(sizes), pa.array(mean, mask=sizes == 0)], names=["doc_id", "n_words", "score"])
 
-    return joined.select("block", "ids", "sizes", "hashes", "words", "totals").mapInArrow(run, "doc_id long, n_words long, score double")
+    return joined.select("block", "ids", "known", "sizes", "hashes", "words", "totals").mapInArrow(run, "doc_id long, n_words long, score double")

@@ -11,8 +11,8 @@ same pruning is verified exactly on the sets.
 The result has one row per row of the input: ``doc_id``, ``class_id`` (the least id of the documents connected by
 links), ``copy_id`` (the least id with the same set) and ``n_links`` (other rows at or above the threshold, copies
 included).  Texts without words, null ones too, are classes of their own without links.  Texts of fewer than five
-words are one run.  Rows with the same id are copies of each other; they must hold the same
-text.  Further columns are ignored.  An empty table gives an empty result.
+words are one run.  Inside, a row goes by a key hashed from its id and text, so that null ids and one id on several
+texts are rows like others; null ids never name a class (``class_id`` and ``copy_id`` are null where all ids are).  Further columns are ignored.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, connected_components, materialise, mix64, rows_of, shingle_hashes, text_or_empty, words_of
@@ -80,20 +80,25 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def row_key(id_column: str) -> Column:
+    """A row's key, the same wherever the row is read; rows that share it share id and text."""
+    return F.xxhash64(F.col(id_column).cast("long"), text_or_empty())
+
+
 def signed_documents(docs: DataFrame, id_column: str, words: int) -> DataFrame:
-    """(id, a, b, signature): the set's 128-bit fingerprint, null without words, and its MinHash values."""
+    """(id, row, a, b, signature): the set's 128-bit fingerprint, null without words, and its MinHash values."""
 
     def run(batches):
         for batch in rows_of(batches, 1000):
-            sets = [shingles(x, words) for x in batch.column(1).to_pylist()]
+            sets = [shingles(x, words) for x in batch.column(2).to_pylist()]
             full = [s for s in sets if len(s)]
             values = iter(signatures(full) if full else [])
             prints = [xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else None for s in sets]
             half = lambda x, k: None if x is None else ((x >> k) & ((1 << 64) - 1)) - (1 << 63)
             cols = [pa.array([half(p, 64) for p in prints], pa.int64()), pa.array([half(p, 0) for p in prints], pa.int64()), pa.array([next(values).tobytes() if len(s) else None for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["id", "a", "b", "signature"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *cols], names=["id", "row", "a", "b", "signature"])
 
-    return docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty().alias("text")).mapInArrow(run, "id long, a long, b long, signature binary")
+    return docs.select(F.col(id_column).cast("long").alias("id"), row_key(id_column).alias("row"), text_or_empty().alias("text")).mapInArrow(run, "id long, row long, a long, b long, signature binary")
 
 
 def tiled(members: DataFrame, key: str, size: str) -> DataFrame:
@@ -231,7 +236,7 @@ def verified_links(docs: DataFrame, id_column: str, reps: DataFrame, edges: Data
     t, bounds = Fraction(threshold).limit_denominator(10**6), least_matches(threshold)
     group = materialise(connected_components(edges).withColumnRenamed("node", "rep"), "candidates")
     members = group.join(group.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component").join(reps.select("rep", "copies"), "rep")
-    texts = docs.select(F.col(id_column).cast("long").alias("rep"), text_or_empty().alias("text")).join(members, "rep")
+    texts = docs.select(row_key(id_column).alias("rep"), text_or_empty().alias("text")).join(members, "rep")
     texts = texts.select("rep", "component", "members", "copies", "text")
 
     def with_sets(batches):
@@ -239,7 +244,7 @@ def verified_links(docs: DataFrame, id_column: str, reps: DataFrame, edges: Data
             sets = [shingles(x, words).tobytes() for x in batch.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.binary())], names=[*batch.schema.names[:4], "hashes"])
 
-    # A repeated id gives its text once for each class: the one whose set is the class's own is the least id's by construction.
+    # Repeated rows give the same set.
     sets = texts.mapInArrow(with_sets, "rep long, component long, members long, copies long, hashes binary").dropDuplicates(["rep"])
     tiles = tiled(sets, "component", "members").select("component", "lo", "hi", "block", "rep", "copies", "hashes")
     ordered = tiles.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "rep")
@@ -264,30 +269,38 @@ def verified_links(docs: DataFrame, id_column: str, reps: DataFrame, edges: Data
     return ordered.mapInArrow(verify, "rep long, links long, root long")
 
 
-def jaccard_join(docs: DataFrame, id_column: str = "doc_id", threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, copy_id, n_links."""
+def joined_rows(docs: DataFrame, id_column: str, threshold: float, words: int) -> DataFrame:
+    """(id, row, copy, first, n_links) of every row: the first (no_id, id, row) of its copies and of its class, null without words."""
     signed = materialise(signed_documents(docs, id_column, words), "signed")
-    # An id stands for one set: where rows share an id but not a text, the class is named by the id of a row of its own.
-    classes = signed.filter("a is not null").groupBy("a", "b").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"))
+    copy = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("copy")
+    classes = signed.filter("a is not null").groupBy("a", "b").agg(F.min("row").alias("rep"), copy, F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"))
     reps = materialise(classes, "classes")
     edges = materialise(candidate_edges(reps, threshold), "edges")
     links = materialise(verified_links(docs, id_column, reps, edges, threshold, words), "links")
     component = connected_components(links.select(F.col("rep").alias("src"), F.col("root").alias("dst"))).withColumnRenamed("node", "rep")
+    component = materialise(component.join(reps.select("rep", "copy"), "rep"), "components")
+    component = component.join(component.groupBy("component").agg(F.min("copy").alias("first")), "component").select("rep", "first")
     by_rep = links.groupBy("rep").agg(F.sum("links").alias("links")).join(component, "rep", "left")
-    known = reps.select("a", "b", "rep", "copies").join(by_rep, "rep", "left")
-    result = signed.select("id", "a", "b").join(known, ["a", "b"], "left")
-    return result.select(
-        F.col("id").alias("doc_id"),
-        F.coalesce("component", "rep", "id").alias("class_id"),
-        F.coalesce("rep", "id").alias("copy_id"),
-        (F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
-    )
+    known = reps.select("a", "b", "rep", "copy", "copies").join(by_rep, "rep", "left")
+    result = signed.select("id", "row", "a", "b").join(known, ["a", "b"], "left")
+    links = (F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).cast("long")
+    return result.select("id", "row", "copy", F.coalesce("first", "copy").alias("first"), links.alias("n_links"))
+
+
+def jaccard_join(docs: DataFrame, id_column: str = "doc_id", threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id, copy_id, n_links."""
+    rows = joined_rows(docs, id_column, threshold, words)
+    return rows.select(F.col("id").alias("doc_id"), F.coalesce("first.id", "id").alias("class_id"), F.coalesce("copy.id", "id").alias("copy_id"), "n_links")
 
 
 def keep_first(docs: DataFrame, id_column: str = "doc_id", threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
-    """``docs`` without the documents that are linked to one of a smaller id: one row of each class stays, of repeated rows too."""
-    found = materialise(jaccard_join(docs, id_column, threshold, words), "found")
-    if found.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        docs = docs.dropDuplicates([id_column])
-    gone = found.filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_column).cast("long") == F.col("__gone"), "left_anti")
+    """``docs`` with one row of each class, that of the least id; rows that share id and text are one, but for those without both."""
+    rows = joined_rows(docs, id_column, threshold, words)
+    alone = F.col("id").isNull() & F.col("first").isNull()
+    found = materialise(rows.select("id", "row", alone.alias("alone"), F.coalesce(F.col("row") != F.col("first.row"), F.lit(False)).alias("gone")), "found")
+    keyed = docs.withColumn("__row", row_key(id_column))
+    kept = keyed.join(found.filter("gone").select(F.col("row").alias("__row")).distinct(), "__row", "left_anti")
+    twice = found.filter("not alone and not gone").groupBy(F.col("row").alias("__row")).count().filter("count > 1").select("__row")
+    if twice.limit(1).count():
+        kept = kept.join(twice, "__row", "left_anti").unionByName(kept.join(twice, "__row", "left_semi").dropDuplicates(["__row"]))
+    return kept.select(*docs.columns)
