@@ -60,8 +60,10 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rated_sample(docs: DataFrame, ratings: DataFrame, columns: list[Column], id_column: str, most: int) -> DataFrame:
-    """(columns..., text) of at most ``most`` ratings' documents, the first by a hash of the id; so few that they may be broadcast."""
-    few = ratings.filter(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("__id"), *columns).orderBy(F.xxhash64("__id"), "__id").limit(most)
+    """(columns..., text) of at most ``most`` ratings whose documents are in ``docs``, the first by a hash of the id; so few that they may be broadcast."""
+    there = docs.select(F.col(id_column).cast("long").alias("__id"))
+    rated = ratings.filter(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("__id"), *columns)
+    few = rated.join(there, "__id", "left_semi").orderBy(F.xxhash64("__id"), "__id").limit(most)
     texts = docs.select(F.col(id_column).cast("long").alias("__id"), text_or_empty().alias("text"))
     return texts.join(F.broadcast(few), "__id").drop("__id")
 
