@@ -1,11 +1,12 @@
 """Token ids as canonical, length-limited Huffman code in independent blocks.
 
-``write_ids`` tokenises texts in order of their ids, counts ids over the whole corpus, derives one code and writes
-block files; ``read_ids`` decodes them.  A block holds whole documents, its bit string begins at a byte, and every
+``write_ids`` tokenises texts, counts ids over the whole corpus, derives one code, sorts the packed ids by document and
+writes block files in that order; ``read_ids`` decodes them.  A block holds whole documents, its bit string begins at a byte, and every
 ``INTERVAL`` ids a checkpoint gives the bit offset, so that one can start reading there; the decoder itself uses the
 checkpoints to look up many runs at a time in the code's table.
 
-Null and empty texts hold the end id only.  Documents with the same id keep the order of their texts.  Further
+Null and empty texts hold the end id only.  Documents with null ids come first, those with the same id in order of a
+hash of theirs.  Further
 columns are ignored.  An empty table gives an empty file set.
 """
 
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, rows_of, scratch_dir, text_or_empty
+from .common import materialise, rows_of, shared_path, text_or_empty
 from .tokens import WordBpe, load_once, ship
 
 LIMIT, INTERVAL, BLOCK = 16, 256, 1 << 16
@@ -119,39 +120,33 @@ class Code:
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, id_column: str = "doc_id") -> DataFrame:
-    """Stored rows in order of the document ids: (part, doc_id, start in the part, ids), and per part one row of counts."""
+    """Stored rows (doc_id, ids), and for each task one of counts: texts are turned into packed ids before anything is shuffled."""
     raw = ship(docs.sparkSession, tokenizer_path)
 
     def run(batches):
-        model, part, start = load_once(WordBpe, raw.value), TaskContext.get().partitionId(), 0
-        counts = np.zeros(max(model.size, end_id + 1), dtype=np.int64)
-        names, kinds = ["part", "doc_id", "start", "n", "ids", "counts"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        model = load_once(WordBpe, raw.value)
+        counts, end = np.zeros(max(model.size, end_id + 1), dtype=np.int64), np.array([end_id], dtype=model.dtype).tobytes()
         for batch in rows_of(batches, 2000):
-            docs_, starts, sizes, ids_ = batch.column(0), [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = np.append(model.encode(text), [end_id]).astype(model.dtype)
-                counts += np.bincount(ids, minlength=len(counts)) if len(ids) > 20_000 else 0
-                starts.append(start)
-                sizes.append(len(ids))
-                ids_.append(ids)
-                start += len(ids)
-            if short := [x for x in ids_ if len(x) <= 20_000]:
-                counts += np.bincount(np.concatenate(short), minlength=len(counts))
-            rows = [[part] * len(starts), docs_, starts, sizes, [x.tobytes() for x in ids_], [None] * len(starts)]
-            yield pa.RecordBatch.from_arrays([x if x is docs_ else pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names=names)
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([part, None, None, start, None, counts.tobytes()], kinds, strict=True)], names=names)
+            ids = [model.encode_bytes(x) + end for x in batch.column(1).to_pylist()]
+            counts += np.bincount(np.frombuffer(b"".join(ids), model.dtype), minlength=len(counts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=["doc_id", "ids", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([None, None, counts.tobytes()], [pa.int64(), pa.binary(), pa.binary()], strict=True)], names=["doc_id", "ids", "counts"])
 
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialise(ordered.mapInArrow(run, "part int, doc_id long, start long, n long, ids binary, counts binary"), "ids")
+    return materialise(texts.mapInArrow(run, "doc_id long, ids binary, counts binary"), "ids", "lz4")
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1, id_column: str = "doc_id", limit: int = LIMIT) -> None:
-    """Write the block files under ``path``: ``blocks`` (parquet rows of one block each, with its documents) and ``code`` (the lengths)."""
+    """Write the files under ``path``: ``code`` (the lengths), ``blocks`` and ``parts``.
+
+    A row of ``blocks`` is one block with its documents, its part and the number of ids before it in that part.  Files
+    by name, parts, blocks in a part and documents in a block are in ascending order of the document ids.  ``parts``
+    has for each part the number of ids before it, which makes a block's place in the whole.
+    """
     spark, raw = docs.sparkSession, ship(docs.sparkSession, tokenizer_path)
     table = tokenised(docs, tokenizer_path, end_id, id_column)
-    size = max(load_once(WordBpe, raw.value).size, end_id + 1)
-    dtype = load_once(WordBpe, raw.value).dtype
+    model = load_once(WordBpe, raw.value)
+    size, dtype = max(model.size, end_id + 1), model.dtype
 
     def unpack(batches):
         for batch in batches:
@@ -165,59 +160,59 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1,
         counts[r.id] = r.n
     lengths = code_lengths(counts, limit)
     spark.createDataFrame([(limit, lengths.tobytes())], "max_bits int, lengths binary").coalesce(1).write.parquet(f"{path}/code")
-    parts = table.filter("counts is not null").groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()  # one small row for each task
-    base, total = {}, 0
-    for r in parts:
-        base[r.part], total = total, total + r.n
-    shared = spark.sparkContext.broadcast((lengths, base))
+    shared = spark.sparkContext.broadcast(lengths)
 
     def run(batches):
-        code, bases = Code(shared.value[0], limit), shared.value[1]
-        names, kinds = ["first", "n", "block", "doc_ids", "doc_sizes"], [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        code, part = Code(shared.value, limit), TaskContext.get().partitionId()
+        names, kinds = ["part", "start", "n", "block", "doc_ids", "doc_sizes"], [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        held, n, start = [], 0, 0
 
-        def block(held):
-            ids = np.concatenate([np.frombuffer(x, dtype) for _, _, x in held])
-            row = [held[0][1], len(ids), code.encode(ids), [d for d, _, _ in held], [len(x) // dtype.itemsize for _, _, x in held]]
+        def block():
+            row = [part, start, n, code.encode(np.frombuffer(b"".join(x for _, x in held), dtype)), [d for d, _ in held], [len(x) // dtype.itemsize for _, x in held]]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=names)
 
-        held, n, expected = [], 0, None
         for batch in rows_of(batches, 500):
-            for part, doc, start, ids in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                at = bases[part] + start
-                if held and (at != expected or n >= BLOCK):
-                    yield block(held)
-                    held, n = [], 0
-                held.append((doc, at, ids))
+            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.append((doc, ids))
                 n += len(ids) // dtype.itemsize
-                expected = at + len(ids) // dtype.itemsize
+                if n >= BLOCK:
+                    yield block()
+                    held, n, start = [], 0, start + n
         if held:
-            yield block(held)
+            yield block()
 
-    table.filter("counts is null").select("part", "doc_id", "start", "ids").mapInArrow(run, "first long, n long, block binary, doc_ids array<long>, doc_sizes array<long>").write.option("compression", "none").parquet(f"{path}/blocks")
+    # Rows of one id are told apart by a hash of theirs, so that an id of very many rows is dealt to several tasks.
+    rows = table.filter("counts is null").select("doc_id", "ids", F.xxhash64("ids").alias("tie"))
+    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
+    ordered.mapInArrow(run, "part int, start long, n long, block binary, doc_ids array<long>, doc_sizes array<long>").write.option("compression", "none").parquet(f"{path}/blocks")
+    parts = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()  # one small row for each task
+    first = np.cumsum([0, *(r.n for r in parts)]).tolist()
+    spark.createDataFrame([(r.part, f) for r, f in zip(parts, first, strict=False)], "part int, first long").coalesce(1).write.parquet(f"{path}/parts")
 
 
 def read_ids(spark: SparkSession, path: str, make, schema: str) -> DataFrame:
     """Decode the files.  ``make(doc_ids, starts, ids per document)`` turns each few blocks' documents into a record batch of ``schema``."""
     row = spark.read.parquet(f"{path}/code").first()
-    shared = spark.sparkContext.broadcast((row.max_bits, row.lengths))  # a byte for each id of the vocabulary
+    parts = {r.part: r.first for r in spark.read.parquet(f"{path}/parts").select("part", F.col("first")).collect()}  # one small row for each writing task
+    shared = spark.sparkContext.broadcast((row.max_bits, row.lengths, parts))  # a byte for each id of the vocabulary
 
     def run(batches):
-        limit, lengths = shared.value
+        limit, lengths, before = shared.value
         code = Code(np.frombuffer(bytes(lengths), dtype=np.uint8), limit)
         for batch in rows_of(batches, 8):
-            first, blocks, docs, sizes = (batch.column(i).to_pylist() for i in range(4))
-            doc_ids, starts, parts = [], [], []
-            for at, ids, d, n in zip(first, code.decode(blocks), docs, sizes, strict=True):
+            part, start, blocks, docs, sizes = (batch.column(i).to_pylist() for i in range(5))
+            doc_ids, starts, ids_ = [], [], []
+            for p, at, ids, d, n in zip(part, start, code.decode(blocks), docs, sizes, strict=True):
                 ends = np.cumsum(n)
                 doc_ids += d
-                starts += (at + ends - n).tolist()
-                parts += np.split(ids, ends[:-1])
-            yield make(doc_ids, starts, parts)
+                starts += (before[p] + at + ends - n).tolist()
+                ids_ += np.split(ids, ends[:-1])
+            yield make(doc_ids, starts, ids_)
 
-    return spark.read.parquet(f"{path}/blocks").select("first", "block", "doc_ids", "doc_sizes").mapInArrow(run, schema)
+    return spark.read.parquet(f"{path}/blocks").select("part", "start", "block", "doc_ids", "doc_sizes").mapInArrow(run, schema)
 
 
 def store_and_read(docs: DataFrame, tokenizer_path: str, make, schema: str, end_id: int = 1) -> DataFrame:
-    path = scratch_dir(docs.sparkSession, "huffman")
+    path = shared_path(docs.sparkSession, "huffman")
     write_ids(docs, tokenizer_path, path, end_id)
     return read_ids(docs.sparkSession, path, make, schema)

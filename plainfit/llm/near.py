@@ -1,10 +1,12 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
 Documents are sets of hashed runs of five words; equal sets are one class of copies and are handled once, through
-the least id.  Classes whose MinHash values agree on one of 32 bands of three meet in a bucket (a pair of similarity
-0.8 is missed with probability 1e-10); a bucket is worked off in tiles of bounded size, never as rows of pairs.  In a
-tile, MinHash values are compared 16 at a time, and a pair is dropped as soon as the posterior probability that its
-similarity reaches the threshold (uniform prior, binomial likelihood) falls below the tolerance.  What remains links
+the least id.  A set has 160 MinHash values by one permutation: its least hash in each of 160 equal ranges, an empty
+range taking the value of another by a fixed order of its own (optimal densification), so that each value agrees with
+the similarity as its probability.  Classes whose values agree on one of 32 bands of five meet in a bucket (a pair of
+similarity 0.8 is missed with probability 3e-6); a bucket is worked off in tiles of bounded size, never as rows of
+pairs.  In a tile, values are compared 16 at a time, and a pair is dropped as soon as the posterior probability that
+its similarity reaches the threshold (uniform prior, binomial likelihood) falls below the tolerance.  What remains links
 groups of candidates; only their texts are read again, and inside each group, tile by tile, every pair that passes the
 same pruning is verified exactly on the sets.
 
@@ -27,11 +29,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, connected_components, materialise, mix64, rows_of, shingle_hashes, text_or_empty, words_of
+from .common import WordHashes, connected_components, materialise, mix64, new_name, rows_of, shingle_hashes, text_or_empty, words_of
 
-BANDS, ROWS, STEP, TOLERANCE, TILE, WORDS, THRESHOLD = 32, 3, 16, 1e-7, 256, 5, 0.8
+BANDS, ROWS, STEP, TOLERANCE, TILE, WORDS, THRESHOLD = 32, 5, 16, 1e-7, 256, 5, 0.8
 VALUES = BANDS * ROWS
-FACTORS = mix64(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
+#: Where the ranges of hashes begin, and for each range the order in which it looks at the others when it is empty.
+RANGES = np.array([-(-(k << 64) // VALUES) for k in range(VALUES)], dtype=np.uint64)
+LOOKS = np.argsort(mix64(np.arange(VALUES * VALUES, dtype=np.uint64) + np.uint64(1)).reshape(VALUES, VALUES), axis=1)
 
 
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[int]:
@@ -59,18 +63,17 @@ def shingles(text: str, size: int = WORDS) -> np.ndarray:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """MinHash values (rows: sets, none empty) as unsigned 32-bit numbers."""
-    out = np.empty((VALUES, len(sets)), dtype=np.uint32)
-    sizes = np.array([len(s) for s in sets])
-    begin = 0
-    while begin < len(sets):  # about 64k hashes at a time stay in the cache
-        stop = begin + max(1, int(np.searchsorted(np.cumsum(sizes[begin:]), 1 << 16)))
-        flat = np.concatenate(sets[begin:stop])
-        starts = np.cumsum(sizes[begin:stop]) - sizes[begin:stop]
-        for k, factor in enumerate(FACTORS):
-            out[k, begin:stop] = np.minimum.reduceat(flat * factor, starts) >> np.uint64(32)
-        begin = stop
-    return np.ascontiguousarray(out.T)
+    """MinHash values (rows: sorted distinct hashes, none empty) as unsigned 16-bit numbers."""
+    out = np.empty((len(sets), VALUES), dtype=np.uint64)
+    for i, s in enumerate(sets):
+        begin = np.searchsorted(s, RANGES)
+        empty = np.flatnonzero(np.diff(begin, append=len(s)) == 0)
+        if len(empty):
+            full = np.ones(VALUES, dtype=bool)
+            full[empty] = False
+            begin[empty] = begin[LOOKS[empty, np.argmax(full[LOOKS[empty]], axis=1)]]
+        out[i] = s[begin]
+    return (mix64(out) >> np.uint64(48)).astype(np.uint16)
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
@@ -198,10 +201,10 @@ def candidate_edges(reps: DataFrame, threshold: float) -> DataFrame:
 
     def keys(batches):
         for batch in batches:
-            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, VALUES)
+            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, VALUES)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(values))), pa.array(band_keys(values).ravel())], names=["rep", "band", "key"])
 
-    buckets = reps.select("rep", "signature").mapInArrow(keys, "rep long, band int, key long")
+    buckets = materialise(reps.select("rep", "signature").mapInArrow(keys, "rep long, band int, key long"), "buckets", "lz4")
     full = buckets.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     members = buckets.join(full, ["band", "key"])
     tiles = tiled(members, "key", "members").join(reps.select("rep", "signature"), "rep")
@@ -211,7 +214,7 @@ def candidate_edges(reps: DataFrame, threshold: float) -> DataFrame:
         for g in groups(batches, 4):
             band, lo, hi = g.column("band")[0].as_py(), g.column("lo")[0].as_py(), g.column("hi")[0].as_py()
             i, j = pair_indices(g.column("block").to_numpy(), lo, hi)
-            values = np.frombuffer(b"".join(g.column("signature").to_pylist()), np.uint32).reshape(-1, VALUES)
+            values = np.frombuffer(b"".join(g.column("signature").to_pylist()), np.uint16).reshape(-1, VALUES)
             src, dst = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
             kept = []
             for at in range(0, len(i), 1 << 15):
@@ -236,16 +239,16 @@ def verified_links(docs: DataFrame, id_column: str, reps: DataFrame, edges: Data
     t, bounds = Fraction(threshold).limit_denominator(10**6), least_matches(threshold)
     group = materialise(connected_components(edges).withColumnRenamed("node", "rep"), "candidates")
     members = group.join(group.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component").join(reps.select("rep", "copies"), "rep")
-    texts = docs.select(row_key(id_column).alias("rep"), text_or_empty().alias("text")).join(members, "rep")
-    texts = texts.select("rep", "component", "members", "copies", "text")
+    # Rows that share a key share their text; they are one before they meet in a task.
+    texts = docs.select(row_key(id_column).alias("rep"), text_or_empty().alias("text")).groupBy("rep").agg(F.first("text").alias("text"))
+    texts = texts.join(members, "rep").select("rep", "component", "members", "copies", "text")
 
     def with_sets(batches):
         for batch in rows_of(batches, 1000):
             sets = [shingles(x, words).tobytes() for x in batch.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.binary())], names=[*batch.schema.names[:4], "hashes"])
 
-    # Repeated rows give the same set.
-    sets = texts.mapInArrow(with_sets, "rep long, component long, members long, copies long, hashes binary").dropDuplicates(["rep"])
+    sets = texts.mapInArrow(with_sets, "rep long, component long, members long, copies long, hashes binary")
     tiles = tiled(sets, "component", "members").select("component", "lo", "hi", "block", "rep", "copies", "hashes")
     ordered = tiles.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "rep")
 
@@ -298,9 +301,11 @@ def keep_first(docs: DataFrame, id_column: str = "doc_id", threshold: float = TH
     rows = joined_rows(docs, id_column, threshold, words)
     alone = F.col("id").isNull() & F.col("first").isNull()
     found = materialise(rows.select("id", "row", alone.alias("alone"), F.coalesce(F.col("row") != F.col("first.row"), F.lit(False)).alias("gone")), "found")
-    keyed = docs.withColumn("__row", row_key(id_column))
-    kept = keyed.join(found.filter("gone").select(F.col("row").alias("__row")).distinct(), "__row", "left_anti")
-    twice = found.filter("not alone and not gone").groupBy(F.col("row").alias("__row")).count().filter("count > 1").select("__row")
+    own = new_name(docs, "row")
+    keyed = docs.withColumn(own, row_key(id_column))
+    # What goes grows with the corpus, so it is merged at every size.
+    kept = keyed.join(found.filter("gone").select(F.col("row").alias(own)).distinct().hint("merge"), own, "left_anti")
+    twice = found.filter("not alone and not gone").groupBy(F.col("row").alias(own)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(own)
     if twice.limit(1).count():
-        kept = kept.join(twice, "__row", "left_anti").unionByName(kept.join(twice, "__row", "left_semi").dropDuplicates(["__row"]))
-    return kept.select(*docs.columns)
+        kept = kept.join(twice, own, "left_anti").unionByName(kept.join(twice, own, "left_semi").dropDuplicates([own]))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

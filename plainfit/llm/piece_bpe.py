@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2
 
-from .common import rows_of, text_or_empty
+from .common import text_or_empty, with_columns
 from .tokens import Memo, load_once, packing, ship
 
 SPACE = "▁"
@@ -94,13 +94,13 @@ class PieceBpe:
         longest = [-1] * n
         for end, (size, i) in self.automaton.iter(s):
             longest[end - size + 1] = i
-        alive, tokens, pos, token = (1 << (n + 1)) - 1, [], 0, longest[0]
+        alive, tokens, pos, token = bytearray(b"\xff") * ((n >> 3) + 1), [], 0, longest[0]
         known, fits, shorter, sizes = self.fits.young, self.fits, self.shorter, self.size
         while pos < n:
             last = tokens[-1] if tokens else -1
             while token >= 0:
                 end = pos + sizes[token]
-                if alive >> end & 1:
+                if alive[end >> 3] >> (end & 7) & 1:
                     if last < 0:
                         break
                     if (ok := known.get((last, token))) is None:
@@ -112,7 +112,7 @@ class PieceBpe:
                 tokens.append(token)
                 pos, token = end, longest[end] if end < n else -1
             else:
-                alive &= ~(1 << pos)
+                alive[pos >> 3] &= ~(1 << (pos & 7))
                 if not tokens:
                     raise ValueError("no encoding")
                 pos -= sizes[tokens.pop()]
@@ -192,30 +192,15 @@ class PieceBpe:
             return "".join(out)
 
 
-def _with(df: DataFrame, make, fields: list[tuple[str, T.DataType, pa.DataType]], reads: str) -> DataFrame:
-    """``df`` with columns that ``make(list of values)`` gives for the column ``reads``, batch by batch."""
-    names = {n for n, _, _ in fields}
-    keep = [c for c in df.columns if c not in names]
-    schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(n, t) for n, t, _ in fields)])
-    inner = df.select(*(F.col(f"`{c}`") for c in keep), F.col(reads).alias("__in")) if reads in names else df.select(*(F.col(f"`{c}`") for c in keep), text_or_empty(reads).alias("__in") if dict(df.dtypes)[reads] == "string" else F.col(reads).alias("__in"))
-
-    def run(batches):
-        for batch in rows_of(batches, 2000):
-            made = make(batch.column(batch.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(m, t) for m, (_, _, t) in zip(made, fields, strict=True))], names=[*batch.schema.names[:-1], *(n for n, _, _ in fields)])
-
-    return inner.mapInArrow(run, schema)
-
-
 def encode_pieces(df: DataFrame, model_path: str, column: str = "text", to: str = "ids") -> DataFrame:
     """``df`` with the exact ids of ``column`` as ``to`` array<int>."""
     raw = ship(df.sparkSession, model_path)
 
     def make(texts):
         model = load_once(PieceBpe, raw.value)
-        return [[model.encode(x or "").astype(np.int32) for x in texts]]
+        return [[model.encode(x).astype(np.int32) for x in texts]]
 
-    return _with(df, make, [(to, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))], column)
+    return with_columns(df, text_or_empty(column), make, [(to, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))])
 
 
 def decode_pieces(df: DataFrame, model_path: str, column: str = "ids", to: str = "decoded") -> DataFrame:
@@ -226,4 +211,4 @@ def decode_pieces(df: DataFrame, model_path: str, column: str = "ids", to: str =
         model = load_once(PieceBpe, raw.value)
         return [[model.decode(x or []) for x in arrays]]
 
-    return _with(df, make, [(to, T.StringType(), pa.string())], column)
+    return with_columns(df, F.col(f"`{column}`"), make, [(to, T.StringType(), pa.string())])

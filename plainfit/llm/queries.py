@@ -10,9 +10,10 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import flac, huffman, lm, near, packing, piece_bpe, pii, quality, topk, toxicity
-
+from .common import text_or_empty, with_columns
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -140,9 +141,9 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
             rows.append((len(ids), sha(",".join(map(model.decimal.__getitem__, ids))), sha(model.decode(ids))))
         return [list(c) for c in zip(*rows, strict=True)] or [[], [], []]
 
-    fields = [("n_tokens", piece_bpe.T.LongType(), pa.int64()), ("ids_sha256", piece_bpe.T.StringType(), pa.string()), ("decoded_sha256", piece_bpe.T.StringType(), pa.string())]
+    fields = [("n_tokens", T.LongType(), pa.int64()), ("ids_sha256", T.StringType(), pa.string()), ("decoded_sha256", T.StringType(), pa.string())]
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return piece_bpe._with(docs, digest, fields, "text").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return with_columns(docs, text_or_empty(), digest, fields).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,8 +143,11 @@ class WordBpe:
             return self.words[low]
         return b"".join(map(self.words.__getitem__, self._words.findall(low)))
 
+    def encode_bytes(self, text: str) -> bytes:
+        return b"".join(self.memo.all(text.replace("\n", " ").split(" ")))
+
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(self.memo.all(text.replace("\n", " ").split(" "))), dtype=self.dtype)
+        return np.frombuffer(self.encode_bytes(text), dtype=self.dtype)
 
 
 _loaded: dict[tuple, object] = {}
