@@ -238,7 +238,9 @@ def verified_links(docs: DataFrame, id_column: str, reps: DataFrame, edges: Data
     """(rep, links, root): per class and tile the copies linked with it, and the least class of its links there."""
     t, bounds = Fraction(threshold).limit_denominator(10**6), least_matches(threshold)
     group = materialise(connected_components(edges).withColumnRenamed("node", "rep"), "candidates")
-    members = group.join(group.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component").join(reps.select("rep", "copies"), "rep")
+    # Stored before it is joined, so that Spark can split the partition of a very large group.
+    sizes = materialise(group.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "sizes")
+    members = group.join(sizes, "component").join(reps.select("rep", "copies"), "rep")
     # Rows that share a key share their text; they are one before they meet in a task.
     texts = docs.select(row_key(id_column).alias("rep"), text_or_empty().alias("text")).groupBy("rep").agg(F.first("text").alias("text"))
     texts = texts.join(members, "rep").select("rep", "component", "members", "copies", "text")
@@ -282,7 +284,8 @@ def joined_rows(docs: DataFrame, id_column: str, threshold: float, words: int) -
     links = materialise(verified_links(docs, id_column, reps, edges, threshold, words), "links")
     component = connected_components(links.select(F.col("rep").alias("src"), F.col("root").alias("dst"))).withColumnRenamed("node", "rep")
     component = materialise(component.join(reps.select("rep", "copy"), "rep"), "components")
-    component = component.join(component.groupBy("component").agg(F.min("copy").alias("first")), "component").select("rep", "first")
+    least = materialise(component.groupBy("component").agg(F.min("copy").alias("first")), "least")  # stored for the same reason as the sizes
+    component = component.join(least, "component").select("rep", "first")
     by_rep = links.groupBy("rep").agg(F.sum("links").alias("links")).join(component, "rep", "left")
     known = reps.select("a", "b", "rep", "copy", "copies").join(by_rep, "rep", "left")
     result = signed.select("id", "row", "a", "b").join(known, ["a", "b"], "left")
