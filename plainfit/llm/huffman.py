@@ -133,7 +133,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, id_column: str
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([None, None, counts.tobytes()], [pa.int64(), pa.binary(), pa.binary()], strict=True)], names=["doc_id", "ids", "counts"])
 
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return materialise(texts.mapInArrow(run, "doc_id long, ids binary, counts binary"), "ids", "lz4")
+    return materialise(texts.mapInArrow(run, "doc_id long, ids binary, counts binary"), "ids")
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1, id_column: str = "doc_id", limit: int = LIMIT) -> None:

@@ -5,14 +5,15 @@ taken off), else the model would know every text by heart: a token's score is c(
 elsewhere, else 0.4 times the score of the shorter gram, and at last (c(token) + 1) / (N + V + 1), with N tokens and V distinct
 tokens of the other documents.  A document's score is the mean natural logarithm over its tokens.
 
-How it runs: documents are stored as blocks of word hashes.  Each block sends its distinct n-grams with their counts,
-packed and sorted, to partitions of the n-gram's hash; there the blocks' sorted lists are added up, which joins the
-count table with the n-grams that asked for it, and each list goes back to its block with the total counts beside it.
-A frequent n-gram is one entry per block, however many documents hold it.
+How it runs: documents are stored as blocks of word hashes.  Each block is exploded into its distinct n-grams with
+their counts; these rows are dealt by the n-gram's hash, summed up to the count table there, and joined with it.  What
+other blocks hold too goes back to the block with its count in the corpus, where the logarithms are summed per
+document.  A frequent n-gram is one row per block, however many documents hold it, and rows, shuffles and what a task
+reads grow with the corpus, or not at all.
 
 Words are runs of letters and digits, lower-cased.  Texts without words, null and empty ones too, have no tokens and a
-null score.  Repeated rows are documents of their own.  Further columns are ignored.  N-grams are told apart by 64-bit
-hashes.
+null score.  Repeated rows are documents of their own.  Further columns are ignored.  An empty table gives an empty
+result.  N-grams of one order are told apart by 61-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,18 +28,18 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, materialise, mix64, text_or_empty, words_of
 
-BACKOFF, BLOCK_WORDS, ENTRIES = 0.4, 2_000_000, 1_500_000
+BACKOFF, BLOCK_WORDS, PART_WORDS, MOST_ORDER = 0.4, 2_000_000, 1_500_000, 8
 _words = WordHashes()
 
 
 def grams(words: np.ndarray, sizes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of ``order`` words that end at each word, and whether there is one within the document."""
+    """Hashes of the runs of ``order`` words that end at each word, the order in the last three bits, and whether there is one within the document."""
     out = np.full(len(words), order, dtype=np.uint64)
     for i in range(order - 1, -1, -1):
         shifted = np.concatenate([np.zeros(min(i, len(words)), dtype=np.uint64), words[: max(0, len(words) - i)]])
         out = mix64(out ^ shifted)
     place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return out, place >= order - 1
+    return out & ~np.uint64(7) | np.uint64(order - 1), place >= order - 1
 
 
 def stored_blocks(docs: DataFrame, id_column: str) -> DataFrame:
@@ -77,119 +78,74 @@ def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int64), hashes[np.frombuffer(row["words"], np.uint32)]
 
 
-def bounds(parts: int) -> np.ndarray:
-    """The first hash of each of ``parts`` ranges but the first."""
-    return np.array([(k << 64) // parts for k in range(1, parts)], dtype=np.uint64)
+def exploded(blocks: DataFrame, order: int) -> DataFrame:
+    """(gram, block, n): the distinct n-grams of each block, of all orders up to ``order``, and how often it holds them."""
 
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, sizes, words = unpack(row)
+                for k in range(1, order + 1):
+                    hashes, there = grams(words, sizes, k)
+                    found, count = np.unique(hashes[there], return_counts=True)
+                    for at in range(0, len(found), 1 << 16):
+                        part = slice(at, at + (1 << 16))
+                        yield pa.RecordBatch.from_arrays([pa.array(found[part].view(np.int64)), pa.array(np.full(len(found[part]), row["block"])), pa.array(count[part].astype(np.int32))], names=["gram", "block", "n"])
 
-def packed(sorted_hashes: np.ndarray) -> bytes:
-    """Differences of sorted values, each in as many whole bytes as the largest takes."""
-    if not len(sorted_hashes):
-        return b""
-    steps = np.diff(sorted_hashes, prepend=np.uint64(0))
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
-    return bytes([width]) + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-
-
-def unpacked(raw: bytes) -> np.ndarray:
-    if not raw:
-        return np.empty(0, dtype=np.uint64)
-    width, n = raw[0], (len(raw) - 1) // raw[0]
-    out = np.zeros((n, 8), dtype=np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8, offset=1).reshape(width, n).T
-    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
-
-
-def small(counts: np.ndarray) -> bytes:
-    """Counts in the least unsigned type that holds them, its width first."""
-    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(counts) or counts.max() <= np.iinfo(t).max)
-    return bytes([np.dtype(kind).itemsize]) + counts.astype(kind).tobytes()
-
-
-def unsmall(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
-
+    return blocks.select("block", "ids", "sizes", "hashes", "words").mapInArrow(run, "gram long, block long, n int")
 
-def totals(blocks: DataFrame, order: int, parts: int) -> DataFrame:
-    """(block, order, part, counts): for each block and range, the corpus counts of the block's sorted distinct n-grams."""
-    cuts = bounds(parts)
-    ask = "part int, block long, grams binary, counts binary"
 
-    def send(batches):
+def distinct_words(blocks: DataFrame) -> int:
+    def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                _, sizes, words = unpack(row)
-                hashes, there = grams(words, sizes, order)
-                found, count = np.unique(hashes[there], return_counts=True)
-                at = [0, *np.searchsorted(found, cuts).tolist(), len(found)]
-                keep = [p for p in range(parts) if at[p + 1] > at[p]]
-                cols = [keep, [row["block"]] * len(keep), [packed(found[at[p] : at[p + 1]]) for p in keep], [small(count[at[p] : at[p + 1]]) for p in keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.int64(), pa.binary(), pa.binary()], strict=True)], names=[f.split()[0] for f in ask.split(", ")])
-
-    def add(pdf):
-        import pandas as pd
-
-        lists = [unpacked(x) for x in pdf.grams]
-        every, where = np.unique(np.concatenate(lists), return_inverse=True)
-        total = np.bincount(where, np.concatenate([unsmall(x) for x in pdf.counts])).astype(np.int64)
-        ends = np.cumsum([len(x) for x in lists])
-        own = np.split(total[where], ends[:-1])
-        # Each distinct gram is owned by the first list that holds it, so that sums over the lists count it once.
-        first = np.zeros(len(where), dtype=bool)
-        first[np.unique(where, return_index=True)[1]] = True
-        distinct = [int(x.sum()) for x in np.split(first, ends[:-1])]
-        return pd.DataFrame({"block": pdf.block, "order": order, "part": pdf.part, "distinct": distinct, "counts": [small(x) for x in own]})
-
-    asked = blocks.select("block", "ids", "sizes", "hashes", "words").mapInArrow(send, ask)
-    return asked.groupBy("part").applyInPandas(add, "block long, order int, part int, distinct long, counts binary")
+            for raw in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw, np.int64))], names=["word"])
+
+    return blocks.select("hashes").mapInArrow(run, "word long").distinct().count()
 
 
 def backoff_scores(docs: DataFrame, order: int = 3, id_column: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, score) of every document."""
+    if not 1 <= order <= MOST_ORDER:
+        raise ValueError(f"an order of 1 to {MOST_ORDER} is expected")
     blocks = stored_blocks(docs, id_column)
     total = blocks.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, math.ceil(total / ENTRIES))  # so many that a range's lists fit into a task
-    found = None
-    for k in range(1, order + 1):
-        one = totals(blocks, k, parts)
-        found = one if found is None else found.unionByName(one)
-    found = materialise(found, "totals")
-    vocabulary = found.filter("`order` = 1").agg(F.sum("distinct")).first()[0] or 0
-    per_block = found.groupBy("block").agg(F.collect_list(F.struct("order", "part", "counts")).alias("totals"))
-    joined = blocks.join(per_block, "block", "left")
-
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, sizes, words = unpack(row)
-                owner = np.repeat(np.arange(len(ids)), sizes)
-                theirs: dict[int, list] = {}
-                for t in sorted(row["totals"] or [], key=lambda t: (t["order"], t["part"])):
-                    theirs.setdefault(t["order"], []).append(unsmall(t["counts"]))
-                score, open_ = np.zeros(len(words)), np.ones(len(words), dtype=bool)
-                counts = {}
-                for k in range(1, order + 1):
-                    hashes, there = grams(words, sizes, k)
-                    found, where = np.unique(hashes[there], return_inverse=True)
-                    corpus = np.concatenate(theirs.get(k, [np.empty(0, dtype=np.int64)]))[where]
-                    pair = where.astype(np.int64) * len(ids) + owner[there]
-                    _, back, own = np.unique(pair, return_inverse=True, return_counts=True)
-                    counts[k] = np.zeros(len(words), dtype=np.int64)
-                    counts[k][there] = corpus - own[back]
-                n_other = total - sizes[owner]
-                factor = np.zeros(len(words))
-                for k in range(order, 1, -1):
-                    context = np.zeros(len(words), dtype=np.int64)
-                    context[1:] = counts[k - 1][:-1]  # the gram of order k - 1 that ends one word before
-                    hit = open_ & (counts[k] > 0)
-                    score[hit] = factor[hit] + np.log(counts[k][hit] / context[hit])
-                    open_ &= ~hit
-                    long = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes) >= k - 1
-                    factor[open_ & long] += math.log(BACKOFF)
-                score[open_] = factor[open_] + np.log((counts[1][open_] + 1) / (n_other[open_] + vocabulary + 1))
-                sums = np.bincount(owner, score, len(ids))
-                with np.errstate(invalid="ignore"):
-                    mean = sums / sizes
-                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=np.frombuffer(row["known"], np.uint8) == 0), pa.array(sizes), pa.array(mean, mask=sizes == 0)], names=["doc_id", "n_words", "score"])
-
-    return joined.select("block", "ids", "known", "sizes", "hashes", "words", "totals").mapInArrow(run, "doc_id long, n_words long, score double")
+    vocabulary = distinct_words(blocks)
+    # Dealt once; the count table is summed where the rows already are, and joined there.
+    entries = exploded(blocks, order).repartition(max(1, math.ceil(total / PART_WORDS)), "gram")
+    table = entries.groupBy("gram").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("blocks"))
+    shared = entries.join(table.filter("blocks > 1"), "gram").select("block", "gram", "total")
+
+    def score(block: pa.Table, counted: pa.Table) -> pa.Table:
+        row = block.to_pylist()[0]
+        ids, sizes, words = unpack(row)
+        known, corpus_count = counted.column("gram").to_numpy().view(np.uint64), counted.column("total").to_numpy()
+        by = np.argsort(known)
+        known, corpus_count = known[by], corpus_count[by]
+        owner = np.repeat(np.arange(len(ids)), sizes)
+        place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        counts = {}
+        for k in range(1, order + 1):
+            hashes, there = grams(words, sizes, k)
+            found, where, corpus = np.unique(hashes[there], return_inverse=True, return_counts=True)  # what no other block holds
+            at = np.searchsorted(known, found)
+            hit = np.flatnonzero(at < len(known))
+            hit = hit[known[at[hit]] == found[hit]]
+            corpus[hit] = corpus_count[at[hit]]
+            _, back, own = np.unique(where.astype(np.int64) * len(ids) + owner[there], return_inverse=True, return_counts=True)
+            counts[k] = np.zeros(len(words), dtype=np.int64)
+            counts[k][there] = corpus[where] - own[back]
+        value, open_, factor = np.zeros(len(words)), np.ones(len(words), dtype=bool), np.zeros(len(words))
+        for k in range(order, 1, -1):
+            context = np.zeros(len(words), dtype=np.int64)
+            context[1:] = counts[k - 1][:-1]  # the gram of order k - 1 that ends one word before
+            hit = open_ & (counts[k] > 0)
+            value[hit] = factor[hit] + np.log(counts[k][hit] / context[hit])
+            open_ &= ~hit
+            factor[open_ & (place >= k - 1)] += math.log(BACKOFF)
+        value[open_] = factor[open_] + np.log((counts[1][open_] + 1) / (total - sizes[owner][open_] + vocabulary + 1))
+        with np.errstate(invalid="ignore"):
+            mean = np.bincount(owner, value, len(ids)) / sizes
+        return pa.table([pa.array(ids, mask=np.frombuffer(row["known"], np.uint8) == 0), pa.array(sizes), pa.array(mean, mask=sizes == 0)], names=["doc_id", "n_words", "score"])
+
+    return blocks.drop("n").groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, score double")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows_of, text_or_empty
+from .common import rows_of, text_or_empty, with_columns
 from .tokens import Memo
 
 BUCKETS, MAX_ROWS, LEAST_DOCUMENTS, EPOCHS, RATE, RIDGE, GAIN = 1 << 18, 6000, 10, 200, 0.3, 1e-5, 10.0
@@ -33,7 +33,7 @@ _kinds = {c: "x" if c.islower() else "X" if c.isupper() else "9" if c.isdigit()
 
 def shape(token: str) -> str:
     kinds = (_kinds.get(c) or ("x" if c.islower() else "X" if c.isupper() else "x" if c.isalpha() else c) for c in token)
-    return "".join(k for k, _ in groupby(kinds))[:16]
+    return "".join(k for k, _ in groupby(kinds))
 
 
 def features(token: str) -> tuple[int, int]:
@@ -78,38 +78,44 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -40, 40)))
 
 
+def ordinal_loss(w: np.ndarray, raw: np.ndarray, grades: np.ndarray, rows: np.ndarray, ids: np.ndarray, values: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log likelihood with its ridge, and its slopes in the weights and in ``raw``: the first threshold and the logarithms of the gaps.
+
+    Entry k says that text ``rows[k]`` has ``values[k]`` of feature ``ids[k]``.
+    """
+    n, levels, at = len(grades), len(raw) + 1, np.arange(len(grades))
+    theta = np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])]))
+    tail = 1 / (1 + np.exp(-np.clip(np.bincount(rows, w[ids] * values, n)[:, None] - theta[None, :], -40, 40)))
+    upper = np.concatenate([np.ones((n, 1)), tail, np.zeros((n, 1))], axis=1)
+    p = np.maximum(upper[at, grades] - upper[at, grades + 1], 1e-9)
+    slope = upper * (1 - upper)  # of each bound in its logit
+    d_score = -(slope[at, grades] - slope[at, grades + 1]) / p
+    d_theta = np.zeros(levels + 1)
+    np.add.at(d_theta, grades, slope[at, grades] / p)
+    np.add.at(d_theta, grades + 1, -slope[at, grades + 1] / p)
+    after = np.cumsum(d_theta[1:levels][::-1])[::-1] / n  # a gap moves its threshold and all later ones
+    d_raw = np.concatenate([after[:1], after[1:] * np.exp(raw[1:])])
+    d_w = np.bincount(ids, d_score[rows] * values, len(w)) / n + RIDGE * w
+    return float(-np.log(p).mean() + RIDGE / 2 * w @ w), d_w, d_raw
+
+
 def fit_ordinal(grades: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray]], levels: int) -> Ordinal:
-    """Maximum likelihood with a ridge by adaptive full-batch steps; thresholds are a first one and positive gaps."""
+    """Maximum likelihood with a ridge by adaptive full-batch steps."""
     weights = np.zeros(BUCKETS)
     if not len(grades):
         return Ordinal(weights, -4.0 + np.arange(levels - 1))
     ids = np.concatenate([b for b, _ in bags])
     rows = np.repeat(np.arange(len(bags)), [len(b) for b, _ in bags])
-    values = np.concatenate([v for _, v in bags]).astype(np.float64)
+    values = np.concatenate([v for _, v in bags]).astype(np.float64) * GAIN
     keep = np.bincount(ids, minlength=BUCKETS)[ids] >= LEAST_DOCUMENTS
     used, ids = np.unique(ids[keep], return_inverse=True)
     rows, values = rows[keep], values[keep]
-    values = values * GAIN
-    w, g = np.zeros(len(used)), np.zeros(len(used))
     share = np.array([((grades >= k).sum() + 0.5) / (len(grades) + 1) for k in range(1, levels)])
     cut = np.log((1 - share) / share)
-    raw = np.concatenate([cut[:1], np.log(np.maximum(np.diff(cut), 1e-2))])
-    graw = np.zeros(len(raw))
+    w, raw = np.zeros(len(used)), np.concatenate([cut[:1], np.log(np.maximum(np.diff(cut), 1e-2))])
+    g, graw = np.zeros(len(used)), np.zeros(len(raw))
     for _ in range(EPOCHS):
-        theta = np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])]))
-        tail = 1 / (1 + np.exp(-np.clip(np.bincount(rows, w[ids] * values, len(grades))[:, None] - theta[None, :], -40, 40)))
-        upper = np.concatenate([np.ones((len(grades), 1)), tail, np.zeros((len(grades), 1))], axis=1)
-        at = np.arange(len(grades))
-        p = np.maximum(upper[at, grades] - upper[at, grades + 1], 1e-9)
-        slope = upper * (1 - upper)  # of each bound in its logit
-        d_score = -(slope[at, grades] - slope[at, grades + 1]) / p
-        d_theta = np.zeros(levels + 1)
-        np.add.at(d_theta, grades, slope[at, grades] / p)
-        np.add.at(d_theta, grades + 1, -slope[at, grades + 1] / p)
-        d_theta = d_theta[1:levels] / len(grades)
-        after = np.cumsum(d_theta[::-1])[::-1]  # a gap moves its threshold and all later ones
-        d_raw = np.concatenate([after[:1], after[1:] * np.exp(raw[1:])])
-        d_w = np.bincount(ids, d_score[rows] * values, len(used)) / len(grades) + RIDGE * w
+        _, d_w, d_raw = ordinal_loss(w, raw, grades, rows, ids, values)
         g += d_w**2
         graw += d_raw**2
         w -= RATE * d_w / (np.sqrt(g) + 1e-8)
@@ -134,25 +140,19 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, grade: Column, levels: int,
 def score_quality(docs: DataFrame, model: Ordinal, level: int = 1) -> DataFrame:
     """``docs`` with expected_grade and tail_probability, that of a grade of ``level`` or more."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
-    names = ("expected_grade", "tail_probability")
-    keep = [c for c in docs.columns if c not in names]
-    schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(n, T.DoubleType()) for n in names)])
-    at = len(keep)
+    memo = None
 
-    def run(batches):
+    def make(texts):
+        nonlocal memo
         weights = shared.value.weights
-
-        def weight(token):
-            word, form = features(token)
-            return float(weights[word] + weights[form])
-
-        memo, more = Memo(weight, 300_000), float(weights[AGAIN])
-        for batch in rows_of(batches, 2000):
-            score = np.zeros(batch.num_rows)
-            for i, text in enumerate(batch.column(at).to_pylist()):
-                tokens = text.split()
-                score[i] = sum(memo.all(tokens)) / len(tokens) + more * again(tokens) if tokens else 0.0
-            tails = shared.value.tails(score)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(tails.sum(axis=1)), pa.array(tails[:, level - 1])], names=[*keep, *names])
-
-    return docs.select(*(F.col(f"`{c}`") for c in keep), text_or_empty().alias("__text")).mapInArrow(run, schema)
+        if memo is None:
+            memo = Memo(lambda token: float(sum(weights[i] for i in features(token))), 300_000)
+        score, more = np.zeros(len(texts)), float(weights[AGAIN])
+        for i, text in enumerate(texts):
+            tokens = text.split()
+            score[i] = sum(memo.all(tokens)) / len(tokens) + more * again(tokens) if tokens else 0.0
+        tails = shared.value.tails(score)
+        return [tails.sum(axis=1), np.ascontiguousarray(tails[:, level - 1])]
+
+    fields = [(n, T.DoubleType(), pa.float64()) for n in ("expected_grade", "tail_probability")]
+    return with_columns(docs, text_or_empty(), make, fields)

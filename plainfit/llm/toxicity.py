@@ -8,8 +8,8 @@ the noisy-or, so the weights learn which sentences explain a label; ``locate`` t
 their places.  A fit uses at most ``MAX_ROWS`` labelled rows (the first by a hash of the id; a documented bound, 6000).
 
 Sentences end at . ! ? or a line's end.  Null and empty texts and texts without words have no sentence and score 0.
-Labels that are null are left out; without labels every score is near 0.  Repeated rows score alike; further columns
-of the input are kept, but for those that the result names.
+Labels that are null are left out; without labels every score is near 0.  An empty table gives an empty result.
+Repeated rows score alike; further columns of the input are kept, but for those that the result names.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, materialise, rows_of, text_or_empty
+from .common import WORD, materialise, rows_of, text_or_empty, with_columns
 from .quality import rated_sample
 from .tokens import Memo
 
@@ -53,26 +53,34 @@ class NoisyOr:
     start: float
 
 
+def noisy_or_loss(w: np.ndarray, b: float, labels: np.ndarray, owner: np.ndarray, sentence: np.ndarray, ids: np.ndarray) -> tuple[float, np.ndarray, float]:
+    """Negative log likelihood of the documents' labels with its ridge, and its slopes in the weights and the start ``b``.
+
+    Word k is of feature ``ids[k]`` in sentence ``sentence[k]``, which is one of document ``owner[sentence[k]]``.
+    """
+    z = np.clip(np.bincount(sentence, w[ids], len(owner)) + b, -30, 30)
+    p = 1 / (1 + np.exp(-z))
+    log_none, positive = np.bincount(owner, -np.logaddexp(0, z), len(labels)), labels.astype(bool)
+    some = np.maximum(-np.expm1(log_none), 1e-9)
+    # d loss / d z: p for a clean document, -p (1 - P) / P for a toxic one
+    d = p * np.where(positive, -np.exp(log_none) / some, 1.0)[owner]
+    ridge = RIDGE * len(labels) / 100
+    loss = -np.where(positive, np.log(some), log_none).sum() + ridge / 2 * w @ w
+    return float(loss), np.bincount(ids, d[sentence], len(w)) + ridge * w, float(d.sum())
+
+
 def fit_noisy_or(labels: np.ndarray, used: np.ndarray, words: list[np.ndarray], sizes: list[np.ndarray]) -> NoisyOr:
     """``used``: the buckets that may have weights; ``words``: each document's places in ``used`` in order; ``sizes``: how many each of its sentences has."""
     weights = np.zeros(BUCKETS, dtype=np.float64)
     if not len(labels):
         return NoisyOr(weights, START - 3)
     ids, length = np.concatenate(words), np.concatenate(sizes)
-    doc_of_sentence = np.repeat(np.arange(len(labels)), [len(s) for s in sizes])[length > 0]
+    owner = np.repeat(np.arange(len(labels)), [len(s) for s in sizes])[length > 0]
     length = length[length > 0]
-    sentence_of_word = np.repeat(np.arange(len(length)), length)
+    sentence = np.repeat(np.arange(len(length)), length)
     w, b, gw, gb = np.zeros(len(used)), START, np.zeros(len(used)), 0.0
-    positive = labels.astype(bool)
     for _ in range(EPOCHS):
-        z = np.clip(np.bincount(sentence_of_word, w[ids], len(length)) + b, -30, 30)
-        p = 1 / (1 + np.exp(-z))
-        log_none = np.bincount(doc_of_sentence, -np.logaddexp(0, z), len(labels))
-        some = np.maximum(-np.expm1(log_none), 1e-9)
-        # d loss / d z: p for a clean document, -p (1 - P) / P for a toxic one
-        factor = np.where(positive, -np.exp(log_none) / some, 1.0)
-        d = p * factor[doc_of_sentence]
-        d_w, d_b = np.bincount(ids, d[sentence_of_word], len(used)) + RIDGE * len(labels) / 100 * w, float(d.sum())
+        _, d_w, d_b = noisy_or_loss(w, b, labels, owner, sentence, ids)
         gw += d_w**2
         gb += d_b**2
         w -= RATE * 5 * d_w / (np.sqrt(gw) + 1e-8)
@@ -129,22 +137,20 @@ def _weights_of(model: NoisyOr) -> Memo:
 def score_toxicity(docs: DataFrame, model: NoisyOr) -> DataFrame:
     """``docs`` with ``toxicity``, the noisy-or of its sentences."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
-    keep = [c for c in docs.columns if c != "toxicity"]
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("toxicity", T.DoubleType())])
-    at = len(keep)
-
-    def run(batches):
-        memo, start = _weights_of(shared.value), shared.value.start
-        for batch in rows_of(batches, 1000):
-            z, owner = [], []
-            for i, text in enumerate(batch.column(at).to_pylist()):
-                own = [sum(w) for s in sentences(text) if any(w := memo.all(s))]
-                z += own
-                owner += [i] * len(own)
-            none = np.bincount(np.array(owner, dtype=np.int64), -np.logaddexp(0, np.clip(np.array(z) + start, -30, 30)), batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(-np.expm1(none) + 0.0)], names=[*keep, "toxicity"])
-
-    return docs.select(*(F.col(f"`{c}`") for c in keep), text_or_empty().alias("__text")).mapInArrow(run, schema)
+    memo = None
+
+    def make(texts):
+        nonlocal memo
+        memo, start = memo or _weights_of(shared.value), shared.value.start
+        z, owner = [], []
+        for i, text in enumerate(texts):
+            own = [sum(w) for s in sentences(text) if any(w := memo.all(s))]
+            z += own
+            owner += [i] * len(own)
+        none = np.bincount(np.array(owner, dtype=np.int64), -np.logaddexp(0, np.clip(np.array(z) + start, -30, 30)), len(texts))
+        return [-np.expm1(none) + 0.0]
+
+    return with_columns(docs, text_or_empty(), make, [("toxicity", T.DoubleType(), pa.float64())], 1000)
 
 
 def locate(docs: DataFrame, model: NoisyOr, id_column: str = "doc_id", least: float = 0.5) -> DataFrame:

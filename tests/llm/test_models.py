@@ -118,7 +118,7 @@ def test_collisions_draw_again_until_all_are_distinct(spark, most):
 
 def test_backoff_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK_WORDS", 40)
-    monkeypatch.setattr(lm, "ENTRIES", 60)
+    monkeypatch.setattr(lm, "PART_WORDS", 60)
     rng = np.random.default_rng(8)
     texts = [" ".join(rng.choice(list("abcdefgh"), int(rng.integers(1, 30)))) for _ in range(40)] + [None, "", "!!", "only here", "a b c", "a b c"]
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, block int").repartition(3)

@@ -1,0 +1,100 @@
+"""Surrogates: gender, script, case, possessives and coreference, and all entities of a table by brute force."""
+
+import re
+
+import pytest
+
+from plainfit.llm import pii, queries
+
+KEY = b"test"
+SF = "/root/testdata/sf0.01"
+
+
+def new(text):
+    return pii.rewritten(text, KEY, {})[0]
+
+
+@pytest.mark.parametrize("text", ["Anna über alles. Das Haus ist über dem Fluss.", "Paul était là. Il était tard.", "Иван был дома. Он был дома.", "at 12:30:45 std::string ran v1.2.3 of 10.000 lines", "", "no names, but a 2024 and a 3.5"])
+def test_ordinary_words_stay(text):
+    assert new(text) == text
+
+
+def test_the_title_tells_the_gender():
+    assert [k for _, _, k, _ in pii.detect("Mrs. Jean Smith met Mr. Jean Martin; Dr. Jean Brown, Dr. Qara Li")] == ["given-f", "family", "given-m", "family", "given-m", "family", "given-n", "family"]
+    a, b = re.fullmatch(r"Mrs\. (\w+) \w+ met Mr\. (\w+) \w+", new("Mrs. Jean Smith met Mr. Jean Martin")).groups()
+    assert a != b and a.endswith(tuple(pii.SOUNDS["LATIN"][2]["f"])) and b.endswith(tuple(pii.SOUNDS["LATIN"][2]["m"]))
+
+
+def test_one_person_whatever_the_case_possessive_or_hyphen():
+    a, b, c, d = re.fullmatch(r"Dr\. (\w+)'s book; (\w+) left, (\w+) and (\w+)-Jones stay, brown fox", new("Dr. Brown's book; Brown left, BROWN and Brown-Jones stay, brown fox")).groups()
+    assert a == b == d == c.capitalize() and c.isupper() and a != "Brown"
+    assert re.fullmatch(r"Miss [A-Z]'[A-Z]\w+", new("Miss O'Brien"))
+    given = re.fullmatch(r"Emma (\w+)\. Later (\w+) left", new("Emma Stone. Later Emma left").replace("Emma", "?")) or re.fullmatch(r"(\w+) \w+\. Later (\w+) left", new("Emma Stone. Later Emma left"))
+    assert given[1] == given[2] != "Emma"
+
+
+def test_script_stays_and_nothing_draws_itself():
+    local = new("ñandu@x.org").partition("@")[0]
+    assert len(local) == 5 and not local[0].isascii() and local[1:].isascii()
+    assert re.fullmatch(r"[а-яё]{4}@[a-z]+\.example", new("иван@x.org"))
+    for c in "abcdefghij":
+        for k in range(30):
+            mail = pii.rewritten(f"{c}@b{k}.com", KEY, {})[0]
+            assert mail[0] != c and not mail.endswith(f"@b{k}.com")
+    assert re.fullmatch(r"[А-ЯЁ][а-яё]+ [А-ЯЁ][а-яё]+", new("Анна Петрова"))
+
+
+def test_addresses_of_both_versions_and_ibans_in_any_case():
+    a, b = new("2001:0db8:0000:0000:0000:ff00:0042:8329 2001:db8::ff00:42:8329").split()
+    assert pii.groups_of(a) == pii.groups_of(b) != pii.groups_of("2001:db8::ff00:42:8329") and "::" in b
+    low, high = re.fullmatch(r"(gb\d\d \w{4} \d{4} \d{4} \d{4} \d\d) (GB\w+)", new("gb82 west 1234 5698 7654 32 GB82WEST12345698765432")).groups()
+    assert low.replace(" ", "").upper() == high and pii.mod97(high) == 1 and low.islower()
+
+
+def test_work_grows_with_the_text():
+    import time
+
+    many = " ".join(f"a{i}@x.org Mr. N{''.join(chr(97 + int(c)) for c in str(i))}" for i in range(20_000))
+    began = time.time()
+    assert len(pii.detect(many)) == 40_000
+    assert time.time() - began < 10
+
+
+def test_the_registered_query_by_brute_force(spark):
+    """All entities of the table: equal ones get equal replacements, different ones different ones, none is an original, and all else stays."""
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in table.collect()}
+    got = {r.doc_id: r for r in queries.op1_surrogates(spark, SF).collect()}
+    assert got.keys() == texts.keys()
+    turns = {(r.kind, r.canonical): r.turn for r in pii.redrawn(table, queries.KEY).collect()}
+    known = {part for t in texts.values() for e in pii.detect(t or "") for part in pii.parts_of(*e[2:])}
+    own = {part: pii.surrogate(queries.KEY, *part, turns.get(part, 0)) for part in known}
+    hosts = {c: new for (kind, c), new in own.items() if kind == "host"}
+    whole = {(kind, c): (f"{new}@{hosts[c.rpartition('@')[2]]}" if kind == "email" else new).casefold() for (kind, c), new in own.items()}
+    assert len(whole) > 50 and len({k for k, _ in whole}) >= 5
+    assert len(set(whole.values())) == len(whole)
+    assert not {c.casefold() for _, c in whole} & set(whole.values())
+    for i, text in texts.items():
+        found, out, at = pii.detect(text or ""), [], 0
+        for begin, end, kind, canonical in found:
+            new = whole[kind, canonical] if kind != "secret" else own[kind, canonical]
+            assert pii.form(kind, pii.fitted(text[begin:end], kind, own[kind, canonical] if kind != "email" else new)) not in ("", pii.form(kind, text[begin:end]))
+            out += [text[at:begin], pii.fitted(text[begin:end], kind, own[kind, canonical] if kind != "email" else f"{own[kind, canonical]}@{hosts[canonical.rpartition('@')[2]]}")]
+            at = end
+        assert got[i].n_entities == len(found) and got[i].text == (text if text is None else "".join([*out, text[at:]]))
+
+
+def test_an_empty_table_and_columns_with_the_names_used_inside(spark):
+    rows = spark.createDataFrame([(1, "write to a@b.com", "x", 3, 4)], "doc_id long, text string, turns string, text_hash int, n_entities int")
+    for most in (10, 0):
+        got = pii.replace_pii(rows, KEY, most_broadcast=most)
+        assert got.columns == ["doc_id", "text", "turns", "text_hash", "n_entities"] and got.first().turns == "x" and got.first().n_entities == 1
+        assert pii.replace_pii(rows.limit(0), KEY, most_broadcast=most).count() == 0
+
+
+def test_all_kinds_are_compared_with_each_other(spark):
+    # One draw of a name equals a name of the corpus: it has to draw again.
+    drawn = pii.surrogate(KEY, "family", "stone")
+    rows = spark.createDataFrame([(1, "Mr. Stone"), (2, f"Mr. {drawn.capitalize()}")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.replace_pii(rows, KEY).collect()}
+    assert got[1].casefold() != f"mr. {drawn}" and got[1] != got[2]
