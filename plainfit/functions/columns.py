@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +30,38 @@ def signed_sqrt(c: Column) -> Column:
     return F.signum(c) * F.sqrt(F.abs(c))
 
 
+#: Transforms by name; outside its domain a value becomes null.
+TRANSFORMS = {
+    "log": lambda c: F.when(c > 0, F.log(c)),
+    "log1p": lambda c: F.when(c > -1, F.log1p(c)),
+    "exp": F.exp,
+    "sqrt": lambda c: F.when(c >= 0, F.sqrt(c)),
+    "signed_sqrt": signed_sqrt,
+    "square": lambda c: c * c,
+    "abs": F.abs,
+    "arcsin": lambda c: F.when(F.abs(c) <= 1, F.asin(c)),
+    "sin": F.sin,
+    "decay": lambda c: F.exp(-F.abs(c)),
+}
+
+
+def transformed(c: Column, kind: str) -> Column:
+    return TRANSFORMS[kind](c)
+
+
+def fourier(names: list[str], count: int, gamma: float = 1.0, seed: int = 42, scale: dict[str, tuple[float, float]] | None = None) -> dict[str, Column]:
+    """Random Fourier features: sqrt(2 / count) * cos(w . z + b) with seeded normal ``w`` of variance 2 gamma; ``scale`` has (mean, deviation) of columns."""
+    rng, out = np.random.default_rng(seed), {}
+    for k in range(count):
+        w, b = rng.normal(0.0, (2 * gamma) ** 0.5, len(names)), rng.uniform(0, 2 * np.pi)
+        angle = F.lit(float(b))
+        for n, v in zip(names, w, strict=True):
+            mean, deviation = (scale or {}).get(n, (0.0, 1.0))
+            angle = angle + float(v) * (F.col(n) - float(mean)) / float(deviation or 1.0)
+        out[f"rff{k}"] = float((2 / count) ** 0.5) * F.cos(angle)
+    return out
+
+
 def safe_div(a: Column, b: Column) -> Column:
     return F.try_divide(a, F.nullif(b, F.lit(0)))
 

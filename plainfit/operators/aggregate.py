@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import row_mean
-from ..plans.order import running
+from ..plans.order import exact_quantiles, running
 
 
 def rmse(df: DataFrame, keys: list[str], label: str = "label", pred: str = "pred") -> DataFrame:
@@ -40,11 +40,41 @@ def mean_se_two_stage(df: DataFrame, keys: list[str], unit: list[str], values: l
     return mean_se(first, keys, "__v")
 
 
+def collapse(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """One row for each key, with the means of ``values`` over those that aren't null."""
+    return df.groupBy(*keys).agg(*(F.avg(v).alias(v) for v in values))
+
+
+def suite_counts(facts: DataFrame, suites: list[str], by: list[str], otherwise: str = "standard") -> DataFrame:
+    """Passed and all tests of each suite; without a column ``suite`` it is the part of the test's name before the first underscore, if that is one of ``suites``."""
+    if "suite" not in facts.columns:
+        prefix = F.substring_index("test", "_", 1)
+        facts = facts.withColumn("suite", F.when(prefix.isin(suites), prefix).otherwise(otherwise))
+    names = [otherwise, *(s for s in suites if s != otherwise)]
+    of = lambda s: F.col("suite") == s
+    return facts.groupBy(*by).agg(*(c for s in names for c in (F.count_if(of(s) & F.col("passed")).alias(f"{s}_passed"), F.count_if(of(s)).alias(f"{s}_tests"))))
+
+
+def shape_stats(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
+    """(by..., column, skewness, kurtosis): third and fourth standardised moments, the latter less 3."""
+    stats = F.array(*(F.struct(F.lit(c).alias("column"), F.skewness(c).alias("skewness"), F.kurtosis(c).alias("kurtosis")) for c in cols))
+    return df.groupBy(*(by or [])).agg(stats.alias("__s")).select(*(by or []), F.inline("__s"))
+
+
+def pivot_mean(df: DataFrame, index: list[str], col: str, levels: list, value: str) -> DataFrame:
+    """Means of ``value`` with a column for each of ``levels``."""
+    return df.groupBy(*index).pivot(col, levels).agg(F.avg(value))
+
+
 def describe(df: DataFrame, col: str, by: list[str] | None = None) -> DataFrame:
-    q = F.percentile(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    stats = [F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("min"), q.alias("__q"), F.max(col).alias("max")]
-    out = df.groupBy(*(by or [])).agg(*stats)
-    return out.select(*(by or []), "count", "mean", "std", "min", *(F.col("__q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))), "max")
+    """Count, mean, deviation, minimum, exact quartiles and maximum, in each group."""
+    by = by or []
+    stats = df.groupBy(*by).agg(F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("min"), F.max(col).alias("max"))
+    quarters = exact_quantiles(df, col, [0.25, 0.5, 0.75], by).withColumnsRenamed({"q0": "q25", "q1": "q50", "q2": "q75", **{k: f"__{k}" for k in by}})
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return stats.join(quarters, same, "left").select(*by, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def value_counts(df: DataFrame, col: str, k: int | None = None) -> DataFrame:
@@ -71,6 +101,21 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     return df.filter(F.col(col).isNotNull()).groupBy(bin_.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def ntile_label(df: DataFrame, col: str, key: list[str], labels: list, out: str = "label") -> DataFrame:
+    """Labels of equal parts of the rows in order of ``col`` and then ``key``; the first parts take what doesn't divide, nulls have none."""
+    k = len(labels)
+    places = df.filter(F.col(col).isNotNull()).select(*key, F.col(col).alias("__v"), F.lit(1).alias("__one"))
+    n = places.count()
+    size, more = n // k, n % k
+    at = F.col("__at")
+    part = F.when(at < more * (size + 1), F.floor(at / (size + 1))).otherwise(more + F.floor((at - more * (size + 1)) / max(size, 1)))
+    ranked = running(places, ["__v", *key], "__one", "__at").select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(key)), F.element_at(F.array(*map(F.lit, labels)), (part + 1).cast("int")).alias(out))
+    same = F.lit(True)
+    for i, c in enumerate(key):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    return df.join(ranked, same, "left").drop(*(f"__k{i}" for i in range(len(key))))
+
+
 def rank_models(perf: DataFrame, order: str = "model") -> DataFrame:
     """Ranks within a dataset by rmse, ties by ``order``; rows without rmse have none."""
     w = Window.partitionBy("dataset").orderBy(F.col("rmse").asc_nulls_last(), order)
@@ -103,11 +148,17 @@ def pareto(df: DataFrame, lo: str, hi: str, by: list[str] | None = None) -> Data
 def non_dominated(cands: DataFrame, refs: DataFrame, lo: str, hi: str) -> DataFrame:
     """Candidates that no reference dominates (lower-or-equal ``lo`` and higher-or-equal ``hi``, one of them strictly).
 
-    Only the references' Pareto front can dominate; it is small, and joined by the inequality.
+    All there is to know about the references at a value of ``lo`` is their best ``hi`` there and below it, which runs
+    by ranges over the distinct values; candidates with a null stay.
     """
-    front = pareto(refs, lo, hi).select(F.col(lo).alias("__l"), F.col(hi).alias("__h"))
-    beats = (F.col("__l") <= F.col(lo)) & (F.col("__h") >= F.col(hi)) & ((F.col("__l") < F.col(lo)) | (F.col("__h") > F.col(hi)))
-    return cands.join(front, beats, "left_anti")
+    lowest = F.lit(float("-inf"))
+    known = refs.filter(F.col(lo).isNotNull() & F.col(hi).isNotNull()).select(F.col(lo).cast("double").alias("__l"), F.col(hi).cast("double").alias("__h"))
+    places = known.unionByName(cands.filter(F.col(lo).isNotNull()).select(F.col(lo).cast("double").alias("__l"), lowest.alias("__h"))).groupBy("__l").agg(F.max("__h").alias("__h"))
+    best = running(places, "__l", "__h", "__below", "max").select("__l", "__h", F.coalesce("__below", lowest).alias("__below"))
+    joined = cands.withColumn("__at", F.col(lo).cast("double")).join(best, F.col("__at") == F.col("__l"), "left")
+    own = F.col(hi).cast("double")
+    beaten = (F.col("__below") >= own) | (F.col("__h") > own)
+    return joined.filter(~F.coalesce(beaten, F.lit(False))).select(*(F.col(f"`{c}`") for c in cands.columns))
 
 
 def dedup(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
@@ -140,3 +191,17 @@ def smooth(shape: DataFrame, passes: int = 3, middle: float = 0.6) -> DataFrame:
         a, b = F.lag("value").over(w), F.lead("value").over(w)
         shape = shape.withColumn("value", F.when(a.isNull() | b.isNull(), F.col("value")).otherwise(side * a + middle * F.col("value") + side * b))
     return shape
+
+
+#: Weights of the five-point Gaussian kernel from the middle outwards.
+FIVE = (6.0, 4.0, 1.0)
+
+
+def smooth_five(shape: DataFrame, passes: int = 1, weights: tuple[float, float, float] = FIVE) -> DataFrame:
+    """(feature, bin, value): means with two neighbours on each side; at the ends, of those that are there."""
+    w = Window.partitionBy("feature").orderBy("bin")
+    for _ in range(passes):
+        near = [(F.col("value"), weights[0])] + [(f("value", k).over(w), weights[k]) for k in (1, 2) for f in (F.lag, F.lead)]
+        total = sum((F.when(v.isNotNull(), F.lit(x)).otherwise(0.0) for v, x in near), F.lit(0.0))
+        shape = shape.withColumn("value", sum((F.coalesce(v, F.lit(0.0)) * x for v, x in near), F.lit(0.0)) / total)
+    return shape

@@ -6,12 +6,16 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dist
-from ..plans.gram import gram
+from ..plans.gram import MOST_GROUPS, Moments, gram
 from ..plans.order import running, value_ranks
+from .linear import ols
 
 
 @dataclass(frozen=True)
@@ -21,13 +25,33 @@ class Test:
     p: float
 
 
-def _moments(df: DataFrame, value: str, group: str) -> dict:
-    rows = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v")).collect()
-    return {r[group]: (r.n, r.m, r.v or 0.0) for r in rows}
+#: Two-sided, or that the first is ``greater`` or ``less``.
+SIDES = ("two-sided", "greater", "less")
 
 
-def ttest_ind(df: DataFrame, value: str, group: str, a, b, equal_var: bool = True) -> Test:
-    m = _moments(df.filter(F.col(group).isin(a, b)), value, group)
+def group_moments(df: DataFrame, value: str, group: str, groups: list | None = None) -> dict:
+    """{group: (n, mean, variance)} of the named groups, or of all of a column that is known to have few values."""
+    rows = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
+    if groups is not None:
+        rows = rows.filter(F.col(group).isin(*groups))
+    found = rows.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v")).limit(MOST_GROUPS + 1).collect()
+    if len(found) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups: name those that are wanted")
+    return {r[group]: (r.n, r.m, r.v or 0.0) for r in found}
+
+
+def _tail(t: float, two_sided: float, side: str) -> float:
+    """The p-value of a symmetric statistic for one of ``SIDES``."""
+    if side not in SIDES:
+        raise ValueError(f"one of {SIDES} is expected")
+    if side == "two-sided":
+        return min(1.0, two_sided)
+    return two_sided / 2 if (t > 0) == (side == "greater") else 1 - two_sided / 2
+
+
+def ttest_ind(df: DataFrame | None, value: str, group: str, a, b, equal_var: bool = True, side: str = "two-sided", moments: dict | None = None) -> Test:
+    """``moments`` (of ``group_moments``) saves reading the rows again where several tests are made."""
+    m = moments or group_moments(df, value, group, [a, b])
     (n1, m1, v1), (n2, m2, v2) = m[a], m[b]
     if equal_var:
         d = n1 + n2 - 2
@@ -36,17 +60,29 @@ def ttest_ind(df: DataFrame, value: str, group: str, a, b, equal_var: bool = Tru
         e1, e2 = v1 / n1, v2 / n2
         d, se = (e1 + e2) ** 2 / (e1**2 / (n1 - 1) + e2**2 / (n2 - 1)), math.sqrt(e1 + e2)
     t = (m1 - m2) / se
-    return Test(t, d, dist.t_sf2(t, d))
+    return Test(t, d, _tail(t, dist.t_sf2(t, d), side))
 
 
-def ttest_1samp(df: DataFrame, value: Column, mean: float = 0.0) -> Test:
+def ttest_1samp(df: DataFrame, value: Column, mean: float = 0.0, side: str = "two-sided") -> Test:
     """One sample, or pairs by their difference."""
     r = df.agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.stddev_samp(value).alias("s")).first()
     t = (r.m - mean) / (r.s / math.sqrt(r.n))
-    return Test(t, r.n - 1, dist.t_sf2(t, r.n - 1))
+    return Test(t, r.n - 1, _tail(t, dist.t_sf2(t, r.n - 1), side))
+
+
+def paired(df: DataFrame, entity: str, condition: str, value: str, a, b) -> DataFrame:
+    """(entity, a, b, d): each entity's means under two conditions and their difference; entities without both are left out."""
+    of = lambda level: F.avg(F.when(F.col(condition) == level, F.col(value)))
+    means = df.filter(F.col(condition).isin(a, b)).groupBy(F.col(entity).alias("entity")).agg(of(a).alias("a"), of(b).alias("b"))
+    return means.withColumn("d", F.col("a") - F.col("b")).filter("d is not null")
+
 
+def ttest_rel(df: DataFrame, entity: str, condition: str, value: str, a, b, side: str = "two-sided") -> Test:
+    """Paired t-test on the entities' means."""
+    return ttest_1samp(paired(df, entity, condition, value, a, b), F.col("d"), 0.0, side)
 
-def mann_whitney(df: DataFrame, value: str, group: str, a, b) -> Test:
+
+def mann_whitney(df: DataFrame, value: str, group: str, a, b, side: str = "two-sided") -> Test:
     """U of group ``a``, with average ranks, tie and continuity corrections.
 
     Ranks come from the running count over distinct values, so equal values are never gathered in a task.
@@ -57,8 +93,10 @@ def mann_whitney(df: DataFrame, value: str, group: str, a, b) -> Test:
     na, nb = r.na, r.n - r.na
     u = r.r - na * (na + 1) / 2
     sd = math.sqrt(na * nb / 12 * (r.n + 1 - r.ties / (r.n * (r.n - 1))))
-    z = (abs(u - na * nb / 2) - 0.5) / sd
-    return Test(u, r.n, min(1.0, 2 * dist.normal_sf(z)))
+    gap = u - na * nb / 2
+    if side == "two-sided":
+        return Test(u, r.n, min(1.0, 2 * dist.normal_sf((abs(gap) - 0.5) / sd)))
+    return Test(u, r.n, dist.normal_sf(((gap if side == "greater" else -gap) - 0.5) / sd))
 
 
 def wilcoxon(df: DataFrame, difference: Column) -> Test:
@@ -71,26 +109,60 @@ def wilcoxon(df: DataFrame, difference: Column) -> Test:
 
 
 def chi2_contingency(df: DataFrame, a: str, b: str, correction: bool = True) -> Test:
-    """Independence of two columns; 2x2 tables are Yates-corrected unless told otherwise."""
-    cells = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("n")).collect()
-    rows, cols = sorted({c[a] for c in cells}), sorted({c[b] for c in cells})
-    table = np.zeros((len(rows), len(cols)))
-    for c in cells:
-        table[rows.index(c[a]), cols.index(c[b])] = c.n
-    expected = np.outer(table.sum(1), table.sum(0)) / table.sum()
-    gap, d = np.abs(table - expected), (len(rows) - 1) * (len(cols) - 1)
-    if d == 1 and correction:
-        gap = gap - np.minimum(0.5, gap)
-    x = float((gap**2 / expected).sum())
-    return Test(x, d, dist.chi2_sf(x, d))
+    """Independence of two columns; 2x2 tables are Yates-corrected unless told otherwise.
+
+    Cells and margins stay distributed: the statistic is n (sum of cell^2 / (row * column) - 1), so empty cells need no row.
+    """
+    cells = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    rows, cols = (cells.groupBy(k).agg(F.sum("n").alias(f"n{k}")) for k in "ab")
+    joined = cells.join(rows, "a").join(cols, "b")
+    r = joined.agg(F.sum(F.col("n") / F.col("na") * F.col("n") / F.col("nb")).alias("x"), F.sum("n").alias("n"), F.count_distinct("a").alias("ra"), F.count_distinct("b").alias("rb")).first()
+    x, d = r.n * (r.x - 1), (r.ra - 1) * (r.rb - 1)
+    if d == 1 and correction:  # four cells at most
+        table = np.zeros((2, 2))
+        found = cells.collect()
+        ka, kb = sorted({c.a for c in found}), sorted({c.b for c in found})
+        for c in found:
+            table[ka.index(c.a), kb.index(c.b)] = c.n
+        expected = np.outer(table.sum(1), table.sum(0)) / table.sum()
+        gap = np.abs(table - expected)
+        x = float(((gap - np.minimum(0.5, gap)) ** 2 / expected).sum())
+    return Test(float(x), d, dist.chi2_sf(x, d))
 
 
 def anova_oneway(df: DataFrame, value: str, group: str) -> Test:
-    m = _moments(df, value, group)
-    n, k = sum(x[0] for x in m.values()), len(m)
-    grand = sum(x[0] * x[1] for x in m.values()) / n
-    f = sum(x[0] * (x[1] - grand) ** 2 for x in m.values()) / (k - 1) / (sum((x[0] - 1) * x[2] for x in m.values()) / (n - k))
-    return Test(f, n - k, dist.f_sf(f, k - 1, n - k))
+    """F of the groups' means; the groups' moments are summed up in Spark, however many there are."""
+    by = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("v"))
+    r = by.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * F.col("m")).alias("s"), F.sum((F.col("n") - 1) * F.col("v")).alias("within")).first()
+    between = by.agg(F.sum(F.col("n") * F.pow(F.col("m") - r.s / r.n, 2)).alias("b")).first().b
+    f = between / (r.k - 1) / (r.within / (r.n - r.k))
+    return Test(f, r.n - r.k, dist.f_sf(f, r.k - 1, r.n - r.k))
+
+
+def anova_lm(m: Moments, terms: dict[str, list[str]]) -> list[tuple[str, int, float, float, float]]:
+    """Type II table (term, df, sum of squares, F, p) of a linear model, all submodels solved from one moment job.
+
+    ``terms`` names each term's columns of ``m``; a term's sum of squares is what it adds to all terms that don't
+    contain it, and ``a:b`` contains ``a`` and ``b``.
+    """
+    place = {n: i for i, n in enumerate(m.names)}
+    holds = lambda big, small: set(small.split(":")) < set(big.split(":"))
+
+    def fit(names: list[str]) -> tuple[float, int]:
+        keep = [place[c] for t in names for c in terms[t]]
+        e = ols(m, keep)
+        _, s, _, _, _ = m.centered()
+        return m.sse(e.coef, e.intercept), int(np.linalg.matrix_rank(s[np.ix_(keep, keep)])) if keep else 0
+
+    whole, rank = fit(list(terms))
+    d, out = m.rows - rank - 1, []
+    for t in terms:
+        rest = [o for o in terms if o != t and not holds(o, t)]
+        (with_, r1), (without, r0) = fit([*rest, t]), fit(rest)
+        ss, k = without - with_, r1 - r0
+        f = ss / max(k, 1) / (whole / d)
+        out.append((t, k, ss, f, dist.f_sf(f, k, d)))
+    return [*out, ("residual", int(d), whole, None, None)]
 
 
 def pearson(df: DataFrame, x: str, y: str) -> Test:
@@ -120,32 +192,64 @@ def partial_corr(df: DataFrame, x: str, y: str, controls: list[str]) -> float:
     return float(-s[0, -1] / math.sqrt(s[0, 0] * s[-1, -1]))
 
 
-def prop_ztest(df: DataFrame, success: str, group: str, a, b) -> Test:
-    m = _moments(df.filter(F.col(group).isin(a, b)), success, group)
+def prop_ztest(df: DataFrame, success: str, group: str, a, b, side: str = "two-sided") -> Test:
+    m = group_moments(df, success, group, [a, b])
     (n1, p1, _), (n2, p2, _) = m[a], m[b]
     p = (n1 * p1 + n2 * p2) / (n1 + n2)
     z = (p1 - p2) / math.sqrt(p * (1 - p) * (1 / n1 + 1 / n2))
-    return Test(z, n1 + n2, 2 * dist.normal_sf(abs(z)))
+    return Test(z, n1 + n2, _tail(z, 2 * dist.normal_sf(abs(z)), side))
 
 
-def cohens_d(df: DataFrame, value: str, group: str, a, b) -> float:
-    m = _moments(df.filter(F.col(group).isin(a, b)), value, group)
+def cohens_d(df: DataFrame | None, value: str, group: str, a, b, moments: dict | None = None) -> float:
+    m = moments or group_moments(df, value, group, [a, b])
     return (m[a][1] - m[b][1]) / math.sqrt((m[a][2] + m[b][2]) / 2)
 
 
+def cohens_dz(df: DataFrame, entity: str, condition: str, value: str, a, b) -> float:
+    """The mean of the entities' differences in their own deviations."""
+    r = paired(df, entity, condition, value, a, b).agg(F.avg("d").alias("m"), F.stddev_samp("d").alias("s")).first()
+    return r.m / r.s
+
+
 def cohens_h(p1: float, p2: float) -> float:
     return 2 * math.asin(math.sqrt(p1)) - 2 * math.asin(math.sqrt(p2))
 
 
+#: A factor may have so many levels in a design.
+MOST_LEVELS = 1000
+
+
+def design(df: DataFrame, numeric: list[str], factors: dict[str, object] | list[str] = (), interactions: list[tuple[str, str]] = ()) -> tuple[dict[str, Column], dict[str, list[str]]]:
+    """Columns of a linear model and the columns of each term.
+
+    Factors become indicators of all levels but the reference (the one given, or the first in order); interactions are
+    products of the columns of two terms.
+    """
+    cols, terms = {n: F.col(n).cast("double") for n in numeric}, {n: [n] for n in numeric}
+    for name in factors:
+        levels = sorted(r[0] for r in df.select(name).na.drop().distinct().limit(MOST_LEVELS + 1).collect())
+        if len(levels) > MOST_LEVELS:
+            raise ValueError(f"{name} has more than {MOST_LEVELS} levels")
+        ref = factors[name] if isinstance(factors, dict) and factors[name] is not None else levels[0] if levels else None
+        own = {f"{name}[{v}]": F.when(F.col(name).isNotNull(), (F.col(name) == v).cast("double")) for v in levels if v != ref}
+        cols, terms = cols | own, terms | {name: list(own)}
+    for a, b in interactions:
+        own = {f"{x}:{y}": cols[x] * cols[y] for x in terms[a] for y in terms[b]}
+        cols, terms = cols | own, terms | {f"{a}:{b}": list(own)}
+    return cols, terms
+
+
 def ols_inference(df: DataFrame, y: str, xs: dict[str, Column], cov: str = "plain", cluster: str | None = None, weight: Column | None = None) -> tuple[list[tuple], float, float]:
     """Rows (name, coef, se, t, p, low, high), R^2 and F.  ``cov``: plain, HC3, or cluster (with the column ``cluster``).
 
-    The coefficients take one moment job, robust errors a second pass that sums each row's or cluster's scores.
+    Rows with a null anywhere are left out of all sums.  With ``weight`` it is weighted least squares, and leverages
+    and scores are those of the weighted rows.  The coefficients take one moment job, robust errors a second pass that
+    sums each row's or cluster's scores.
     """
     names = ["intercept", *xs]
     m = gram(df, xs, F.col(y), weight=weight)[()]
     mean, s, c, yy, label = m.centered()
-    n, p = m.n if weight is None else float(df.count()), len(xs)
+    n, p = m.rows, len(xs)
     beta = np.linalg.solve(s, c)
     sse = yy - beta @ c
     b0 = label - mean @ beta
@@ -154,15 +258,15 @@ def ols_inference(df: DataFrame, y: str, xs: dict[str, Column], cov: str = "plai
     if cov == "plain":
         v = sse / (n - p - 1) * inv
     else:
-        z = [F.lit(1.0), *xs.values()]
+        z, w = [F.lit(1.0), *xs.values()], F.lit(1.0) if weight is None else weight.cast("double")
         e = F.col(y) - sum((float(b) * x for b, x in zip(beta, xs.values(), strict=True)), F.lit(float(b0)))
         if cov == "HC3":
-            h = sum((float(inv[i, j]) * z[i] * z[j] for i in range(p + 1) for j in range(p + 1)), F.lit(0.0))
-            meat = gram(df.withColumn("__w", F.pow(e / (1 - h), 2)), xs, F.lit(0.0), weight=F.col("__w"))[()]
+            h = w * sum((float(inv[i, j]) * z[i] * z[j] for i in range(p + 1) for j in range(p + 1)), F.lit(0.0))
+            meat = gram(df.withColumn("__w", F.pow(w * e / (1 - h), 2)), xs, F.lit(0.0), weight=F.col("__w"))[()]
             raw = _uncentered(meat)
             v = inv @ raw @ inv
         else:
-            sums = df.groupBy(cluster).agg(*(F.sum(e * x).alias(f"__s{i}") for i, x in enumerate(z)))
+            sums = df.filter((w * e).isNotNull()).groupBy(cluster).agg(*(F.sum(w * e * x).alias(f"__s{i}") for i, x in enumerate(z)))
             row = sums.agg(F.count(F.lit(1)).alias("g"), *(F.sum(F.col(f"__s{i}") * F.col(f"__s{j}")).alias(f"m{i}_{j}") for i in range(p + 1) for j in range(p + 1))).first()
             raw = np.array([[row[f"m{i}_{j}"] for j in range(p + 1)] for i in range(p + 1)])
             v = inv @ raw @ inv * (row.g / (row.g - 1) * (n - 1) / (n - p - 1))
@@ -174,6 +278,36 @@ def ols_inference(df: DataFrame, y: str, xs: dict[str, Column], cov: str = "plai
     return out, 1 - sse / yy, ((yy - sse) / p) / (sse / d)
 
 
+def classifiers(df: DataFrame, y: Column, cols: list[str], held_out: Column, depth: int = 3) -> DataFrame:
+    """(model, auc, column, importance) of a logistic regression (standardised coefficients by size) and a shallow tree, AUC on the held-out rows."""
+    data = df.select(*(F.col(c).cast("double").alias(c) for c in cols), y.cast("double").alias("__y"), held_out.alias("__held")).na.drop()
+    data = VectorAssembler(inputCols=cols, outputCol="__features").transform(data)
+    train, test = data.filter("not __held"), data.filter("__held")
+    spread = np.array([x or 0.0 for x in train.agg(*(F.stddev_pop(c) for c in cols)).first()])
+    auc, out = BinaryClassificationEvaluator(labelCol="__y", rawPredictionCol="__raw"), []
+    names = {"featuresCol": "__features", "labelCol": "__y", "rawPredictionCol": "__raw", "probabilityCol": "__p", "predictionCol": "__pred"}
+    for name, job in (("logistic", LogisticRegression(**names)), ("tree", DecisionTreeClassifier(maxDepth=depth, seed=42, **names))):
+        fit = job.fit(train)
+        size = np.abs(fit.coefficients.toArray()) * spread if name == "logistic" else fit.featureImportances.toArray()
+        score = float(auc.evaluate(fit.transform(test)))
+        out += [(name, score, c, float(v / (size.sum() or 1.0))) for c, v in zip(cols, size, strict=True)]
+    return df.sparkSession.createDataFrame(out, "model string, auc double, column string, importance double")
+
+
+def evidence_score(evidence: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """``evidence`` (p, p_controlled, agreement, importance_rank, zeroed) with ``score`` from 0 to 100.
+
+    Strong: significant alone and with controls, most models agree, among the first three by importance: 75 to 100 with
+    the agreement.  None: a zero coefficient, not significant, of low rank: 0 to 15.  Between them, moderate is one
+    significant result with half of the models or more (40 to 70), weak the rest (15 to 40).
+    """
+    p, controlled, share, rank = (F.coalesce(F.col(c).cast("double"), F.lit(d)) for c, d in (("p", 1.0), ("p_controlled", 1.0), ("agreement", 0.0), ("importance_rank", 99.0)))
+    alone, both = p < alpha, (p < alpha) & (controlled < alpha)
+    level = F.when(both & (share >= 0.5) & (rank <= 3), 75 + 25 * share).when((alone | (controlled < alpha)) & (share >= 0.5), 40 + 30 * share)
+    none = F.coalesce(F.col("zeroed"), F.lit(False)) & ~alone & ~(controlled < alpha) & (rank > 3)
+    return evidence.withColumn("score", F.round(F.when(none, 15 * share).otherwise(F.coalesce(level, 15 + 25 * share)), 2))
+
+
 def _uncentered(m) -> np.ndarray:
     """Weighted cross products of (1, columns) without centers."""
     c = np.concatenate([[0.0], m.center[:-1]])

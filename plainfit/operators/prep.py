@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import clip, numeric
-from ..plans.order import running
+from ..plans.gram import Moments
+from ..plans.order import exact_quantiles, running
 
 
 def to_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -27,10 +29,12 @@ def split_columns(df: DataFrame) -> tuple[list[str], list[str]]:
 
 
 def quantiles(df: DataFrame, cols: list[str], qs: list[float], approximate: bool = False) -> dict[str, list[float]]:
-    """Quantile lists of columns in one pass; ``approximate`` bounds the memory of a task where values are many."""
-    make = (lambda c: F.percentile_approx(c, qs, 10_000)) if approximate else (lambda c: F.percentile(c, F.array(*map(F.lit, qs))))
-    row = df.agg(*(make(F.col(c)).alias(c) for c in cols)).first()
-    return {c: list(row[c]) if row[c] is not None else [None] * len(qs) for c in cols}
+    """Quantile lists of columns: exact ones from counts of values by ranges, or all in one pass, each within a ten-thousandth of its rank."""
+    if approximate:
+        row = df.agg(*(F.percentile_approx(F.col(c), qs, 10_000).alias(c) for c in cols)).first()
+        return {c: list(row[c]) if row[c] is not None else [None] * len(qs) for c in cols}
+    found = {c: exact_quantiles(df, c, qs).first() for c in cols}
+    return {c: list(r) if r is not None else [None] * len(qs) for c, r in found.items()}
 
 
 @dataclass
@@ -90,6 +94,38 @@ class Winsorizer:
         return df.withColumns({c: clip(F.col(c), *self.bounds[c]) for c in self.cols})
 
 
+@dataclass
+class Scaler:
+    """Columns as (c - shift) / width by the training rows: mean and deviation (``standard``) or minimum and range (``minmax``).
+
+    ``unscale`` turns coefficients of scaled columns into those of the raw ones, so that scoring needs no scaled copy.
+    """
+
+    cols: list[str]
+    kind: str = "standard"
+    shift: dict[str, float] = field(default_factory=dict)
+    width: dict[str, float] = field(default_factory=dict)
+
+    def fit(self, train: DataFrame) -> Scaler:
+        pairs = {"standard": (F.avg, F.stddev_pop), "minmax": (F.min, lambda c: F.max(c) - F.min(c))}[self.kind]
+        row = train.agg(*(f(c).cast("double").alias(f"{k}{i}") for i, c in enumerate(self.cols) for k, f in zip("ab", pairs, strict=True))).first()
+        self.shift = {c: row[f"a{i}"] or 0.0 for i, c in enumerate(self.cols)}
+        self.width = {c: row[f"b{i}"] or 1.0 for i, c in enumerate(self.cols)}  # a constant column is only shifted
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({c: (F.col(c) - self.shift[c]) / self.width[c] for c in self.cols})
+
+    def unscale(self, coef: dict[str, float], intercept: float) -> tuple[dict[str, float], float]:
+        raw = {c: b / self.width[c] for c, b in coef.items()}
+        return raw, intercept - sum(raw[c] * self.shift[c] for c in coef)
+
+
+def check_size(m: Moments, min_rows: int = 10, min_features: int = 1) -> bool:
+    """Whether a fit is worth while, from moments that are there anyway."""
+    return m.rows >= min_rows and len(m.names) >= min_features
+
+
 def qcut(df: DataFrame, col: str, q: int, out: str) -> DataFrame:
     """Quantile bins 0, 1, ..., right-closed, equal edges taken together; the minimum is in the first."""
     edges = sorted(set(quantiles(df, [col], [i / q for i in range(q + 1)])[col]))
@@ -121,9 +157,23 @@ def with_fold(df: DataFrame, key: list[str], k: int, seed: int = 42) -> DataFram
     return df.withColumn("fold", hashed(key, seed, k).cast("int"))
 
 
-def cap(df: DataFrame, key: list[str], max_rows: int, seed: int = 42) -> DataFrame:
-    """A seeded sample of at most ``max_rows`` rows (a sampling operator)."""
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(max_rows)
+def cap(df: DataFrame, key: list[str], max_rows: int, seed: int = 42, features: list[str] | None = None, max_features: int | None = None) -> DataFrame:
+    """A seeded sample of at most ``max_rows`` rows and, of the columns ``features``, at most ``max_features`` (a sampling operator)."""
+    out = df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(max_rows)
+    if features and max_features is not None and len(features) > max_features:
+        chosen = {features[i] for i in np.random.default_rng(seed).permutation(len(features))[:max_features]}
+        out = out.drop(*(c for c in features if c not in chosen))
+    return out
+
+
+def holdout(df: DataFrame, key: list[str], frac: float = 0.2, min_val: int = 20, small: int = 40, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(train, validation) by a hash of ``key``: ``frac`` of the rows, about ``min_val`` at least; up to ``small`` rows are both."""
+    n = df.count()
+    if n <= small:
+        return df, df
+    share = min(max(frac, min_val / n), (n - min_val) / n)
+    at, most = hashed(key, seed, 1 << 20), round(share * (1 << 20))
+    return df.filter(at >= most), df.filter(at < most)
 
 
 def bootstrap(df: DataFrame, key: list[str], b: int, seed: int = 42) -> DataFrame:

@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.gram import gram
+from ..sources.scratch import materialise
+from .additive import stump_gam
+from .linear import ridge
+from .model import linear_model
 
 
 @dataclass
@@ -47,9 +51,13 @@ class Corrected:
     """A readable model and, where its gate was open, a weighted teacher of its residuals.  ``base`` alone is the printed part."""
 
     base: object
-    corrector: Teacher | None
+    corrector: object | None
     weight: float
 
+    def card(self) -> str:
+        """The printed part, and that there is more where there is."""
+        return self.base.card() + (f"\nplus {self.weight:g} times a corrector of the residuals that is not printed" if self.corrector is not None else "")
+
     def transform(self, df: DataFrame, out: str = "pred") -> DataFrame:
         if self.corrector is None:
             return self.base.transform(df, out)
@@ -57,6 +65,14 @@ class Corrected:
         return both.withColumn(out, F.col(out) + self.weight * F.coalesce("__residual", F.lit(0.0))).drop("__residual")
 
 
+def with_additive_corrector(base, df: DataFrame, cols: list[str], label: Column, held_out: Column, gate: float = 0.1, **options) -> Corrected:
+    """As ``with_corrector``, with cyclic boosted stumps of the residuals."""
+    rest = label - base.column()
+    left = df.agg((F.avg(F.pow(rest, 2)) / F.var_pop(F.when(rest.isNotNull(), label))).alias("share")).first().share
+    options = {"cyclic": True, "rounds": 400, "straight": None, "passes": 0} | options
+    return Corrected(base, stump_gam(df, cols, rest, held_out, **options) if left is not None and left > gate else None, 1.0)
+
+
 def with_corrector(base, df: DataFrame, cols: list[str], label: Column, kind: str = "rf", gate: float = 0.1, weight: float = 1.0, **options) -> Corrected:
     """Fits residuals only if the base model leaves more than ``gate`` of the label's variance."""
     rest = label - base.column()
@@ -90,6 +106,93 @@ def blend_weights(df: DataFrame, predictions: list[str], label: Column) -> list[
     return w.tolist()
 
 
+@dataclass
+class Blend:
+    """A weighted sum of fitted models, with an intercept of its own."""
+
+    models: list
+    weights: list[float]
+    intercept: float
+
+    def transform(self, df: DataFrame, out: str = "pred") -> DataFrame:
+        names = [f"__b{i}" for i in range(len(self.models))]
+        for n, m in zip(names, self.models, strict=True):
+            df = m.transform(df, n)
+        total = sum((float(w) * F.col(n) for w, n in zip(self.weights, names, strict=True)), F.lit(float(self.intercept)))
+        return df.withColumn(out, total).drop(*names)
+
+
+def teacher_blend(df: DataFrame, cols: list[str], label: Column, held_out: Column, alpha: float = 1.0, trees: int | None = None) -> Blend:
+    """Boosted trees, a forest and a ridge, weighted by the held-out rows (none negative, sum 1), all fitted anew on all rows; the intercept follows the weights."""
+    def fits(rows: DataFrame) -> list:
+        m = gram(rows, {c: F.col(c) for c in cols}, label)[()]
+        return [teacher(rows, cols, label, "gbt", trees), teacher(rows, cols, label, "rf", trees), linear_model(ridge(m, alpha))]
+
+    scored = df.filter(held_out).select(*cols, label.cast("double").alias("__y"))
+    first, names = fits(df.filter(~held_out)), ["__b0", "__b1", "__b2"]
+    for n, m in zip(names, first, strict=True):
+        scored = m.transform(scored, n)
+    scored = materialise(scored.select(*names, "__y"), "blend")
+    weights = blend_weights(scored, names, F.col("__y"))
+    gap = scored.agg(F.avg(F.col("__y") - sum((float(w) * F.col(n) for w, n in zip(weights, names, strict=True)), F.lit(0.0)))).first()[0]
+    return Blend(fits(df), weights, gap or 0.0)
+
+
+def distil(df: DataFrame, label: Column, said: object, student: Callable[[DataFrame, Column], object], alpha: float = 0.6) -> object:
+    """What ``student`` (rows, label) learns from ``alpha`` of a teacher's prediction and the rest of the label itself."""
+    rows = said.transform(df, "__said").withColumn("__target", blended(label, {"__said": 1.0}, alpha))
+    return student(rows, F.col("__target"))
+
+
+@dataclass
+class DualPath:
+    """A strong model for scoring tables and a readable one; which of them answers is asked for, not guessed."""
+
+    batch: object
+    symbolic: object
+
+    def transform(self, df: DataFrame, out: str = "pred", mode: str = "batch") -> DataFrame:
+        return {"batch": self.batch, "symbolic": self.symbolic}[mode].transform(df, out)
+
+    def card(self) -> str:
+        return self.symbolic.card() + "\n(tables are scored by another model unless mode is symbolic)"
+
+
+def choose(candidates: dict[str, Callable[[DataFrame], object]], df: DataFrame, label: Column, fold: Column, k: int = 3) -> tuple[str, object, DataFrame]:
+    """The candidate of least cross-validated squared error, fitted on all rows, and (model, rmse) of all."""
+    errors = []
+    for name, fit in candidates.items():
+        e = cross_validated_error(df, fit, label, fold, k).agg((F.sum(F.pow("rmse", 2) * F.col("n")) / F.sum("n")).alias("mse")).first().mse
+        errors.append((name, float(e) ** 0.5))
+    best = min(errors, key=lambda x: x[1])[0]
+    return best, candidates[best](df), df.sparkSession.createDataFrame(errors, "model string, rmse double")
+
+
+@dataclass
+class Calibrated:
+    """slope * prediction + intercept."""
+
+    model: object
+    slope: float
+    intercept: float
+
+    def transform(self, df: DataFrame, out: str = "pred") -> DataFrame:
+        return self.model.transform(df, out).withColumn(out, self.slope * F.col(out) + self.intercept)
+
+
+def calibrate(model: object, df: DataFrame, label: Column) -> Calibrated:
+    """The straight line that brings a fitted model's predictions closest to the label; as they are where they don't vary."""
+    row = model.transform(df, "__said").agg(F.regr_slope(label, F.col("__said")).alias("b"), F.regr_intercept(label, F.col("__said")).alias("a")).first()
+    return Calibrated(model, row.b if row.b is not None else 1.0, row.a if row.a is not None else 0.0)
+
+
+def error_weights(df: DataFrame, predictions: list[str], label: Column) -> list[float]:
+    """Weights of predictions in inverse proportion to their squared errors."""
+    row = df.agg(*(F.avg(F.pow(label - F.col(c), 2)) for c in predictions)).first()
+    w = np.array([1 / max(e or 0.0, 1e-300) for e in row])
+    return (w / w.sum()).tolist()
+
+
 def blended(label: Column, teachers: dict[str, float], alpha: float) -> Column:
     """The label to distil: ``alpha`` of the weighted teachers' predictions and the rest of the label itself."""
     return alpha * sum((w * F.col(c) for c, w in teachers.items()), F.lit(0.0)) + (1 - alpha) * label

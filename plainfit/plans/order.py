@@ -1,40 +1,81 @@
-"""Running totals in the order of a column, for tables of any size: no window runs over all rows in one task."""
+"""Running totals in the order of columns, ranks and exact quantiles, for tables of any size: no window runs over all rows in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-#: The order is cut into so many ranges and one; each is summed up in a task of its own.
-RANGES = 255
+from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-def range_of(df: DataFrame, order: str) -> Column:
-    """The number of a row's range: bounds are distinct values, one of each of ``RANGES`` classes of their hashes."""
-    h = F.xxhash64(order)
-    picked = df.filter(F.col(order).isNotNull()).groupBy(F.pmod(h, F.lit(RANGES))).agg(F.min_by(order, h).alias("v")).collect()
-    bounds = sorted(r.v for r in picked if r.v == r.v)
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order)))
+from ..sources.scratch import materialise
 
 
-def running(df: DataFrame, order: str, value: str, out: str, kind: str = "sum") -> DataFrame:
+def running(df: DataFrame, order: str | Sequence[str], value: str, out: str, kind: str = "sum") -> DataFrame:
     """``df``, whose ``order`` is distinct, with ``out``: the sum (0 for the first) or max (null) of ``value`` over the rows before.
 
-    Sums run within a range, and what the ranges before hold comes as one broadcast row for each of at most 256 ranges.
+    The rows are sorted by ranges once and stored with the running total of their range; what the ranges before hold
+    is one row for each range, which is broadcast.  Sums keep the type of ``value`` (long or double), maxima are doubles.
     """
+    order = [order] if isinstance(order, str) else list(order)
+    at, whole = df.columns.index(value), kind == "sum" and not isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType))
+    schema = T.StructType([*df.schema, T.StructField("__range", T.IntegerType()), T.StructField("__own", T.LongType() if whole else T.DoubleType())])
+
+    def scan(batches):
+        part, held = TaskContext.get().partitionId(), 0 if kind == "sum" else -np.inf
+        for batch in batches:
+            v = batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64 if whole else np.float64)
+            if kind == "sum":
+                after = held + np.cumsum(v)
+                own = pa.array(after - v)
+            else:
+                after = np.maximum.accumulate(np.concatenate([[held], v]))
+                own = pa.array(after[:-1], mask=np.isneginf(after[:-1]))
+            held = after[-1] if len(after) else held
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(v), part, np.int32)), own], names=schema.names)
+
+    ranged = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(scan, schema), "running")
     agg = {"sum": F.sum, "max": F.max}[kind]
-    ranged = df.withColumn("__range", range_of(df, order))
-    before = (Window.unboundedPreceding, -1)
-    per = ranged.groupBy("__range").agg(agg(value).alias("__total"))
-    base = per.select("__range", agg("__total").over(Window.orderBy("__range").rowsBetween(*before)).alias("__base"))
-    own = ranged.withColumn("__own", agg(value).over(Window.partitionBy("__range").orderBy(order).rowsBetween(*before)))
-    both = F.greatest("__own", "__base") if kind == "max" else F.coalesce("__own", F.lit(0)) + F.coalesce("__base", F.lit(0))
-    return own.join(F.broadcast(base), "__range").withColumn(out, both).drop("__range", "__own", "__base")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    base = ranged.groupBy("__range").agg(agg(value).alias("__total")).select("__range", agg("__total").over(before).alias("__base"))
+    both = F.greatest("__own", F.col("__base").cast("double")) if kind == "max" else F.col("__own") + F.coalesce("__base", F.lit(0))
+    return ranged.join(F.broadcast(base), "__range").withColumn(out, both).drop("__range", "__own", "__base")
 
 
 def value_ranks(df: DataFrame, value: str) -> DataFrame:
     """(value, count, rank) of the distinct values that aren't null, ties with their mean rank."""
     by = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("count"))
     return running(by, value, "count", "__below").select(value, "count", (F.col("__below") + (F.col("count") + 1) / 2).alias("rank"))
+
+
+def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., q0, q1, ...): linearly interpolated quantiles of the values that aren't null or NaN, in each group.
+
+    Counts of distinct values run by ranges of (group, value), and only the values at the wanted ranks are compared,
+    so that no task holds the values of a group, however large it is.
+    """
+    by = list(by)
+    known = df.filter(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
+    counts = known.groupBy(*by, F.col(col).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    if not by:
+        counts = counts.withColumn("__g", F.lit(0))
+    keys = by or ["__g"]
+    below = running(counts, [*keys, "__v"], "__c", "__below")
+    size = below.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(F.sum("__c").alias("__n"), F.min("__below").alias("__first"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    from_ = F.col("__below") - F.col("__first")
+    wanted, out = F.lit(False), []
+    for i, q in enumerate(qs):
+        place = (F.col("__n") - 1) * float(q)
+        low, high = F.floor(place), F.ceil(place)
+        at = lambda k: (from_ <= k) & (k < from_ + F.col("__c"))
+        wanted = wanted | at(low) | at(high)
+        a, b = F.max(F.when(at(low), F.col("__v"))), F.max(F.when(at(high), F.col("__v")))
+        out.append((a + (b - a) * F.max(place - low)).alias(f"q{i}"))
+    found = below.join(size, same).filter(wanted)
+    return found.groupBy(*keys).agg(*out).select(*by, *(f"q{i}" for i in range(len(qs))))

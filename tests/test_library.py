@@ -108,7 +108,7 @@ def test_models_say_what_they_score(spark, data, tmp_path):
     parts = model.contributions(df, ["id"]).groupBy("id").agg((F.sum("part") + 1).alias("p"))
     assert model.transform(df).join(parts, "id").filter("abs(p - pred) > 1e-9").count() == 0
     assert model.importance(df).agg(F.sum("share")).first()[0] == pytest.approx(1)
-    curve = effect_curve(model, df, "a").orderBy("a").collect()
+    curve = effect_curve(model, df, list("abcd"), "a").orderBy("a").collect()
     assert len(curve) == 60 and curve[-1].pred > curve[0].pred
     assert toggle_effect(linear_model(L.Equation(["a"], np.array([3.0]), 0.0)), df, "a").first()[0] == pytest.approx(3)
     df.write.parquet(str(tmp_path / "in"))
