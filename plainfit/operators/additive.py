@@ -210,13 +210,16 @@ def shape_trees(df: DataFrame, cols: list[str], label: Column, held_out: Column,
 
 
 def dictionary(cols: list[str], knots: dict[str, list[float]], kinds: tuple[str, ...] = ("linear", "hinge")) -> list[Term]:
-    """Candidate terms: each column's linear, square (about its middle knot), hinges and steps at its knots, and products of two."""
+    """Candidate terms: each column's linear, square and kink (about its middle knot), hinges and steps at its knots, sine and decay, products of two, and others beyond its middle knot."""
     out = []
     for i, c in enumerate(cols):
         out += [Term("linear", c, 1.0)] if "linear" in kinds else []
         out += [Term("square", c, 1.0, knot=knots[c][len(knots[c]) // 2])] if "square" in kinds and knots[c] else []
         out += [Term("hinge", c, 1.0, knot=k, direction=d) for k in knots[c] for d in (1, -1)] if "hinge" in kinds else []
         out += [Term("step", c, 1.0, knot=k) for k in knots[c]] if "step" in kinds else []
+        out += [Term("kink", c, 1.0, knot=knots[c][len(knots[c]) // 2])] if "kink" in kinds and knots[c] else []
+        out += [Term("gate", c, 1.0, other, knot=knots[c][len(knots[c]) // 2]) for other in cols if other != c] if "gate" in kinds and knots[c] else []
+        out += [Term(k, c, 1.0) for k in ("sin", "decay") if k in kinds]
         out += [Term("interact", c, 1.0, other) for other in cols[i + 1 :]] if "interact" in kinds else []
     return out
 
@@ -516,11 +519,13 @@ def fourier_ridge(df: DataFrame, cols: list[str], label: Column, fold: Column, c
     return model
 
 
-def symbolic(df: DataFrame, cols: list[str], label: Column, held_out: Column, knots: int = 3, most: int = 12, alpha: float = 1e-6, cost: float = 0.002, small: float = 0.01, kinds: tuple[str, ...] = ("linear", "square", "hinge", "step", "interact")) -> TermModel:
-    """A short equation: terms are added by their error on the held-out rows, as long as each lowers it by the share ``cost`` and half as much more for a new column; effects below the share ``small`` of the largest are then left out."""
+def symbolic(df: DataFrame, cols: list[str], label: Column, held_out: Column, knots: int = 3, most: int = 12, alpha: float = 1e-6, cost: float = 0.002, small: float = 0.01, kinds: tuple[str, ...] = ("linear", "square", "hinge", "step", "interact"), gain: float = 0.0) -> TermModel:
+    """A short equation: terms are added by their error on the held-out rows, as long as each lowers it by the share ``cost`` and half as much more for a new column, and by ``gain``; effects below the share ``small`` of the largest are then left out."""
     terms = dictionary(cols, dict(zip(cols, edges_of(df, cols, knots + 1), strict=True)), kinds)
     parts = _term_moments(df, terms, label, held_out)
-    train, valid = parts[(0,)], parts[(1,)]
+    if not parts:
+        return TermModel([], 0.0)
+    train, valid = parts.get((0,)) or parts[(1,)], parts.get((1,)) or parts[(0,)]
 
     def error(keep: list[int]) -> float:
         fit = ridge(train, alpha, keep=keep)
@@ -534,11 +539,11 @@ def symbolic(df: DataFrame, cols: list[str], label: Column, held_out: Column, kn
     while len(chosen) < most:
         priced = [(error([*chosen, i]), i) for i in range(len(terms)) if i not in chosen]
         priced = [(e * (1 + cost * (1 + 0.5 * len(columns([*chosen, i]) - columns(chosen)))), e, i) for e, i in priced]
-        if not priced or min(priced)[0] >= now:
+        if not priced or min(priced)[0] >= now * (1 - gain):
             break
         _, now, best = min(priced)
         chosen.append(best)
-    whole = train + valid
+    whole = train + valid if len(parts) == 2 else train
     fit = ridge(whole, alpha, keep=sorted(chosen))
     if chosen:
         fit = prune(whole, fit, small)

@@ -103,17 +103,13 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
 
 def ntile_label(df: DataFrame, col: str, key: list[str], labels: list, out: str = "label") -> DataFrame:
     """Labels of equal parts of the rows in order of ``col`` and then ``key``; the first parts take what doesn't divide, nulls have none."""
-    k = len(labels)
-    places = df.filter(F.col(col).isNotNull()).select(*key, F.col(col).alias("__v"), F.lit(1).alias("__one"))
-    n = places.count()
-    size, more = n // k, n % k
+    known = df.filter(F.col(col).isNotNull())
+    size, more = divmod(known.count(), len(labels))
+    ranked = running(known.withColumn("__one", F.lit(1)), [col, *key], "__one", "__at")
     at = F.col("__at")
     part = F.when(at < more * (size + 1), F.floor(at / (size + 1))).otherwise(more + F.floor((at - more * (size + 1)) / max(size, 1)))
-    ranked = running(places, ["__v", *key], "__one", "__at").select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(key)), F.element_at(F.array(*map(F.lit, labels)), (part + 1).cast("int")).alias(out))
-    same = F.lit(True)
-    for i, c in enumerate(key):
-        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
-    return df.join(ranked, same, "left").drop(*(f"__k{i}" for i in range(len(key))))
+    labelled = ranked.withColumn(out, F.element_at(F.array(*map(F.lit, labels)), (part + 1).cast("int"))).drop("__one", "__at")
+    return labelled.unionByName(df.filter(F.col(col).isNull()).withColumn(out, F.lit(None).cast(labelled.schema[out].dataType)))
 
 
 def rank_models(perf: DataFrame, order: str = "model") -> DataFrame:

@@ -36,13 +36,13 @@ class Teacher:
         return self.model.transform(data).withColumn(out, F.when(whole, F.col("__teacher"))).drop("__features", "__teacher", *names)
 
 
-def teacher(df: DataFrame, cols: list[str], label: Column, kind: str = "rf", trees: int | None = None, depth: int | None = None, seed: int = 42) -> Teacher:
-    """A random forest (50 trees of depth 5) or boosted trees (100 of depth 3); rows with nulls are left out of the fit."""
+def teacher(df: DataFrame, cols: list[str], label: Column, kind: str = "rf", trees: int | None = None, depth: int | None = None, seed: int = 42, rate: float = 0.1) -> Teacher:
+    """A random forest (50 trees of depth 5) or boosted trees (100 of depth 3, each counting ``rate``); rows with nulls are left out of the fit."""
     job, n, d = {"rf": (RandomForestRegressor, "numTrees", 50), "gbt": (GBTRegressor, "maxIter", 100)}[kind]
     d, n = (n, trees or d)
     data = df.select(*(F.col(c).cast("double").alias(f"__f{i}") for i, c in enumerate(cols)), label.cast("double").alias("__y")).na.drop()
     data = VectorAssembler(inputCols=[f"__f{i}" for i in range(len(cols))], outputCol="__features").transform(data)
-    made = job(featuresCol="__features", labelCol="__y", predictionCol="__teacher", maxDepth=depth or {"rf": 5, "gbt": 3}[kind], seed=seed, **{d: n})
+    made = job(featuresCol="__features", labelCol="__y", predictionCol="__teacher", maxDepth=depth or {"rf": 5, "gbt": 3}[kind], seed=seed, **{d: n}, **({"stepSize": rate} if kind == "gbt" else {}))
     return Teacher(cols, made.fit(data))
 
 
@@ -122,11 +122,14 @@ class Blend:
         return df.withColumn(out, total).drop(*names)
 
 
-def teacher_blend(df: DataFrame, cols: list[str], label: Column, held_out: Column, alpha: float = 1.0, trees: int | None = None) -> Blend:
-    """Boosted trees, a forest and a ridge, weighted by the held-out rows (none negative, sum 1), all fitted anew on all rows; the intercept follows the weights."""
+def teacher_blend(df: DataFrame, cols: list[str], label: Column, held_out: Column, alpha: float = 1.0, trees: int | None = None, gbt: tuple[int, int, float] = (100, 3, 0.1), rf: tuple[int, int] = (50, 5)) -> Blend:
+    """Boosted trees (number, depth, rate), a forest (number, depth) and a ridge, weighted by the held-out rows (none negative, sum 1), all fitted anew on all rows; the intercept follows the weights.
+
+    ``trees`` replaces both numbers.
+    """
     def fits(rows: DataFrame) -> list:
         m = gram(rows, {c: F.col(c) for c in cols}, label)[()]
-        return [teacher(rows, cols, label, "gbt", trees), teacher(rows, cols, label, "rf", trees), linear_model(ridge(m, alpha))]
+        return [teacher(rows, cols, label, "gbt", trees or gbt[0], gbt[1], rate=gbt[2]), teacher(rows, cols, label, "rf", trees or rf[0], rf[1]), linear_model(ridge(m, alpha))]
 
     scored = df.filter(held_out).select(*cols, label.cast("double").alias("__y"))
     first, names = fits(df.filter(~held_out)), ["__b0", "__b1", "__b2"]

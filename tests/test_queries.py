@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from plainfit import registry
+from plainfit import registry_more as registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
