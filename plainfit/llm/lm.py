@@ -5,11 +5,12 @@ taken off), else the model would know every text by heart: a token's score is c(
 elsewhere, else 0.4 times the score of the shorter gram, and at last (c(token) + 1) / (N + V + 1), with N tokens and V distinct
 tokens of the other documents.  A document's score is the mean natural logarithm over its tokens.
 
-How it runs: documents are stored as blocks of word hashes.  Each block is exploded into its distinct n-grams with
-their counts; these rows are dealt by the n-gram's hash, summed up to the count table there, and joined with it.  What
-other blocks hold too goes back to the block with its count in the corpus, where the logarithms are summed per
-document.  A frequent n-gram is one row per block, however many documents hold it, and rows, shuffles and what a task
-reads grow with the corpus, or not at all.
+How it runs: documents are stored as blocks of word hashes.  The distinct n-grams of a block are dealt with their counts
+to parts by their hash, one row of arrays for each block and part, and exploded to rows (gram, block, n) there.  A
+window over the n-gram sums the count table of a part and joins it with those rows in one sort, since each n-gram is in
+one part only.  The counts go back to the blocks, in order of the n-grams, and there the logarithms are summed per
+document.  A frequent n-gram is one row per block, however many documents hold it; there are never more rows than
+n-grams of blocks, and what a task reads does not grow with the corpus.
 
 Words are runs of letters and digits, lower-cased.  Texts without words, null and empty ones too, have no tokens and a
 null score.  Repeated rows are documents of their own.  Further columns are ignored.  An empty table gives an empty
@@ -22,13 +23,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, materialise, mix64, text_or_empty, words_of
 
-BACKOFF, BLOCK_WORDS, PART_WORDS, MOST_ORDER = 0.4, 2_000_000, 1_500_000, 8
+BACKOFF, BLOCK_WORDS, PART_WORDS, TASK_PARTS, MOST_ORDER = 0.4, 2_000_000, 400_000, 4, 8
 _words = WordHashes()
 
 
@@ -45,7 +47,8 @@ def grams(words: np.ndarray, sizes: np.ndarray, order: int) -> tuple[np.ndarray,
 def stored_blocks(docs: DataFrame, id_column: str) -> DataFrame:
     """(block, ids, known, sizes, words, n): documents as arrays, in blocks of about ``BLOCK_WORDS`` words, a document at least.
 
-    ``known`` tells which ids are not null.  ``words`` are indices into ``hashes``, the block's sorted distinct word hashes.
+    ``known`` tells which ids are not null.  ``words`` are indices into ``hashes``, the block's sorted distinct word
+    hashes; they are stored byte by byte, all lowest ones first, and compressed, since blocks are shuffled too.
     """
     schema = "block long, n long, ids binary, known binary, sizes binary, hashes binary, words binary"
 
@@ -55,7 +58,7 @@ def stored_blocks(docs: DataFrame, id_column: str) -> DataFrame:
         def block():
             flat = np.concatenate(arrays)
             hashes, index = np.unique(flat, return_inverse=True)
-            row = [task << 32 | made, len(flat), np.array([i or 0 for i in ids], dtype=np.int64).tobytes(), bytes(i is not None for i in ids), np.array([len(a) for a in arrays], dtype=np.int64).tobytes(), hashes.tobytes(), index.astype(np.uint32).tobytes()]
+            row = [task << 32 | made, len(flat), np.array([i or 0 for i in ids], dtype=np.int64).tobytes(), bytes(i is not None for i in ids), np.array([len(a) for a in arrays], dtype=np.int64).tobytes(), hashes.tobytes(), zstandard.compress(index.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int64(), pa.int64(), *[pa.binary()] * 5], strict=True)], names=[f.split()[0] for f in schema.split(", ")])
 
         for batch in batches:
@@ -75,24 +78,49 @@ def stored_blocks(docs: DataFrame, id_column: str) -> DataFrame:
 def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, sizes, word hashes) of a stored block."""
     hashes = np.frombuffer(row["hashes"], np.uint64)
-    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int64), hashes[np.frombuffer(row["words"], np.uint32)]
+    index = np.frombuffer(zstandard.decompress(row["words"]), np.uint8).reshape(4, -1).T
+    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int64), hashes[np.ascontiguousarray(index).view("<u4").ravel()]
 
 
-def exploded(blocks: DataFrame, order: int) -> DataFrame:
-    """(gram, block, n): the distinct n-grams of each block, of all orders up to ``order``, and how often it holds them."""
+def small(counts: np.ndarray) -> bytes:
+    """Counts in the least unsigned type that holds them, its width first."""
+    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(counts) or counts.max() <= np.iinfo(t).max)
+    return bytes([np.dtype(kind).itemsize]) + counts.astype(kind).tobytes()
+
+
+def unsmall(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
+def bounds(parts: int) -> np.ndarray:
+    """The first hash of each of ``parts`` ranges but the first."""
+    return np.array([(k << 64) // parts for k in range(1, parts)], dtype=np.uint64)
+
+
+def dealt(words: np.ndarray, sizes: np.ndarray, order: int, cuts: np.ndarray):
+    """For each order up to ``order``: it, the sorted distinct n-grams, which one ends at each place that has one, those places, their counts, and where each part begins and ends."""
+    for k in range(1, order + 1):
+        hashes, there = grams(words, sizes, k)
+        found, where, count = np.unique(hashes[there], return_inverse=True, return_counts=True)
+        yield k, found, where, there, count, [0, *np.searchsorted(found, cuts).tolist(), len(found)]
+
+
+def exploded(blocks: DataFrame, order: int, parts: int) -> DataFrame:
+    """(part, block, gram, n): the distinct n-grams of each block, of all orders up to ``order``, and how often it holds them; all rows of a part are in one partition."""
+    cuts, names = bounds(parts), ["part", "block", "grams", "ns"]
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 _, sizes, words = unpack(row)
-                for k in range(1, order + 1):
-                    hashes, there = grams(words, sizes, k)
-                    found, count = np.unique(hashes[there], return_counts=True)
-                    for at in range(0, len(found), 1 << 16):
-                        part = slice(at, at + (1 << 16))
-                        yield pa.RecordBatch.from_arrays([pa.array(found[part].view(np.int64)), pa.array(np.full(len(found[part]), row["block"])), pa.array(count[part].astype(np.int32))], names=["gram", "block", "n"])
+                for _, found, _, _, count, at in dealt(words, sizes, order, cuts):
+                    some = [p for p in range(parts) if at[p + 1] > at[p]]
+                    places = pa.array([0, *(at[p + 1] for p in some)], pa.int32())
+                    lists = [pa.ListArray.from_arrays(places, pa.array(x)) for x in (found.view(np.int64), count.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([row["block"]] * len(some), pa.int64()), *lists], names=names)
 
-    return blocks.select("block", "ids", "sizes", "hashes", "words").mapInArrow(run, "gram long, block long, n int")
+    packed = blocks.select("block", "ids", "sizes", "hashes", "words").mapInArrow(run, "part int, block long, grams array<long>, ns array<int>")
+    return packed.repartition(max(1, parts // TASK_PARTS), "part").select("part", "block", F.inline(F.arrays_zip(F.col("grams").alias("gram"), F.col("ns").alias("n"))).alias("gram", "n"))
 
 
 def distinct_words(blocks: DataFrame) -> int:
@@ -111,30 +139,46 @@ def backoff_scores(docs: DataFrame, order: int = 3, id_column: str = "doc_id") -
     blocks = stored_blocks(docs, id_column)
     total = blocks.agg(F.sum("n")).first()[0] or 0
     vocabulary = distinct_words(blocks)
-    # Dealt once; the count table is summed where the rows already are, and joined there.
-    entries = exploded(blocks, order).repartition(max(1, math.ceil(total / PART_WORDS)), "gram")
-    table = entries.groupBy("gram").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("blocks"))
-    shared = entries.join(table.filter("blocks > 1"), "gram").select("block", "gram", "total")
-
-    def score(block: pa.Table, counted: pa.Table) -> pa.Table:
+    parts = max(1, math.ceil(total / PART_WORDS))
+    cuts = bounds(parts)
+    counted = exploded(blocks, order, parts).withColumn("total", F.sum("n").over(Window.partitionBy("part", "gram")))
+
+    def bundle(batches):
+        held = [[batch.column(i).to_numpy() for i in range(4)] for batch in batches if batch.num_rows]
+        if not held:
+            return
+        part, block, gram, others = (np.concatenate(x) for x in zip(*held, strict=True))
+        by = np.lexsort((gram.view(np.uint64), block, part))
+        part, block, others = part[by], block[by], others[by]
+        begin = np.flatnonzero(np.concatenate([[True], (np.diff(block) != 0) | (np.diff(part) != 0)]))
+        for some in np.array_split(begin, -(-len(begin) // 1000)):
+            ends = np.append(begin, len(by))[np.searchsorted(begin, some) + 1]
+            yield pa.RecordBatch.from_arrays([pa.array(part[some]), pa.array(block[some]), pa.array([small(others[i:j]) for i, j in zip(some, ends, strict=True)], pa.binary())], names=["part", "block", "others"])
+
+    found = counted.select("part", "block", "gram", (F.col("total") - F.col("n")).alias("others")).mapInArrow(bundle, "part int, block long, others binary")
+
+    def score(block: pa.Table, answers: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
         ids, sizes, words = unpack(row)
-        known, corpus_count = counted.column("gram").to_numpy().view(np.uint64), counted.column("total").to_numpy()
-        by = np.argsort(known)
-        known, corpus_count = known[by], corpus_count[by]
+        # A part's answers are those for the unigrams, bigrams and so on together, in order of their hashes.
+        told = dict(zip(answers.column("part").to_pylist(), map(unsmall, answers.column("others").to_pylist()), strict=True))
+        asked = list(dealt(words, sizes, order, cuts))
+        elsewhere = [np.zeros(len(found), dtype=np.int64) for _, found, *_ in asked]
+        for p, others in told.items():
+            own = np.concatenate([found[at[p] : at[p + 1]] for _, found, _, _, _, at in asked])
+            kind = np.repeat(np.arange(order), [at[p + 1] - at[p] for *_, at in asked])
+            by = np.argsort(own)
+            mixed = np.empty(len(own), dtype=np.int64)
+            mixed[by] = others
+            for k in range(order):
+                elsewhere[k][asked[k][5][p] : asked[k][5][p + 1]] = mixed[kind == k]
         owner = np.repeat(np.arange(len(ids)), sizes)
         place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         counts = {}
-        for k in range(1, order + 1):
-            hashes, there = grams(words, sizes, k)
-            found, where, corpus = np.unique(hashes[there], return_inverse=True, return_counts=True)  # what no other block holds
-            at = np.searchsorted(known, found)
-            hit = np.flatnonzero(at < len(known))
-            hit = hit[known[at[hit]] == found[hit]]
-            corpus[hit] = corpus_count[at[hit]]
+        for (k, _, where, there, own_block, _), more in zip(asked, elsewhere, strict=True):
             _, back, own = np.unique(where.astype(np.int64) * len(ids) + owner[there], return_inverse=True, return_counts=True)
             counts[k] = np.zeros(len(words), dtype=np.int64)
-            counts[k][there] = corpus[where] - own[back]
+            counts[k][there] = (own_block + more)[where] - own[back]
         value, open_, factor = np.zeros(len(words)), np.ones(len(words), dtype=bool), np.zeros(len(words))
         for k in range(order, 1, -1):
             context = np.zeros(len(words), dtype=np.int64)
@@ -148,4 +192,6 @@ def backoff_scores(docs: DataFrame, order: int = 3, id_column: str = "doc_id") -
             mean = np.bincount(owner, value, len(ids)) / sizes
         return pa.table([pa.array(ids, mask=np.frombuffer(row["known"], np.uint8) == 0), pa.array(sizes), pa.array(mean, mask=sizes == 0)], names=["doc_id", "n_words", "score"])
 
-    return blocks.drop("n").groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, score double")
+    tasks = max(1, math.ceil(total / BLOCK_WORDS))
+    mine, theirs = (x.repartition(tasks, "block").groupBy("block") for x in (blocks.drop("n"), found))
+    return mine.cogroup(theirs).applyInArrow(score, "doc_id long, n_words long, score double")
