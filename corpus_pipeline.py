@@ -2,6 +2,9 @@
 
 Every stage gets what the one before it kept, as a stored table, and all but the last return the columns of
 ``documents``.  Null texts are kept as they are by the filters (nothing speaks against them) and packed as empty ones.
+Rows with null ids are rows like others; rows that share id and text are one after the third stage, and what shares an
+id only stays apart.  Without labels the filters keep all.  Further columns pass through, and an empty table gives an
+empty result.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ layouts, a damaged frame) goes to the frame-by-frame decoder, which follows the
 24-bit samples.
 
 Null media give one block row with no samples and the error "empty"; a stream whose frame checksum is wrong gives its
-error and no samples from the bad frame on.  Repeated rows give repeated results.
+error and no samples from the bad frame on.  Null and empty texts are 64 bytes of 0.  Repeated rows give repeated
+results, further columns are ignored, and an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ tries shorter pieces where it may not, and steps back where none fits, with a bi
 no encoding continues.  The merge result of a text is the only sequence whose neighbours are all compatible.
 
 Null and empty texts have no ids and decode to the empty text.  Characters without a piece become byte pieces.
-Repeated rows give repeated results; further columns of the input are kept, but for those that the result names.
+Repeated rows give repeated results; further columns of the input are kept, but for those that the result names.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations

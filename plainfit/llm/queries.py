@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import flac, huffman, lm, near, packing, piece_bpe, pii, quality, topk, toxicity
-from .common import text_or_empty, with_columns
+from .common import materialise, text_or_empty, with_columns
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,9 +46,10 @@ def _flac_digest(doc_id, n_bytes, media, blocks, error):
 
 
 def op2_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text's bytes as a FLAC stream, decoded again with all checksums verified."""
+    """Every text's bytes as a FLAC stream in a stored table, read back and decoded with all checksums verified."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return flac.media_features(flac.encode_flac(table(spark, sf_dir, "documents"), "doc_id", "text"), _flac_digest, schema)
+    stored = materialise(flac.encode_flac(table(spark, sf_dir, "documents"), "doc_id", "text"), "flac")
+    return flac.media_features(stored, _flac_digest, schema)
 
 
 def op3_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

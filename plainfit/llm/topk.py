@@ -7,7 +7,8 @@ block, however many shards there are.
 
 Vectors that are null or hold null or non-finite components take no part.  Vectors of different lengths are not
 compared.  Components are floored after scaling, at most 2^62 in size; a sum beyond 64 bits is held at the limit.
-Ties go to the smaller id.  A row with a query's own id is never its candidate; repeated rows each count.
+Ties go to the smaller id.  A row with a query's own id is never its candidate; repeated rows each count.  Further
+columns are ignored, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,6 +39,16 @@ def quantised(df: DataFrame, id_column: str, vector_column: str, scale: int) ->
     return rows.filter(F.col("id").isNotNull() & x.isNotNull() & ~bad).select("id", F.transform(x, lambda c: F.floor(F.least(F.greatest(c * float(scale), F.lit(-top)), F.lit(top)))).alias("v"))
 
 
+def narrowed(values: np.ndarray) -> bytes:
+    """Integers in the least signed type that holds them, its width first: what is shuffled is mostly two bytes a component."""
+    kind = next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= values.min(initial=0) and values.max(initial=0) <= np.iinfo(t).max)
+    return bytes([np.dtype(kind).itemsize]) + values.astype(kind).tobytes()
+
+
+def widened(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<i{raw[0]}", offset=1).astype(np.int64)
+
+
 def blocks(rows: DataFrame, size: int) -> DataFrame:
     """Rows packed into blocks of up to ``size`` vectors of one length, as the stored table has them."""
 
@@ -48,7 +59,7 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
         def block(dim):
             nonlocal made
             ids, vectors = zip(*held.pop(dim), strict=True)
-            row = [dim, task << 32 | made, len(ids), np.array(ids, dtype=np.int64).tobytes(), np.array(vectors, dtype=np.int64).tobytes()]
+            row = [dim, task << 32 | made, len(ids), np.array(ids, dtype=np.int64).tobytes(), narrowed(np.array(vectors, dtype=np.int64))]
             made += 1
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()], strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
@@ -116,10 +127,10 @@ def top_k(df: DataFrame, k: int, id_column: str, vector_column: str, is_query, s
         out = []
         for q in some_queries.itertuples():
             query_ids = np.frombuffer(q.ids, np.int64)
-            x, found = np.frombuffer(q.vectors, np.int64).reshape(len(query_ids), -1), []
+            x, found = widened(q.vectors).reshape(len(query_ids), -1), []
             for s in some_shards.itertuples():
                 ids = np.frombuffer(s.ids, np.int64)
-                scores = products(x, np.frombuffer(s.vectors, np.int64).reshape(len(ids), -1))
+                scores = products(x, widened(s.vectors).reshape(len(ids), -1))
                 found.append(select(np.broadcast_to(ids, scores.shape), scores, query_ids[:, None] != ids[None, :], k))
             if found:
                 out.append(packed(q.block, int(q.g), q.ids, merged(found, k)))
