@@ -40,7 +40,7 @@ def mix64(h: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit word hashes with a bounded two-generation memo: frequent words stay, rare ones go."""
 
-    def __init__(self, limit: int = 250_000):
+    def __init__(self, limit: int = 200_000):
         self.limit, self.young, self.old = limit, {}, {}
 
     def _miss(self, word: str) -> int:

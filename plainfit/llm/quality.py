@@ -146,7 +146,7 @@ def score_quality(docs: DataFrame, model: Ordinal, level: int = 1) -> DataFrame:
         nonlocal memo
         weights = shared.value.weights
         if memo is None:
-            memo = Memo(lambda token: float(sum(weights[i] for i in features(token))), 300_000)
+            memo = Memo(lambda token: float(sum(weights[i] for i in features(token))), 150_000)
         score, more = np.zeros(len(texts)), float(weights[AGAIN])
         for i, text in enumerate(texts):
             tokens = text.split()

@@ -131,7 +131,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: Column, id_column: s
 
 
 def _weights_of(model: NoisyOr) -> Memo:
-    return Memo(lambda word: float(sum(model.weights[i] for i in buckets(word))), 300_000)
+    return Memo(lambda word: float(sum(model.weights[i] for i in buckets(word))), 150_000)
 
 
 def score_toxicity(docs: DataFrame, model: NoisyOr) -> DataFrame:
