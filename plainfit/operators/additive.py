@@ -519,8 +519,11 @@ def fourier_ridge(df: DataFrame, cols: list[str], label: Column, fold: Column, c
     return model
 
 
-def symbolic(df: DataFrame, cols: list[str], label: Column, held_out: Column, knots: int = 3, most: int = 12, alpha: float = 1e-6, cost: float = 0.002, small: float = 0.01, kinds: tuple[str, ...] = ("linear", "square", "hinge", "step", "interact"), gain: float = 0.0) -> TermModel:
-    """A short equation: terms are added by their error on the held-out rows, as long as each lowers it by the share ``cost`` and half as much more for a new column, and by ``gain``; effects below the share ``small`` of the largest are then left out."""
+def symbolic(df: DataFrame, cols: list[str], label: Column, held_out: Column, knots: int = 3, most: int = 12, alpha: float = 1e-6, cost: float = 0.002, small: float = 0.01, kinds: tuple[str, ...] = ("linear", "square", "hinge", "step", "interact"), gain: float = 0.0, hierarchy: bool = False) -> TermModel:
+    """A short equation: terms are added by their error on the held-out rows, as long as each lowers it by the share ``cost`` and half as much more for a new column, and by ``gain``; effects below the share ``small`` of the largest are then left out.
+
+    With ``hierarchy``, a product may enter only after a term of each of its columns.
+    """
     terms = dictionary(cols, dict(zip(cols, edges_of(df, cols, knots + 1), strict=True)), kinds)
     parts = _term_moments(df, terms, label, held_out)
     if not parts:
@@ -537,7 +540,9 @@ def symbolic(df: DataFrame, cols: list[str], label: Column, held_out: Column, kn
     chosen: list[int] = []
     now = error(chosen)
     while len(chosen) < most:
-        priced = [(error([*chosen, i]), i) for i in range(len(terms)) if i not in chosen]
+        single = {terms[i].a for i in chosen if not terms[i].b}
+        may = [i for i, t in enumerate(terms) if i not in chosen and (not hierarchy or not t.b or {t.a, t.b} <= single)]
+        priced = [(error([*chosen, i]), i) for i in may]
         priced = [(e * (1 + cost * (1 + 0.5 * len(columns([*chosen, i]) - columns(chosen)))), e, i) for e, i in priced]
         if not priced or min(priced)[0] >= now * (1 - gain):
             break

@@ -162,6 +162,11 @@ def dedup(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFram
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
+def top_by_size(df: DataFrame, value: str, k: int, key: str) -> DataFrame:
+    """The ``k`` rows of the largest sizes of ``value``, ties by ``key``."""
+    return df.orderBy(F.abs(value).desc_nulls_last(), key).limit(k)
+
+
 def mass_select(terms: DataFrame, value: str, mass: float = 0.96, least: int = 1) -> DataFrame:
     """The largest terms by size until they hold ``mass`` of the total (terms: as many rows as a model has)."""
     size, w = F.abs(F.col(value)), Window.orderBy(F.desc(F.abs(F.col(value))))

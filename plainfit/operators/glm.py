@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dist
 from ..plans.gram import gram
+from ..sources.scratch import materialise
 
 LINKS = {"binomial": "logit", "poisson": "log"}
 
@@ -67,7 +68,7 @@ def negbin(df: DataFrame, y: Column, xs: dict[str, Column], rounds: int = 25) ->
     equals its degrees of freedom, found on a grid of which one job sums all points, refined twice; 0 for data that
     vary no more than a Poisson variable.
     """
-    rows = _rows(df, y, xs, None, None)
+    rows = materialise(_rows(df, y, xs, None, None), "counts")  # read in every round
     cols = {n: F.col(f"x{i}") for i, n in enumerate(xs)}
     start = rows.agg(F.avg("y").alias("m"), F.count(F.lit(1)).alias("n")).first()
     beta, a = np.array([math.log(max(start.m or 0.0, 1e-9)), *[0.0] * len(xs)]), 0.0

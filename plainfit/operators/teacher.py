@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..plans.gram import gram
 from ..sources.scratch import materialise
+from ..sources.tables import pending_pairs
 from .additive import stump_gam
 from .linear import ridge
 from .model import linear_model
@@ -212,15 +213,24 @@ def cross_validated_error(df: DataFrame, fit: Callable[[DataFrame], object], lab
     return out
 
 
-def evaluate(models: dict[str, Callable[[DataFrame], object]], datasets: dict[str, tuple[DataFrame, DataFrame]], label: str) -> DataFrame:
+def evaluate(models: dict[str, Callable[[DataFrame], object]], datasets: dict[str, tuple[DataFrame, DataFrame]], label: str, done: DataFrame | None = None, min_rows: int = 10) -> DataFrame:
     """(dataset, model, rmse, error): each model fitted and tested on each pair of (train, test); a failed fit has its message instead.
 
-    The grid is as long as the two lists; all rows are read by Spark jobs.
+    Pairs of ``done`` (dataset, model) are left out, so that a run can be taken up again; a dataset of fewer than
+    ``min_rows`` training rows has a message for every model.  The grid is as long as the two lists; all rows are read
+    by Spark jobs.
     """
     spark = next(iter(datasets.values()))[0].sparkSession
+    known = spark.createDataFrame([(d, m) for d in datasets for m in models], "dataset string, model string")
+    open_ = {(r.dataset, r.model) for r in (known if done is None else pending_pairs(known, done)).collect()}  # as many as the two lists have pairs
     rows = []
     for name, (train, test) in datasets.items():
-        for model, fit in models.items():
+        left = {m: f for m, f in models.items() if (name, m) in open_}
+        n = train.count() if left else 0
+        if n < min_rows:
+            rows += [(name, m, None, f"{n} rows are too few") for m in left]
+            continue
+        for model, fit in left.items():
             try:
                 gap = fit(train).transform(test, "__pred").agg(F.sqrt(F.avg(F.pow(F.col(label) - F.col("__pred"), 2))).alias("rmse")).first()
                 rows.append((name, model, gap.rmse, None))

@@ -77,5 +77,5 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[s
         wanted = wanted | at(low) | at(high)
         a, b = F.max(F.when(at(low), F.col("__v"))), F.max(F.when(at(high), F.col("__v")))
         out.append((a + (b - a) * F.max(place - low)).alias(f"q{i}"))
-    found = below.join(size, same).filter(wanted)
+    found = below.join(size if by else F.broadcast(size), same).filter(wanted)  # one row without groups
     return found.groupBy(*keys).agg(*out).select(*by, *(f"q{i}" for i in range(len(qs))))

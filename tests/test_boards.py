@@ -175,3 +175,31 @@ def test_more_sources(spark, tmp_path):
     assert sorted((r.experiment, r.a, r.b) for r in both) == [("one", 1, "x"), ("two", 2, None)]
     S.write_json(spark.createDataFrame([(7, "e")], "response int, explanation string"), str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).first().response == 7
+
+
+def test_grid_is_taken_up_again_and_products_follow_their_columns(spark):
+    from plainfit.operators import additive as G
+    from plainfit.operators import glm as M
+    from plainfit.operators import teacher as E
+    from plainfit.operators.model import linear_model
+    from plainfit.operators.linear import ols
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 3))
+    y = x[:, 0] * x[:, 1] * 4 + x[:, 2]
+    df = spark.createDataFrame([(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y, strict=True))], "id long, a double, b double, c double, label double")
+    fit = lambda rows: linear_model(ols(gram(rows, {c: F.col(c) for c in "abc"}, F.col("label"))[()]))
+    sets = {"d": (df.filter("id % 4 <> 0"), df.filter("id % 4 = 0")), "tiny": (df.limit(3), df)}
+    done = spark.createDataFrame([("d", "old")], "dataset string, model string")
+    got = {(r.dataset, r.model): (r.rmse is not None, r.error) for r in E.evaluate({"old": fit, "new": fit}, sets, "label", done).collect()}
+    assert got == {("d", "new"): (True, None), ("tiny", "old"): (False, "3 rows are too few"), ("tiny", "new"): (False, "3 rows are too few")}
+    free = G.symbolic(df, ["a", "b", "c"], F.col("label"), F.col("id") % 5 == 0, kinds=("linear", "interact"))
+    held = G.symbolic(df, ["a", "b", "c"], F.col("label"), F.col("id") % 5 == 0, kinds=("linear", "interact"), hierarchy=True)
+    assert any(t.kind == "interact" for t in free.terms)
+    assert all({t.a, t.b} <= {o.a for o in held.terms if not o.b} for t in held.terms if t.b)
+    assert [r.id for r in A.top_by_size(df.select("id", "a"), "a", 3, "id").collect()] == np.argsort(-abs(x[:, 0]))[:3].tolist()
+    # shares with trials as weights equal the rows they stand for
+    rows = spark.createDataFrame([(g, v) for g, n, k in ((0, 50, 20), (1, 40, 30)) for v in [1] * k + [0] * (n - k)], "g int, v int")
+    shares = spark.createDataFrame([(0, 0.4, 50), (1, 0.75, 40)], "g int, share double, trials int")
+    one, two = M.glm(rows, F.col("v"), {"g": F.col("g")}), M.glm(shares, F.col("share"), {"g": F.col("g")}, weight=F.col("trials"))
+    assert [e.coef for e in one] == pytest.approx([e.coef for e in two], abs=1e-6) and one[1].coef == pytest.approx(np.log(3) - np.log(2 / 3), abs=1e-6)
