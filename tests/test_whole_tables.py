@@ -29,7 +29,7 @@ def test_an_unseen_category_is_minus_one(spark):
 
 
 def test_boards_keep_every_pair(spark):
-    pairs = registry.performance(spark, SF, gap=False).count()
+    pairs = registry.performance(spark, SF).count()
     want = duckdb.sql(f"SELECT count(DISTINCT (o_orderpriority, l_returnflag)) FROM '{SF}/lineitem.parquet' JOIN '{SF}/orders.parquet' ON o_orderkey = l_orderkey").fetchall()[0][0]
     assert pairs == want
     for name in ("board_mean_rank_complete", "board_leaderboard_complete"):
