@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, materialise, mix64, text_or_empty, words_of
 
-BACKOFF, BLOCK_WORDS, PART_WORDS, TASK_PARTS, MOST_ORDER = 0.4, 2_000_000, 400_000, 4, 8
+BACKOFF, BLOCK_WORDS, PART_WORDS, TASK_PARTS, MOST_ORDER = 0.4, 1_600_000, 400_000, 3, 8
 _words = WordHashes()
 
 
@@ -47,8 +47,8 @@ def grams(words: np.ndarray, sizes: np.ndarray, order: int) -> tuple[np.ndarray,
 def stored_blocks(docs: DataFrame, id_column: str) -> DataFrame:
     """(block, ids, known, sizes, words, n): documents as arrays, in blocks of about ``BLOCK_WORDS`` words, a document at least.
 
-    ``known`` tells which ids are not null.  ``words`` are indices into ``hashes``, the block's sorted distinct word
-    hashes; they are stored byte by byte, all lowest ones first, and compressed, since blocks are shuffled too.
+    ``known`` tells which ids are not null.  ``words`` are indices into ``hashes``, the block's distinct word hashes, the
+    most frequent first; they are stored byte by byte, all lowest ones first, and compressed, since blocks are shuffled.
     """
     schema = "block long, n long, ids binary, known binary, sizes binary, hashes binary, words binary"
 
@@ -57,8 +57,11 @@ def stored_blocks(docs: DataFrame, id_column: str) -> DataFrame:
 
         def block():
             flat = np.concatenate(arrays)
-            hashes, index = np.unique(flat, return_inverse=True)
-            row = [task << 32 | made, len(flat), np.array([i or 0 for i in ids], dtype=np.int64).tobytes(), bytes(i is not None for i in ids), np.array([len(a) for a in arrays], dtype=np.int64).tobytes(), hashes.tobytes(), zstandard.compress(index.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)]
+            hashes, index, count = np.unique(flat, return_inverse=True, return_counts=True)
+            order, rank = np.argsort(-count, kind="stable"), np.empty(len(hashes), dtype=np.int64)
+            rank[order] = np.arange(len(hashes))
+            hashes, index = hashes[order], rank[index]
+            row = [task << 32 | made, len(flat), np.array([i or 0 for i in ids], dtype=np.int64).tobytes(), bytes(i is not None for i in ids), np.array([len(a) for a in arrays], dtype=np.int64).tobytes(), hashes.tobytes(), zstandard.compress(index.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int64(), pa.int64(), *[pa.binary()] * 5], strict=True)], names=[f.split()[0] for f in schema.split(", ")])
 
         for batch in batches:
@@ -192,6 +195,6 @@ def backoff_scores(docs: DataFrame, order: int = 3, id_column: str = "doc_id") -
             mean = np.bincount(owner, value, len(ids)) / sizes
         return pa.table([pa.array(ids, mask=np.frombuffer(row["known"], np.uint8) == 0), pa.array(sizes), pa.array(mean, mask=sizes == 0)], names=["doc_id", "n_words", "score"])
 
-    tasks = max(1, math.ceil(total / BLOCK_WORDS))
+    tasks = max(1, math.ceil(2 * total / BLOCK_WORDS))  # so many that few blocks meet
     mine, theirs = (x.repartition(tasks, "block").groupBy("block") for x in (blocks.drop("n"), found))
     return mine.cogroup(theirs).applyInArrow(score, "doc_id long, n_words long, score double")
