@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, materialise, mix64, text_or_empty, words_of
 
-BACKOFF, BLOCK_WORDS, PART_WORDS, TASK_PARTS, MOST_ORDER = 0.4, 1_600_000, 400_000, 3, 8
+BACKOFF, BLOCK_WORDS, PART_WORDS, TASK_PARTS, MOST_ORDER = 0.4, 1_200_000, 400_000, 3, 8
 _words = WordHashes()
 
 
