@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage, op1 to op10 and the pipeline, and the SQL of those that SQL can express."""
+"""The registered queries of this subpackage, op1 to op13 and the pipeline, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import flac, huffman, lm, near, packing, piece_bpe, pii, quality, topk, toxicity
+from . import flac, huffman, lm, near, packing, piece_bpe, pii, quality, suffixes, topk, toxicity
 from .common import text_or_empty, with_columns
 
 
@@ -190,8 +190,13 @@ def op10_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.store_and_read(table(spark, sf_dir, "documents"), path, _ids_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of any 400-byte string that also starts elsewhere."""
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), suffixes.kept, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_surrogates, op2_flac, op3_backoff, op3_trigrams, op4_topk, op5_quality, op6_pieces, op7_jaccard, op8_packing, op9_toxicity, op10_huffman)}
+    return {f.__name__: f for f in (op1_surrogates, op2_flac, op3_backoff, op3_trigrams, op4_topk, op5_quality, op6_pieces, op7_jaccard, op8_packing, op9_toxicity, op10_huffman, op13_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
