@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import flac, huffman, lm, near, packing, piece_bpe, pii, quality, suffixes, topk, toxicity
-from .common import text_or_empty, with_columns
+from . import flac, huffman, importance, lm, near, packing, piece_bpe, pii, quality, suffixes, topk, toxicity, vector_codes
+from .common import materialise, text_or_empty, with_columns
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -190,14 +190,68 @@ def op10_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.store_and_read(table(spark, sf_dir, "documents"), path, _ids_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their weights towards the benchmark's words, a tenth of them drawn and ranked."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+OP11_SQL = r"""
+WITH k AS (SELECT list(c ORDER BY n) AS steps FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(n))),
+w AS (SELECT 0 AS side, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+      UNION ALL SELECT 1, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+t AS (SELECT side, id, unnest(ws) AS g FROM w),
+d AS (SELECT g, hex(encode(g)) AS h FROM (SELECT DISTINCT g FROM t)),
+e AS (SELECT g, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(h), 2), lambda i: CAST('0x' || substr(h, i + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM d CROSS JOIN k),
+f AS (SELECT side, id, bucket FROM t JOIN e USING (g)),
+c AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM f GROUP BY 1),
+z AS (SELECT sum(s) AS s, sum(t) AS t FROM c),
+b AS (SELECT bucket, CAST(floor(1000 * ln(CAST((c.t + 1) * (z.s + 10000) AS DOUBLE) / CAST((c.s + 1) * (z.t + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM c CROSS JOIN z),
+m AS (SELECT id, count(*) AS n, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM f JOIN b USING (bucket) WHERE side = 0 GROUP BY id),
+x AS (SELECT w.id AS doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('2024:' || w.id), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN m ON m.id = w.id WHERE side = 0),
+y AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM x),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM y WHERE n_features >= 20)
+SELECT y.*, CASE WHEN rank <= (SELECT count(*) * 10 // 100 FROM r) THEN rank END AS rank FROM y LEFT JOIN r ON r.doc_id = y.doc_id
+"""
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors' codes of four parts, their errors and those of their labels."""
+    coded, books = vector_codes.encode_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", ["label"])
+    coded = vector_codes.with_group_error(materialise(coded, "coded"), "label", "label_error")
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
+def _rounds(last: int) -> str:
+    """Assignments a0 to a``last`` of the parts, each followed but for the last by the next round's entries."""
+    assigned = """a{r} AS MATERIALIZED (SELECT vec_id, q.pos, min(struct_pack(d := q.xx - 2 * list_inner_product(q.x, c.x) + c.xx, entry := c.entry)) AS best FROM q JOIN c{r} c ON c.pos = q.pos GROUP BY 1, 2)"""
+    updated = """u{n} AS (SELECT a.pos, best.entry AS entry, i, floor(sum(x[i]) / count(*)) AS m FROM a{r} a JOIN q ON q.vec_id = a.vec_id AND q.pos = a.pos CROSS JOIN k JOIN range(1, 1000) t(i) ON i <= k.w GROUP BY 1, 2, 3),
+l{n} AS (SELECT pos, entry, list(m ORDER BY i) AS x FROM u{n} GROUP BY 1, 2),
+c{n} AS MATERIALIZED (SELECT c.pos, c.entry, coalesce(l.x, c.x) AS x, list_inner_product(coalesce(l.x, c.x), coalesce(l.x, c.x)) AS xx FROM c{r} c LEFT JOIN l{n} l ON l.pos = c.pos AND l.entry = c.entry)"""
+    return ",\n".join(x.format(r=r, n=r + 1) for r in range(last + 1) for x in ([assigned, updated] if r < last else [assigned]))
+
+
+OP12_SQL = f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+k AS (SELECT max(len(e)) // 4 AS w FROM v),
+p AS (SELECT vec_id, pos, e[pos * w + 1:pos * w + w] AS x FROM v CROSS JOIN k CROSS JOIN range(4) t(pos)),
+q AS MATERIALIZED (SELECT *, list_inner_product(x, x) AS xx FROM p),
+c0 AS MATERIALIZED (SELECT pos, row_number() OVER (PARTITION BY pos ORDER BY vec_id) - 1 AS entry, x, xx FROM q QUALIFY entry < 256),
+{_rounds(4)},
+o AS (SELECT vec_id, string_agg(printf('%02x', best.entry), '' ORDER BY pos) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a4 GROUP BY 1),
+h AS (SELECT sha256(string_agg(CAST(m AS BIGINT)::VARCHAR, ',' ORDER BY pos, entry, i)) AS codebooks_sha256 FROM (SELECT pos, entry, unnest(x) AS m, unnest(range(len(x))) AS i FROM c4))
+SELECT o.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM o JOIN v USING (vec_id) CROSS JOIN h
+"""
+
+
 def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the bytes of any 400-byte string that also starts elsewhere."""
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), suffixes.kept, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_surrogates, op2_flac, op3_backoff, op3_trigrams, op4_topk, op5_quality, op6_pieces, op7_jaccard, op8_packing, op9_toxicity, op10_huffman, op13_repeats)}
+    return {f.__name__: f for f in (op1_surrogates, op2_flac, op3_backoff, op3_trigrams, op4_topk, op5_quality, op6_pieces, op7_jaccard, op8_packing, op9_toxicity, op10_huffman, op11_importance, op12_codes, op13_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_backoff": OP3_SQL, "op3_trigrams": OP3_TRIGRAMS_SQL, "op4_topk": OP4_SQL, "op7_jaccard": OP7_SQL}
+    return {"op3_backoff": OP3_SQL, "op3_trigrams": OP3_TRIGRAMS_SQL, "op4_topk": OP4_SQL, "op7_jaccard": OP7_SQL, "op11_importance": OP11_SQL, "op12_codes": OP12_SQL}
