@@ -82,16 +82,61 @@ def ttest_rel(df: DataFrame, entity: str, condition: str, value: str, a, b, side
     return ttest_1samp(paired(df, entity, condition, value, a, b), F.col("d"), 0.0, side)
 
 
-def mann_whitney(df: DataFrame, value: str, group: str, a, b, side: str = "two-sided") -> Test:
-    """U of group ``a``, with average ranks, tie and continuity corrections.
+#: Without ties, the null distribution is counted where one sample of a rank-sum test has at most ``EXACT_SUM`` values or
+#: a signed-rank test at most ``EXACT_SIGNED`` pairs (fixed values); beyond, and with ties, it is taken as normal.
+EXACT_SUM, EXACT_SIGNED = 8, 50
 
-    Ranks come from the running count over distinct values, so equal values are never gathered in a task.
+
+def rank_sum_null(a: int, b: int) -> np.ndarray:
+    """The chance of each U from 0 to ``a * b`` for samples of ``a`` and ``b`` values without ties.
+
+    The counts are the coefficients of the Gaussian binomial, a product of (1 - q^(b + i)) / (1 - q^i): each factor
+    takes off a shifted copy and adds up in steps of i.  The lower half is enough, the upper mirrors it.
+    """
+    a, b = min(a, b), max(a, b)
+    half = a * b // 2 + 1
+    counts = np.zeros(half)
+    counts[0] = 1.0
+    for i in range(1, a + 1):
+        if b + i < half:
+            counts[b + i :] -= counts[: half - b - i].copy()
+        for start in range(min(i, half)):
+            counts[start::i] = np.cumsum(counts[start::i])
+        counts *= i / (b + i)  # chances in place of counts that grow out of range
+    whole = np.empty(a * b + 1)
+    whole[:half], whole[a * b + 1 - half :] = counts, counts[::-1]
+    return whole
+
+
+def signed_rank_null(n: int) -> np.ndarray:
+    """The chance of each sum of positive ranks from 0 to n (n + 1) / 2 without ties."""
+    chance = np.ones(1)
+    for i in range(1, n + 1):
+        chance = (np.append(chance, np.zeros(i)) + np.append(np.zeros(i), chance)) / 2
+    return chance
+
+
+def _counted(chances: np.ndarray, value: float, side: str) -> float:
+    """The exact p-value of a symmetric statistic."""
+    at = round(value)
+    above, below = float(chances[at:].sum()), float(chances[: at + 1].sum())
+    return min(1.0, {"greater": above, "less": below, "two-sided": 2 * min(above, below)}[side])
+
+
+def mann_whitney(df: DataFrame, value: str, group: str, a, b, side: str = "two-sided", method: str = "auto") -> Test:
+    """U of group ``a``: counted (``exact``) or normal with average ranks, tie and continuity corrections.
+
+    ``auto`` counts where there are no ties and one sample is small.  Ranks come from the running count over distinct
+    values, so equal values are never gathered in a task.
     """
+    _tail(0.0, 1.0, side)
     both = df.filter(F.col(group).isin(a, b) & F.col(value).isNotNull())
     by = both.groupBy(value).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col(group) == a).alias("ca"))
     r = running(by, value, "c", "below").withColumn("rank", F.col("below") + (F.col("c") + 1) / 2).agg(F.sum(F.col("rank") * F.col("ca")).alias("r"), F.sum("c").alias("n"), F.sum("ca").alias("na"), F.sum(F.pow("c", 3) - F.col("c")).alias("ties")).first()
     na, nb = r.na, r.n - r.na
     u = r.r - na * (na + 1) / 2
+    if method == "exact" or method == "auto" and not r.ties and min(na, nb) <= EXACT_SUM:
+        return Test(u, r.n, _counted(rank_sum_null(na, nb), u, side))
     sd = math.sqrt(na * nb / 12 * (r.n + 1 - r.ties / (r.n * (r.n - 1))))
     gap = u - na * nb / 2
     if side == "two-sided":
@@ -99,13 +144,23 @@ def mann_whitney(df: DataFrame, value: str, group: str, a, b, side: str = "two-s
     return Test(u, r.n, dist.normal_sf(((gap if side == "greater" else -gap) - 0.5) / sd))
 
 
-def wilcoxon(df: DataFrame, difference: Column) -> Test:
-    """Sum of the ranks of positive differences (zeros left out), normal approximation with tie correction."""
-    by = df.select(difference.alias("d")).filter("d <> 0").groupBy(F.abs("d").alias("v")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("d") > 0).alias("cp"))
-    r = running(by, "v", "c", "below").withColumn("rank", F.col("below") + (F.col("c") + 1) / 2).agg(F.sum(F.col("rank") * F.col("cp")).alias("w"), F.sum("c").alias("n"), F.sum(F.pow("c", 3) - F.col("c")).alias("ties")).first()
+def wilcoxon(df: DataFrame, difference: Column, side: str = "two-sided", method: str = "auto") -> Test:
+    """Sum of the ranks of positive differences (zeros left out): counted, or normal with tie correction.
+
+    ``auto`` counts where there are few differences, none of them zero or as large as another.
+    """
+    _tail(0.0, 1.0, side)
+    known = df.select(difference.alias("d")).filter("d is not null")
+    by = known.groupBy(F.abs("d").alias("v")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("d") > 0).alias("cp"))
+    zero = F.col("v") == 0
+    by = by.select("v", F.when(zero, 0).otherwise(F.col("c")).alias("c"), "cp", F.when(zero, F.col("c")).otherwise(0).alias("zeros"))
+    ranked = running(by, "v", "c", "below").withColumn("rank", F.col("below") + (F.col("c") + 1) / 2)
+    r = ranked.agg(F.sum(F.col("rank") * F.col("cp")).alias("w"), F.sum("c").alias("n"), F.sum(F.pow("c", 3) - F.col("c")).alias("ties"), F.sum("zeros").alias("zeros")).first()
+    if method == "exact" or method == "auto" and not r.ties and not r.zeros and r.n <= EXACT_SIGNED:
+        return Test(r.w, r.n, _counted(signed_rank_null(r.n), r.w, side))
     sd = math.sqrt(r.n * (r.n + 1) * (2 * r.n + 1) / 24 - r.ties / 48)
     z = (r.w - r.n * (r.n + 1) / 4) / sd
-    return Test(r.w, r.n, min(1.0, 2 * dist.normal_sf(abs(z))))
+    return Test(r.w, r.n, _tail(z, 2 * dist.normal_sf(abs(z)), side))
 
 
 def chi2_contingency(df: DataFrame, a: str, b: str, correction: bool = True) -> Test:
@@ -239,43 +294,65 @@ def design(df: DataFrame, numeric: list[str], factors: dict[str, object] | list[
     return cols, terms
 
 
-def ols_inference(df: DataFrame, y: str, xs: dict[str, Column], cov: str = "plain", cluster: str | None = None, weight: Column | None = None) -> tuple[list[tuple], float, float]:
+def _inverse(s: np.ndarray) -> tuple[np.ndarray, int]:
+    """Inverse and rank of cross products, a generalised inverse where columns depend on each other."""
+    size = np.sqrt(np.where(np.diag(s) > 0, np.diag(s), 1.0))
+    value, vector = np.linalg.eigh(s / np.outer(size, size))
+    real = value > 1e-12 * max(1, len(value)) * value.max(initial=0)
+    return (vector[:, real] / value[real]) @ vector[:, real].T / np.outer(size, size), int(real.sum())
+
+
+def ols_inference(df: DataFrame, y: str | Column, xs: dict[str, Column], cov: str = "plain", cluster: str | None = None, weight: Column | None = None, intercept: bool = True) -> tuple[list[tuple], float, float]:
     """Rows (name, coef, se, t, p, low, high), R^2 and F.  ``cov``: plain, HC3, or cluster (with the column ``cluster``).
 
     Rows with a null anywhere are left out of all sums.  With ``weight`` it is weighted least squares, and leverages
-    and scores are those of the weighted rows.  The coefficients take one moment job, robust errors a second pass that
-    sums each row's or cluster's scores.
+    and scores are those of the weighted rows.  Without ``intercept``, R^2 and F are about zero.  Columns that depend on
+    each other share their effect, and the rank takes the place of their number.  The coefficients take one moment job,
+    robust errors a second pass that sums each row's or cluster's scores.
     """
-    names = ["intercept", *xs]
-    m = gram(df, xs, F.col(y), weight=weight)[()]
-    mean, s, c, yy, label = m.centered()
-    n, p = m.rows, len(xs)
-    beta = np.linalg.solve(s, c)
-    sse = yy - beta @ c
-    b0 = label - mean @ beta
-    inner = np.linalg.inv(s)
-    inv = np.block([[np.array([[1 / m.n + mean @ inner @ mean]]), -(mean @ inner)[None, :]], [-(inner @ mean)[:, None], inner]])
+    label = F.col(y) if isinstance(y, str) else y
+    names = [*(["intercept"] if intercept else []), *xs]
+    m = gram(df, xs, label, weight=weight)[()]
+    n = m.rows
+    if intercept:
+        mean, s, c, total, at = m.centered()
+        inner, rank = _inverse(s)
+        slope = inner @ c
+        beta, rank = np.append(at - mean @ slope, slope), rank + 1
+        inv = np.block([[np.array([[1 / m.n + mean @ inner @ mean]]), -(mean @ inner)[None, :]], [-(inner @ mean)[:, None], inner]])
+        sse = total - slope @ c
+    else:
+        whole = _uncentered(m.matrix, m.center)
+        inv, rank = _inverse(whole[1:-1, 1:-1])
+        beta, total = inv @ whole[1:-1, -1], whole[-1, -1]
+        sse = total - beta @ whole[1:-1, -1]
+    d, k = n - rank, len(names)
     if cov == "plain":
-        v = sse / (n - p - 1) * inv
+        v = sse / d * inv
     else:
-        z, w = [F.lit(1.0), *xs.values()], F.lit(1.0) if weight is None else weight.cast("double")
-        e = F.col(y) - sum((float(b) * x for b, x in zip(beta, xs.values(), strict=True)), F.lit(float(b0)))
+        z, w = [*([F.lit(1.0)] if intercept else []), *xs.values()], F.lit(1.0) if weight is None else weight.cast("double")
+        e = label - sum((float(b) * x for b, x in zip(beta, z, strict=True)), F.lit(0.0))
         if cov == "HC3":
-            h = w * sum((float(inv[i, j]) * z[i] * z[j] for i in range(p + 1) for j in range(p + 1)), F.lit(0.0))
+            h = w * sum((float(inv[i, j]) * z[i] * z[j] for i in range(k) for j in range(k)), F.lit(0.0))
             meat = gram(df.withColumn("__w", F.pow(w * e / (1 - h), 2)), xs, F.lit(0.0), weight=F.col("__w"))[()]
-            raw = _uncentered(meat)
-            v = inv @ raw @ inv
+            raw = _uncentered(meat.matrix[:-1, :-1], meat.center[:-1])
+            v = inv @ (raw if intercept else raw[1:, 1:]) @ inv
         else:
             sums = df.filter((w * e).isNotNull()).groupBy(cluster).agg(*(F.sum(w * e * x).alias(f"__s{i}") for i, x in enumerate(z)))
-            row = sums.agg(F.count(F.lit(1)).alias("g"), *(F.sum(F.col(f"__s{i}") * F.col(f"__s{j}")).alias(f"m{i}_{j}") for i in range(p + 1) for j in range(p + 1))).first()
-            raw = np.array([[row[f"m{i}_{j}"] for j in range(p + 1)] for i in range(p + 1)])
-            v = inv @ raw @ inv * (row.g / (row.g - 1) * (n - 1) / (n - p - 1))
-    d = n - p - 1
+            v = _clustered(sums, k, inv, n, rank)
     t975, out = dist.t_quantile(0.05, d), []
-    for name, b, var in zip(names, [b0, *beta], np.diag(v), strict=True):
-        se = math.sqrt(var)
-        out.append((name, float(b), se, b / se, dist.t_sf2(b / se, d), b - t975 * se, b + t975 * se))
-    return out, 1 - sse / yy, ((yy - sse) / p) / (sse / d)
+    for name, b, var in zip(names, beta, np.diag(v), strict=True):
+        se = math.sqrt(max(var, 0.0))
+        t = b / se if se else math.copysign(math.inf, b)
+        out.append((name, float(b), se, t, dist.t_sf2(t, d) if se else 0.0, b - t975 * se, b + t975 * se))
+    return out, 1 - sse / total, ((total - sse) / max(rank - intercept, 1)) / (sse / d)
+
+
+def _clustered(sums: DataFrame, k: int, inv: np.ndarray, n: float, rank: int) -> np.ndarray:
+    """The sandwich of each cluster's summed scores (columns __s0, __s1, ...), corrected for few clusters."""
+    row = sums.agg(F.count(F.lit(1)).alias("g"), *(F.sum(F.col(f"__s{i}") * F.col(f"__s{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(k))).first()
+    raw = np.array([[row[f"m{i}_{j}"] for j in range(k)] for i in range(k)])
+    return inv @ raw @ inv * (row.g / (row.g - 1) * (n - 1) / (n - rank))
 
 
 def classifiers(df: DataFrame, y: Column, cols: list[str], held_out: Column, depth: int = 3) -> DataFrame:
@@ -308,9 +385,8 @@ def evidence_score(evidence: DataFrame, alpha: float = 0.05) -> DataFrame:
     return evidence.withColumn("score", F.round(F.when(none, 15 * share).otherwise(F.coalesce(level, 15 + 25 * share)), 2))
 
 
-def _uncentered(m) -> np.ndarray:
-    """Weighted cross products of (1, columns) without centers."""
-    c = np.concatenate([[0.0], m.center[:-1]])
-    base = m.matrix[:-1, :-1]
+def _uncentered(base: np.ndarray, center: np.ndarray) -> np.ndarray:
+    """Weighted cross products of (1, columns...) without centers, from those about ``center``."""
+    c = np.concatenate([[0.0], center])
     first = base[0]
     return base + np.outer(first, c) + np.outer(c, first) + base[0, 0] * np.outer(c, c)
