@@ -150,6 +150,10 @@ class NegativeBinomial:
     log_likelihood: float
 
 
+#: A dispersion that falls to this is that of a Poisson model.
+LEAST_DISPERSION = 1e-6
+
+
 def _series(x: Column) -> tuple[Column, Column, Column]:
     """lgamma, digamma and trigamma of positive ``x``: Stirling's series at ``x + 8``, and the eight steps back."""
     z = x + 8
@@ -215,17 +219,18 @@ def negbin_ml(df: DataFrame, y: Column, xs: dict[str, Column], offset: Column |
         step_a = float(np.clip(-slope / bend if bend < 0 else math.copysign(1.0, slope), -2, 2))
         step = np.linalg.solve(now["expected"], now["s"])
         for half in range(20):
-            tried = beta + step / 2**half, max(log_a + step_a / 2**half, math.log(1e-9))
+            tried = beta + step / 2**half, max(log_a + step_a / 2**half, math.log(LEAST_DISPERSION))
             then = sums(tried[0], math.exp(tried[1]))
             if then["ll"] >= now["ll"] - 1e-9 * abs(now["ll"]):
                 break
         done = abs(then["ll"] - now["ll"]) < 1e-12 * abs(now["ll"]) or max(np.abs(tried[0] - beta).max(), abs(tried[1] - log_a)) < 1e-9
         (beta, log_a), now = tried, then
-        if done or log_a < math.log(1e-8):
+        if done:
             break
     a = math.exp(log_a)
-    if a < 1e-8:
-        return NegativeBinomial(glm(rows, F.col("y"), {n: F.col(f"x{i}") for i, n in enumerate(xs)}, "poisson", F.col("offset")), 0.0, None, float(now["ll"]))
+    if a <= 1.01 * LEAST_DISPERSION:  # the scoring steps were those of a Poisson model
+        errors = np.sqrt(np.diag(np.linalg.inv(now["expected"])))
+        return NegativeBinomial([Effect(n, float(b), float(e)) for n, b, e in zip(names, beta, errors, strict=True)], 0.0, None, float(now["ll"]))
     # Second derivatives in (coefficients, a): r = 1 / a.
     r = 1 / a
     info = np.zeros((k + 1, k + 1))

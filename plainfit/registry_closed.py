@@ -256,9 +256,10 @@ def term_importance(spark, sf):
     return rounded(rounded(READABLE.importance(table(spark, sf, "lineitem")), "importance"), "share", digits=8)
 
 
-@query(" UNION ALL ".join(f"SELECT l_orderkey, l_linenumber, '{t.text()}' AS term, round({t.coef!r}::DOUBLE * ({t.sql()}), 6) AS part FROM lineitem" for t in READABLE.terms))
+@query(" UNION ALL ".join(f"SELECT l_orderkey, l_linenumber, '{t.text()}' AS term, round({t.coef!r}::DOUBLE * ({t.sql()}), 6) + 0e0 AS part FROM lineitem" for t in READABLE.terms))
 def term_contributions(spark, sf):
-    return rounded(READABLE.contributions(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"]), "part")
+    parts = rounded(READABLE.contributions(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"]), "part")
+    return parts.withColumn("part", F.col("part") + 0.0)  # one zero only
 
 
 @query(f"WITH x AS (SELECT {READABLE.sql()} AS card, {READABLE.sql()} + CASE WHEN l_linenumber = 1 THEN 10 ELSE 0 END AS batch FROM lineitem) SELECT round(power(corr(card, batch), 2), 8) AS r2, round(max(abs(card - batch)), 6) AS max_gap FROM x")
