@@ -8,8 +8,8 @@ noise, which depends on the id only, are drawn from the top: sampling without re
 Words are found by an Aho-Corasick automaton over a dictionary.  Texts are brought to one space between words, each word
 of the dictionary is a pattern with a space on both sides, so that a match is a whole word, and carries its CRC, its
 bytes and its characters as payload.  The scan emits payloads in order of the text; what lies between two matches that
-don't meet are words outside the dictionary, which are hashed one by one.  So the dictionary, the ``DICTIONARY`` most
-frequent words of all documents with at most ``LONGEST`` bytes, makes no difference to results, and its size is bounded.
+don't meet are words outside the dictionary, which are hashed one by one.  So the dictionary, at most ``DICTIONARY`` of
+the most frequent words of all documents with at most ``LONGEST`` bytes, makes no difference to results, and its size is bounded.
 Runs of words are never put together as text: the CRC of a run is composed from those of its parts, whose lengths say
 how far to shift.
 
@@ -117,7 +117,7 @@ def features(crc: np.ndarray, length: np.ndarray, most: int) -> np.ndarray:
 
 
 def frequent_words(docs: DataFrame, size: int = DICTIONARY) -> list[bytes]:
-    """The ``size`` most frequent words of at most ``LONGEST`` bytes, counted over all documents."""
+    """The most frequent words of at most ``LONGEST`` bytes, counted over all documents: as many steps of frequency, eight to a doubling, as fit into ``size``."""
 
     def run(batches):
         held: Counter = Counter()
@@ -134,8 +134,14 @@ def frequent_words(docs: DataFrame, size: int = DICTIONARY) -> list[bytes]:
         yield rows()
 
     counted = docs.select(text_or_empty().alias("text")).mapInArrow(run, "word binary, n long").filter(F.octet_length("word") <= LONGEST)
-    ranked = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return [bytes(r.word) for r in ranked.collect()]  # at most 4 MB
+    step = F.floor(8 * F.log2("n"))
+    known = materialise(counted.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").select("word", step.alias("step")), "words")
+    least, room = None, size
+    for r in known.groupBy("step").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():  # eight rows for each doubling of the count
+        if r.n > room:
+            break
+        least, room = r.step, room - r.n
+    return [] if least is None else sorted(bytes(r.word) for r in known.filter(F.col("step") >= least).select("word").collect())  # at most 4 MB
 
 
 _built: dict[int, Dictionary] = {}
