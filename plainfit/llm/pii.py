@@ -15,7 +15,9 @@ drew again have to be looked up when texts are rewritten: these few are broadcas
 Null and empty texts stay as they are, and an empty table gives an empty result.  Repeated rows get the same
 replacements; further columns are kept, but for ``n_entities``.  Names count as persons after a title, or as a known
 given name with a capitalised name behind it; given and family names found so are also replaced where they stand
-alone in the same text.
+alone in the same text.  A given name is one entity whatever title stands before it: it has the gender it is listed with, else that of
+most titles before it in the corpus, else none.  Logins in addresses of sites (``//user:password@host``) and tokens of
+known shapes are secrets; fixed beginnings of tokens stay.
 """
 
 from __future__ import annotations
@@ -43,12 +45,17 @@ GIVEN = {
     "m": "John James Robert Michael David Thomas Peter Hans Klaus Jean Pierre Carlos Miguel Pablo William Richard George Frank Paul Daniel Martin Joseph Charles Christopher Matthew Andrew Steven Jürgen Wolfgang Stefan Günter François Jacques André José Javier Diego Luis Иван Пётр Сергей Дмитрий Γιώργος Νίκος".split(),
 }
 GENDER = {name: g for g, names in GIVEN.items() for name in names}
+LISTED = {name.casefold(): g for name, g in GENDER.items()}
 CAPITALS = "".join(c for c in map(chr, range(sys.maxunicode)) if c.isupper() or c.istitle())
 _name = rf"[{CAPITALS}][^\W\d_]+(?:[-'’](?![sS](?!\w))[^\W\d_]+)*|[{CAPITALS}]['’][{CAPITALS}][^\W\d_]+"
 NAME = re.compile(rf"(?<!\w)(?:{_name})(?!\w)")
 PERSON = re.compile(rf"(?<!\w)(?:(?P<title>{'|'.join(x for t in TITLES.values() for x in t)})\.?[ ]+(?:(?P<tgiven>{_name})[ ]+)?(?P<tfamily>{_name})|(?P<given>{'|'.join(GENDER)})[ ]+(?P<family>{_name}))(?!\w)")
 EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]+@[^\W_][\w-]*(?:\.[^\W_][\w-]*)+")
 SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b\s*[=:]\s*([\"']?)([\w/+-]{12,})\1")
+LOGIN = re.compile(r"(?<=://)([^\s/:@]+):([^\s/@]+)(?=@[\w.-])")
+#: Fixed beginnings of tokens of common services and what follows them (fixed values).
+TOKEN = re.compile(r"(?<![\w-])(?:(?:AKIA|ASIA)([0-9A-Z]{16})|gh[opsur]_([0-9A-Za-z]{36,})|github_pat_(\w{22,})|glpat-([\w-]{20,})|xox[abprs]-([0-9A-Za-z-]{10,})|sk-([0-9A-Za-z_-]{20,})|AIza([\w-]{35})|eyJ([\w-]{10,}\.[\w-]{10,}\.[\w-]{5,}))(?![\w-])")
+MAYBE_TOKEN = re.compile("AKIA|ASIA|gh[opsur]_|github_pat_|glpat-|xox|sk-|AIza|eyJ")
 NUMBERS = [
     ("iban", re.compile(r"(?i)(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
     ("ip6", re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\w)")),
@@ -110,6 +117,13 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             taken[begin:end] = b"\1" * (end - begin)
             found.append((begin, end, kind, canonical))
 
+    if "://" in text and "@" in text:
+        for m in LOGIN.finditer(text):
+            for part in (1, 2):
+                add(m.start(part), m.end(part), "secret", m[part])
+    if MAYBE_TOKEN.search(text):
+        for m in TOKEN.finditer(text):
+            add(m.start(m.lastindex), m.end(m.lastindex), "secret", m[m.lastindex])
     if "@" in text:
         for m in EMAIL.finditer(text):
             add(m.start(), m.end(), "email", m[0].lower())
@@ -130,7 +144,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             if m["title"] and not m[given] and listed:  # a title before a given name alone
                 given = last
             if m[given]:
-                kind = f"given-{titled or listed or 'n'}"
+                kind = f"given-{titled or listed or 'n'}"  # which gender this place speaks for
                 add(m.start(given), m.end(given), kind, m[given].casefold())
                 names.setdefault(m[given].casefold(), kind)
             if given != last:
@@ -254,7 +268,7 @@ def fitted(original: str, kind: str, replacement: str) -> str:
             return replacement.upper()
         old, (local, _, host) = original.rpartition("@")[0], replacement.rpartition("@")
         return "".join(n.upper() if o.isupper() else n for o, n in zip(old.ljust(len(local)), local, strict=False)) + "@" + host
-    if kind in ("family", "given-f", "given-m", "given-n"):
+    if kind == "family" or kind.startswith("given"):
         return cased(original, replacement)
     if kind == "ip6":
         before, gap, after = original.partition("::")
@@ -280,7 +294,14 @@ def claimed(kind: str, canonical: str, new: str) -> str:
 
 def parts_of(kind: str, canonical: str) -> list[tuple[str, str]]:
     """The entities that draw for one that was detected."""
-    return [(kind, canonical), ("host", canonical.rpartition("@")[2])] if kind == "email" else [(kind, canonical)]
+    if kind == "email":
+        return [(kind, canonical), ("host", canonical.rpartition("@")[2])]
+    return [("given" if kind.startswith("given") else kind, canonical)]
+
+
+def listed_gender(canonical: str) -> str:
+    """The gender of a given name on the list, else none."""
+    return LISTED.get(canonical, "n")
 
 
 def identity(text: str) -> int:
@@ -288,26 +309,39 @@ def identity(text: str) -> int:
 
 
 def entities(docs: DataFrame, column: str = "text") -> DataFrame:
-    """(kind, canonical): the distinct entities of the corpus; each task sends what it has seen in a batch once."""
+    """(kind, canonical, gender): the distinct entities of the corpus, given names with their gender.
+
+    Each task sends what it has seen in a batch once, with the number of titles of either gender before it.
+    """
 
     def run(batches):
         for batch in rows_of(batches, 2000):
-            seen = sorted({p for x in batch.column(0).to_pylist() if x for e in detect(x) for p in parts_of(*e[2:])})
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([c for _, c in seen], pa.string())], names=["kind", "canonical"])
-
-    return docs.select(F.col(column)).mapInArrow(run, "kind string, canonical string").distinct()
+            seen: dict[tuple[str, str], list[int]] = {}
+            for text in batch.column(0).to_pylist():
+                for *_, kind, canonical in detect(text) if text else ():
+                    for part in parts_of(kind, canonical):
+                        votes = seen.setdefault(part, [0, 0])
+                        if part[0] == "given" and kind[-1] != "n":
+                            votes["fm".index(kind[-1])] += 1
+            parts, votes = list(seen), list(seen.values())
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.string()), pa.array([c for _, c in parts], pa.string()), pa.array([f for f, _ in votes], pa.int64()), pa.array([m for _, m in votes], pa.int64())], names=["kind", "canonical", "f", "m"])
+
+    counted = docs.select(F.col(column)).mapInArrow(run, "kind string, canonical string, f long, m long").groupBy("kind", "canonical").agg(F.sum("f").alias("f"), F.sum("m").alias("m"))
+    names = {g: F.col("canonical").isin([n for n, x in LISTED.items() if x == g]) for g in "fm"}
+    gender = F.when(names["f"], "f").when(names["m"], "m").when(F.col("f") > F.col("m"), "f").when(F.col("m") > F.col("f"), "m").otherwise("n")
+    return counted.select("kind", "canonical", F.when(F.col("kind") == "given", gender).alias("gender"))
 
 
 def redrawn(docs: DataFrame, key: bytes, column: str = "text") -> DataFrame:
-    """(kind, canonical, turn) of the entities whose first draw collided, with the round whose draw is theirs."""
+    """(kind, canonical, turn, gender) of the entities whose first draw collided, with the round whose draw is theirs, and of given names whose gender isn't that of the list."""
     known = materialise(entities(docs, column), "entities")
 
     def draw(batches):
         for batch in batches:
-            rows = [(form(k, c), claimed(k, c, surrogate(key, k, c, t))) for k, c, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([identity(a) for a, _ in rows], pa.int64()), pa.array([identity(b) for _, b in rows], pa.int64())], names=["kind", "canonical", "turn", "own", "claim"])
+            rows = [(form(k, c), claimed(k, c, surrogate(key, k if g is None else f"{k}-{g}", c, t))) for k, c, g, t in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([identity(a) for a, _ in rows], pa.int64()), pa.array([identity(b) for _, b in rows], pa.int64())], names=["kind", "canonical", "gender", "turn", "own", "claim"])
 
-    schema = "kind string, canonical string, turn int, own long, claim long"
+    schema = "kind string, canonical string, gender string, turn int, own long, claim long"
     claims = materialise(known.withColumn("turn", F.lit(0)).mapInArrow(draw, schema), "claims")
     originals = claims.select(F.col("own").alias("claim")).distinct()
     settled, open_ = None, claims
@@ -319,20 +353,28 @@ def redrawn(docs: DataFrame, key: bytes, column: str = "text") -> DataFrame:
         else:
             judged = judged.withColumn("held", F.lit(None).cast("boolean"))
         wins = F.col("real").isNull() & F.col("held").isNull() & (F.struct("own", "kind", "canonical") == F.col("winner"))
-        judged = materialise(judged.select("kind", "canonical", "turn", "own", "claim", wins.alias("wins")), "judged")
+        judged = materialise(judged.select("kind", "canonical", "gender", "turn", "own", "claim", wins.alias("wins")), "judged")
         won = judged.filter("wins").drop("wins")
         settled = won if settled is None else settled.unionByName(won)
         lost = judged.filter("not wins")
         if not lost.limit(1).count():
-            return settled.filter("turn > 0").select("kind", "canonical", "turn")
-        open_ = materialise(lost.select("kind", "canonical", (F.col("turn") + 1).alias("turn")).mapInArrow(draw, schema), "claims")
+            learned = (F.col("gender") != "n") & ~F.col("canonical").isin(list(LISTED))
+            return settled.filter((F.col("turn") > 0) | learned).select("kind", "canonical", "turn", "gender")
+        open_ = materialise(lost.select("kind", "canonical", "gender", (F.col("turn") + 1).alias("turn")).mapInArrow(draw, schema), "claims")
     raise RuntimeError("more entities of a format than replacements")
 
 
-def rewritten(text: str, key: bytes, turns: dict[tuple[str, str], int]) -> tuple[str, int]:
+def replacement(key: bytes, part: tuple[str, str], again: dict[tuple[str, str], tuple[int, str | None]]) -> str:
+    """What a part of an entity is replaced by; ``again`` has the turn and gender of those that ``redrawn`` gives."""
+    kind, canonical = part
+    turn, gender = again.get(part, (0, listed_gender(canonical)))
+    return surrogate(key, f"given-{gender}" if kind == "given" else kind, canonical, turn)
+
+
+def rewritten(text: str, key: bytes, again: dict[tuple[str, str], tuple[int, str | None]]) -> tuple[str, int]:
     found, out, at = detect(text), [], 0
     for begin, end, kind, canonical in found:
-        new = "@".join(surrogate(key, *part, turns.get(part, 0)) for part in parts_of(kind, canonical))
+        new = "@".join(replacement(key, part, again) for part in parts_of(kind, canonical))
         out += [text[at:begin], fitted(text[begin:end], kind, new)]
         at = end
     return "".join([*out, text[at:]]), len(found)
@@ -347,7 +389,7 @@ def replace_pii(docs: DataFrame, key: bytes, column: str = "text", most_broadcas
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_entities", T.LongType())])
     few = again.limit(most_broadcast + 1).count() <= most_broadcast
     if few:
-        turns = spark.sparkContext.broadcast({(r.kind, r.canonical): r.turn for r in again.collect()})
+        turns = spark.sparkContext.broadcast({(r.kind, r.canonical): (r.turn, r.gender) for r in again.collect()})
         source, width = docs.select(*(F.col(f"`{c}`") for c in keep)), len(keep)
     else:
         hash_, turns_ = new_name(docs, "text_hash"), new_name(docs, "turns")
@@ -359,7 +401,7 @@ def replace_pii(docs: DataFrame, key: bytes, column: str = "text", most_broadcas
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.string(), pa.string()], strict=True)], names=[hash_, "kind", "canonical"])
 
         named = docs.select(F.col(column)).mapInArrow(mentions, f"{hash_} long, kind string, canonical string").distinct().join(again, ["kind", "canonical"])
-        per_text = named.groupBy(hash_).agg(F.collect_list(F.struct("kind", "canonical", "turn")).alias(turns_))  # no more than one text mentions
+        per_text = named.groupBy(hash_).agg(F.collect_list(F.struct("kind", "canonical", "turn", "gender")).alias(turns_))  # no more than one text mentions
 
         def hashed(batches):
             for batch in rows_of(batches, 2000):
@@ -373,7 +415,7 @@ def replace_pii(docs: DataFrame, key: bytes, column: str = "text", most_broadcas
             out, counts = [], []
             own = batch.column(width - 1).to_pylist() if turns is None else None
             for i, text in enumerate(batch.column(at).to_pylist()):
-                lookup = turns.value if turns is not None else {(t["kind"], t["canonical"]): t["turn"] for t in own[i] or []}
+                lookup = turns.value if turns is not None else {(t["kind"], t["canonical"]): (t["turn"], t["gender"]) for t in own[i] or []}
                 new, n = rewritten(text, key, lookup) if text else (text, 0)
                 out.append(new)
                 counts.append(n)

@@ -87,7 +87,7 @@ def test_one_of_each_class_by_all_pairs(stages):
 
 def test_surrogates_and_lengths(spark, stages):
     before, after = stages["personal_data"]
-    turns = {(r.kind, r.canonical): r.turn for r in pii.redrawn(frame(spark, before), queries.KEY).collect()}
+    turns = {(r.kind, r.canonical): (r.turn, r.gender) for r in pii.redrawn(frame(spark, before), queries.KEY).collect()}
     got = {r.doc_id: r for r in after}
     assert len(got) == len(before)
     for r in before:
