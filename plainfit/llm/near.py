@@ -241,9 +241,10 @@ def verified_links(docs: DataFrame, id_column: str, reps: DataFrame, edges: Data
     # Stored before it is joined, so that Spark can split the partition of a very large group.
     sizes = materialise(group.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "sizes")
     members = group.join(sizes, "component").join(reps.select("rep", "copies"), "rep")
-    # Rows that share a key share their text; they are one before they meet in a task.
-    texts = docs.select(row_key(id_column).alias("rep"), text_or_empty().alias("text")).groupBy("rep").agg(F.first("text").alias("text"))
-    texts = texts.join(members, "rep").select("rep", "component", "members", "copies", "text")
+    # Texts of candidates only: the semi-join is broadcast while these are few, and filters by a bloom filter before the
+    # shuffle where Spark finds that worth while.  Rows that share a key share their text; they are one before they meet in a task.
+    texts = docs.select(row_key(id_column).alias("rep"), text_or_empty().alias("text")).join(group.select("rep"), "rep", "left_semi")
+    texts = texts.groupBy("rep").agg(F.first("text").alias("text")).join(members, "rep").select("rep", "component", "members", "copies", "text")
 
     def with_sets(batches):
         for batch in rows_of(batches, 1000):
