@@ -95,32 +95,32 @@ def unsmall(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
 
 
-def bounds(parts: int) -> np.ndarray:
-    """The first hash of each of ``parts`` ranges but the first."""
-    return np.array([(k << 64) // parts for k in range(1, parts)], dtype=np.uint64)
+def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each n-gram: ``parts`` ranges of hashes of the same width."""
+    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def dealt(words: np.ndarray, sizes: np.ndarray, order: int, cuts: np.ndarray):
-    """For each order up to ``order``: it, the sorted distinct n-grams, which one ends at each place that has one, those places, their counts, and where each part begins and ends."""
+def dealt(words: np.ndarray, sizes: np.ndarray, order: int, parts: int):
+    """For each order up to ``order``: it, the sorted distinct n-grams, which one ends at each place that has one, those places, their counts, and their parts, which are sorted too."""
     for k in range(1, order + 1):
         hashes, there = grams(words, sizes, k)
         found, where, count = np.unique(hashes[there], return_inverse=True, return_counts=True)
-        yield k, found, where, there, count, [0, *np.searchsorted(found, cuts).tolist(), len(found)]
+        yield k, found, where, there, count, part_of(found, parts)
 
 
 def exploded(blocks: DataFrame, order: int, parts: int) -> DataFrame:
     """(part, block, gram, n): the distinct n-grams of each block, of all orders up to ``order``, and how often it holds them; all rows of a part are in one partition."""
-    cuts, names = bounds(parts), ["part", "block", "grams", "ns"]
+    names = ["part", "block", "grams", "ns"]
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 _, sizes, words = unpack(row)
-                for _, found, _, _, count, at in dealt(words, sizes, order, cuts):
-                    some = [p for p in range(parts) if at[p + 1] > at[p]]
-                    places = pa.array([0, *(at[p + 1] for p in some)], pa.int32())
+                for _, found, _, _, count, part in dealt(words, sizes, order, parts):
+                    begin = np.flatnonzero(np.diff(part, prepend=-1))  # of the parts that the block has n-grams of
+                    places = pa.array(np.append(begin, len(part)), pa.int32())
                     lists = [pa.ListArray.from_arrays(places, pa.array(x)) for x in (found.view(np.int64), count.astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([row["block"]] * len(some), pa.int64()), *lists], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(part[begin], pa.int32()), pa.array(np.full(len(begin), row["block"]), pa.int64()), *lists], names=names)
 
     packed = blocks.select("block", "ids", "sizes", "hashes", "words").mapInArrow(run, "part int, block long, grams array<long>, ns array<int>")
     return packed.repartition(max(1, parts // TASK_PARTS), "part").select("part", "block", F.inline(F.arrays_zip(F.col("grams").alias("gram"), F.col("ns").alias("n"))).alias("gram", "n"))
@@ -143,7 +143,6 @@ def backoff_scores(docs: DataFrame, order: int = 3, id_column: str = "doc_id") -
     total = blocks.agg(F.sum("n")).first()[0] or 0
     vocabulary = distinct_words(blocks)
     parts = max(1, math.ceil(total / PART_WORDS))
-    cuts = bounds(parts)
     counted = exploded(blocks, order, parts).withColumn("total", F.sum("n").over(Window.partitionBy("part", "gram")))
 
     def bundle(batches):
@@ -165,16 +164,17 @@ def backoff_scores(docs: DataFrame, order: int = 3, id_column: str = "doc_id") -
         ids, sizes, words = unpack(row)
         # A part's answers are those for the unigrams, bigrams and so on together, in order of their hashes.
         told = dict(zip(answers.column("part").to_pylist(), map(unsmall, answers.column("others").to_pylist()), strict=True))
-        asked = list(dealt(words, sizes, order, cuts))
+        asked = list(dealt(words, sizes, order, parts))
         elsewhere = [np.zeros(len(found), dtype=np.int64) for _, found, *_ in asked]
         for p, others in told.items():
-            own = np.concatenate([found[at[p] : at[p + 1]] for _, found, _, _, _, at in asked])
-            kind = np.repeat(np.arange(order), [at[p + 1] - at[p] for *_, at in asked])
+            at = [np.searchsorted(part, [p, p + 1]) for *_, part in asked]
+            own = np.concatenate([found[i:j] for (i, j), (_, found, *_) in zip(at, asked, strict=True)])
+            kind = np.repeat(np.arange(order), [j - i for i, j in at])
             by = np.argsort(own)
             mixed = np.empty(len(own), dtype=np.int64)
             mixed[by] = others
-            for k in range(order):
-                elsewhere[k][asked[k][5][p] : asked[k][5][p + 1]] = mixed[kind == k]
+            for k, (i, j) in enumerate(at):
+                elsewhere[k][i:j] = mixed[kind == k]
         owner = np.repeat(np.arange(len(ids)), sizes)
         place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         counts = {}
