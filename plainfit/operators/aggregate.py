@@ -119,25 +119,30 @@ def rank_models(perf: DataFrame, order: str = "model") -> DataFrame:
 
 
 def avg_rank(df: DataFrame, by: list[str], value: str, out: str = "rank") -> DataFrame:
-    """Ranks in which ties share their mean; nulls have none."""
-    known = F.col(value).isNotNull()
-    tie = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
-    return df.withColumn(out, F.when(known, F.rank().over(Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())) + (tie - 1) / 2))
+    """Ranks in which ties share their mean; nulls have none.
+
+    Ranks come from running counts of the distinct values of each group and are joined with the rows, so that a group
+    may be of any size.
+    """
+    keys = [f"__k{i}" for i in range(len(by))]
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    below = running(counts, "__v", "__c", "__below", by=keys)
+    ranks = below.select(*keys, "__v", (F.col("__below") + (F.col("__c") + 1) / 2).alias(out))
+    same = F.col(value) == F.col("__v")
+    for c, k in zip(by, keys, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    return df.drop(out).join(ranks, same, "left").drop(*keys, "__v")
 
 
 def pareto(df: DataFrame, lo: str, hi: str, by: list[str] | None = None) -> DataFrame:
     """Rows that no row with a smaller-or-equal ``lo`` reaches in ``hi``, one of equal ones by the sort order.
 
-    Rows are first thinned to the best ``hi`` of each distinct ``lo``, which a partial aggregate does, so the ordered
-    window runs over distinct values only; without groups it runs range by range.
+    Rows are first thinned to the best ``hi`` of each distinct ``lo`` of a group, which a partial aggregate does, and
+    the running maximum of those goes range by range, with groups or without.
     """
     by = by or []
     best = df.filter(F.col(lo).isNotNull() & F.col(hi).isNotNull()).groupBy(*by, lo).agg(F.max(hi).alias(hi))
-    if by:
-        before = F.max(hi).over(Window.partitionBy(*by).orderBy(lo).rowsBetween(Window.unboundedPreceding, -1))
-        best = best.withColumn("__b", before)
-    else:
-        best = running(best, lo, hi, "__b", "max")
+    best = running(best, lo, hi, "__b", "max", by)
     return best.filter(F.col("__b").isNull() | (F.col(hi) > F.col("__b"))).drop("__b")
 
 

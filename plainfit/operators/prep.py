@@ -33,8 +33,9 @@ def quantiles(df: DataFrame, cols: list[str], qs: list[float], approximate: bool
     if approximate:
         row = df.agg(*(F.percentile_approx(F.col(c), qs, 10_000).alias(c) for c in cols)).first()
         return {c: list(row[c]) if row[c] is not None else [None] * len(qs) for c in cols}
-    found = {c: exact_quantiles(df, c, qs).first() for c in cols}
-    return {c: list(r) if r is not None else [None] * len(qs) for c, r in found.items()}
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(i).alias("__at"), F.col(c).cast("double").alias("__value")) for i, c in enumerate(cols)))).alias("__e")).select("__e.*")
+    found = {cols[r[0]]: list(r)[1:] for r in exact_quantiles(long, "__value", qs, ["__at"]).collect()}  # a row for each column
+    return {c: found.get(c, [None] * len(qs)) for c in cols}
 
 
 @dataclass

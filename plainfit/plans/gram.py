@@ -54,38 +54,55 @@ class Moments:
         return Moments([self.names[k] for k in keep], self.center[[*keep, -1]], self.matrix[np.ix_(at, at)], self.rows)
 
 
+#: So many rows give the centers, which only have to be near the data.
+CENTER_ROWS = 512
+
+
 def _gram_table(df: DataFrame, cols: dict[str, Column], label: Column, by: list[str], weight: Column | None) -> tuple[DataFrame, np.ndarray, list[tuple[int, int]]]:
     """(by..., m array<double>, rows) with a row for each group, the centers, and the places of ``m``.
 
-    A first pass takes the means as centers, so that large offsets don't cancel; rows with a null or NaN are left out.
+    Moments are about the means of the first few rows, so that large offsets don't cancel; what is solved from them
+    doesn't depend on that choice.  Rows with a null or NaN are left out.
     """
     p = len(cols) + 1
     data = df.select(*by, *(c.cast("double").alias(f"__x{i}") for i, c in enumerate(cols.values())), label.cast("double").alias(f"__x{p - 1}"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("__w"))
     xs = [f"__x{i}" for i in range(p)]
-    data = data.filter(F.expr(" and ".join(f"{c} is not null and not isnan({c})" for c in [*xs, "__w"])))
-    first = data.agg(*(F.avg(c) for c in xs)).first()
-    center = np.array([x or 0.0 for x in first])
+    few = np.array([[np.nan if x is None else x for x in r] for r in data.select(*xs).limit(CENTER_ROWS).collect()], dtype=float).reshape(-1, p)
+    known = np.isfinite(few)
+    center = np.where(known, few, 0.0).sum(axis=0) / np.maximum(known.sum(axis=0), 1)
     pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
     if p <= MOST_PLAIN:
+        data = data.filter(F.expr(" and ".join(f"{c} is not null and not isnan({c})" for c in [*xs, "__w"])))
         value = [F.lit(1.0), *(F.col(c) - float(m) for c, m in zip(xs, center, strict=True))]
         sums = [F.coalesce(F.sum(F.col("__w") * value[i] * value[j]), F.lit(0.0)) for i, j in pairs]
         return data.groupBy(*by).agg(F.array(*sums).alias("m"), F.count(F.lit(1)).cast("double").alias("rows")), center, pairs
     kinds = T.StructType([*data.select(*by).schema, T.StructField("m", T.ArrayType(T.DoubleType())), T.StructField("rows", T.DoubleType())])
-    upper, names = np.triu_indices(p + 1), [*by, "m", "rows"]
+    upper, names, weighted = np.triu_indices(p + 1), [*by, "m", "rows"], weight is not None
 
     def partial(batches):
+        # Nulls come as NaN and are left out here, so that Spark works every column out once.
         sums: dict[tuple, list] = {}
         for batch in batches:
-            x = np.stack([np.ones(batch.num_rows), *(batch.column(c).to_numpy() - m for c, m in zip(xs, center, strict=True))], axis=1)
-            w, group = batch.column("__w").to_numpy(), np.zeros(batch.num_rows, dtype=np.int64)
+            x = np.empty((p + 1, batch.num_rows))
+            x[0] = 1.0
+            for i, (c, m) in enumerate(zip(xs, center, strict=True)):
+                np.subtract(batch.column(c).to_numpy(zero_copy_only=False), m, out=x[i + 1])
+            w = batch.column("__w").to_numpy(zero_copy_only=False)
+            keep = ~np.isnan(x.sum(axis=0) + w)
+            if not keep.all():  # infinities of either sign add up to NaN, but stay
+                keep = ~(np.isnan(x).any(axis=0) | np.isnan(w))
+            group, at = np.zeros(batch.num_rows, dtype=np.int64), np.flatnonzero(keep)
             for c in by:  # codes of the distinct keys, column by column
                 codes = batch.column(c).dictionary_encode(null_encoding="encode")
                 group = np.unique(group * len(codes.dictionary) + codes.indices.to_numpy(), return_inverse=True)[1]
-            order = np.argsort(group, kind="stable")
-            for at in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(order) else ():
-                key, part = tuple(batch.column(c)[int(at[0])].as_py() for c in by), x[at]
+            if by:
+                at = at[np.argsort(group[at], kind="stable")]
+            parts = np.split(at, np.flatnonzero(np.diff(group[at])) + 1) if by and len(at) else [at] if len(at) else []
+            for at in parts:
+                part = x if len(at) == batch.num_rows and not by else x[:, at]
+                key = tuple(batch.column(c)[int(at[0])].as_py() for c in by)
                 m, n = sums.get(key, (0, 0))
-                sums[key] = (m + (part * w[at, None]).T @ part, n + len(at))
+                sums[key] = (m + ((part * w[at]) if weighted else part) @ part.T, n + len(at))
         if sums:
             keys = [pa.array([k[i] for k in sums]).cast(batch.schema.field(b).type) for i, b in enumerate(by)]
             yield pa.RecordBatch.from_arrays([*keys, pa.array([m[upper].tolist() for m, _ in sums.values()], pa.list_(pa.float64())), pa.array([float(n) for _, n in sums.values()])], names=names)
