@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise, mix64, rows_of, shared_path, text_or_empty
 
-LENGTH, GRAM, STEP, BLOCK, BUCKET_ROWS, BUCKET_BYTES = 400, 64, 32, 1 << 21, 1_000_000, 1 << 26
+LENGTH, GRAM, STEP, BLOCK, BUCKET_ROWS, BUCKET_BYTES = 400, 64, 32, 1 << 19, 500_000, 1 << 26
 #: Window starts that are scanned at a time, and the bits that hold a place among them.
-SPAN, PLACE = 1 << 21, np.uint64((1 << 22) - 1)
+SPAN, PLACE = 1 << 19, np.uint64((1 << 22) - 1)
 #: ``spot`` holds the place of the anchor in its block, the greatest and the least distance of its windows' starts
 #: before it, and whether the block has the suffix more than once.
 DISTANCE = 15
