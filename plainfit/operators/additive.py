@@ -21,6 +21,14 @@ from .model import Term, TermModel, linear_model, number
 from .tree import ensemble
 
 
+def new_column(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to be new."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def smoothed(values: np.ndarray, passes: int = 3, middle: float = 0.6) -> np.ndarray:
     """Each pass mixes inner values with their neighbours; the ends stay."""
     side = (1 - middle) / 2
@@ -34,6 +42,33 @@ class ShapeModel(TermModel):
     """Lines and steps; the card shows steps as tables, by how far they move the prediction."""
 
     small: float = 0.01
+    #: Columns with more steps than this are scored by a search of their bounds instead of one comparison a step.
+    many: int = 32
+
+    def transform(self, df: DataFrame, out: str = "pred") -> DataFrame:
+        """The same as ``column``, but for long shapes: the place of a value among its column's bounds is found by halving.
+
+        Each halving is one projection over all such columns, so what a row costs grows with the logarithm of the
+        bounds, and everything stays in generated code.
+        """
+        steps: dict[str, list[Term]] = {}
+        for t in self.terms:
+            if t.kind == "step":
+                steps.setdefault(t.a, []).append(t)
+        long = {c: sorted(ts, key=lambda t: t.knot) for c, ts in steps.items() if len(ts) > self.many}
+        if not long:
+            return super().transform(df, out)
+        rest = TermModel([t for t in self.terms if t.kind != "step" or t.a not in long], self.intercept)
+        places = {c: new_column(df, f"place{i}") for i, c in enumerate(long)}
+        bounds = {c: F.lit([float(t.knot) for t in ts]) for c, ts in long.items()}
+        found = df.withColumns({p: F.lit(0) for p in places.values()})
+        halves = max(len(ts) for ts in long.values()).bit_length()
+        for step in (1 << k for k in reversed(range(halves))):
+            found = found.withColumns({p: F.col(p) + F.when(F.get(bounds[c], F.col(p) + (step - 1)) < F.col(f"`{c}`"), step).otherwise(0) for c, p in places.items()})
+        total = rest.column()
+        for c, ts in long.items():
+            total = total + F.get(F.lit(np.cumsum([0.0, *(float(t.coef) for t in ts)]).tolist()), F.col(places[c]))
+        return found.withColumn(out, total).drop(*places.values())
 
     def tables(self) -> dict[str, tuple[list[float], np.ndarray]]:
         """(bounds, values) of each column with steps, about the values' mean; the first value is up to the first bound."""
@@ -135,6 +170,59 @@ def stump_gam(df: DataFrame, cols: list[str], label: Column, held_out: Column, b
     return _finished(whole, f, passes, straight, least_share)
 
 
+def best_stump(b: Binned, counts: np.ndarray, rest: np.ndarray, min_leaf: float) -> tuple[slice, int, float, float] | None:
+    """(cells of a column, last cell on the left, means of both sides) of the split that explains most of ``rest``."""
+    best = None
+    for at in b.cells:
+        n, s = np.cumsum(counts[at])[:-1], np.cumsum(rest[at])[:-1]
+        right, total = counts[at].sum() - n, rest[at].sum()
+        ok = (n >= min_leaf) & (right >= min_leaf)
+        if ok.any():
+            gain = np.where(ok, s**2 / np.maximum(n, 1) + (total - s) ** 2 / np.maximum(right, 1), -1.0)
+            k = int(gain.argmax())
+            if best is None or gain[k] > best[0]:
+                best = gain[k], at, k, s[k] / n[k], (total - s[k]) / right[k]
+    return best and best[1:]
+
+
+def stochastic_gam(df: DataFrame, cols: list[str], label: Column, part: Column, held_out: Column, parts: int = 16, share: float = 0.5, bins: int = 32, rounds: int = 200, rate: float = 0.1, min_leaf: float = 5, passes: int = 0, seed: int = 42, edges: list[list[float]] | None = None) -> ShapeModel:
+    """Boosted stumps, each found on a random ``share`` of the rows, stopped by the rows where ``held_out`` holds.
+
+    ``part`` deals the rows to numbers from 0 to ``parts`` - 1 (a hash of their key modulo ``parts``).  One job makes a
+    table of each part; a round draws some parts and works on the sum of their tables, so no round reads the rows, and a
+    seed gives the same model however the rows are spread over tasks.
+    """
+    edges = edges_of(df, cols, bins) if edges is None else edges
+    found = binned(df, cols, label, edges, part.cast("int") + F.when(held_out, parts).otherwise(0))
+    train, valid = {k: b for k, b in found.items() if k < parts}, [b for k, b in found.items() if k >= parts]
+    if not train:
+        return ShapeModel([], 0.0)
+    valid = sum(valid[1:], start=valid[0]) if valid else None
+    whole = sum(list(train.values())[1:], start=next(iter(train.values())))
+    keys, middle, rng = sorted(train), whole.label_sum / whole.n, np.random.default_rng(seed)
+    counts = {k: np.diag(b.meet) for k, b in train.items()}
+    rest = {k: b.labels - middle * counts[k] for k, b in train.items()}
+    f = np.zeros(len(whole.labels))
+    best = (np.inf, 0, f)
+    for done in range(1, rounds + 1):
+        drawn = [keys[i] for i in rng.permutation(len(keys))[: max(1, round(share * len(keys)))]]
+        stump = best_stump(whole, sum(counts[k] for k in drawn), sum(rest[k] for k in drawn), min_leaf)
+        if stump:
+            at, k, left, right = stump
+            step = np.zeros(len(f))
+            step[at] = np.where(np.arange(at.stop - at.start) <= k, left, right) * rate
+            f = f + step
+            for k, b in train.items():
+                rest[k] = rest[k] - b.meet @ step
+        if valid is not None and done % 10 == 0:
+            error = valid.sse(f, middle)
+            if error < best[0]:
+                best = (error, done, f)
+            elif done - best[1] >= 20:
+                break
+    return _finished(whole, best[2] if best[1] else f, passes, None)
+
+
 def bin_gam(df: DataFrame, cols: list[str], label: Column, bins: int = 16, rounds: int = 50, passes: int = 0, straight: float | None = None) -> ShapeModel:
     """Backfitting: each column's shape is its bins' means of what the others leave, in turn until nothing moves."""
     parts = binned(df, cols, label, edges_of(df, cols, bins))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ..plans.order import running
 
 
 #: Arithmetic operations of a term beside its product with the coefficient and the sum.
-OPERATIONS = {"linear": 0, "hinge": 2, "step": 1, "square": 2, "kink": 2, "interact": 3, "gate": 2, "clipped": 2, "sin": 1, "decay": 3}
+OPERATIONS = {"linear": 0, "hinge": 2, "step": 1, "square": 2, "kink": 2, "interact": 3, "gate": 2, "clipped": 2, "sin": 1, "decay": 3, "spline": 12}
 
 
 def number(x: float) -> str:
@@ -22,7 +23,10 @@ def number(x: float) -> str:
 
 @dataclass(frozen=True)
 class Term:
-    """coef times a basis function: linear, hinge, step, square, kink, interact (about ``knot`` and ``high``), gate, clipped (to ``knot`` and ``high``), sin or decay."""
+    """coef times a basis function: linear, hinge, step, square, kink, interact (about ``knot`` and ``high``), gate, clipped (to ``knot`` and ``high``), sin, decay or spline.
+
+    A spline begins at ``knot``, has the degree ``direction`` and knots ``high`` apart, of the column held within ``bounds``.
+    """
 
     kind: str
     a: str
@@ -31,6 +35,28 @@ class Term:
     knot: float = 0.0
     direction: int = 1
     high: float = 0.0
+    bounds: tuple[float, float] | None = None
+
+    def _pieces(self, place, positive, power) -> object:
+        """The spline's sum of truncated powers, of Columns or of SQL; the place is held within its support."""
+        from .splines import pieces
+
+        return [(f, power(positive(place, k), self.direction)) for k, f in enumerate(pieces(self.direction))]
+
+    def _spline(self) -> Column:
+        x = F.greatest(F.least(F.col(self.a).cast("double"), F.lit(self.bounds[1])), F.lit(self.bounds[0]))
+        place = F.greatest(F.least((x - self.knot) / self.high, F.lit(self.direction + 1.0)), F.lit(0.0))
+        positive = lambda v, k: F.greatest(v - float(k), F.lit(0.0))
+        power = lambda v, d: F.pow(v, F.lit(float(d))) if d > 1 else v if d else (v > 0).cast("double")
+        parts = self._pieces(place, positive, power)
+        return F.when(F.col(self.a).isNotNull(), reduce(lambda a, b: a + b, [f * v for f, v in parts]))
+
+    def _spline_sql(self) -> str:
+        x = f'greatest(least("{self.a}", {number(self.bounds[1])}), {number(self.bounds[0])})'
+        place = f"greatest(least(({x} - {number(self.knot)}) / {number(self.high)}, {number(self.direction + 1)}), 0e0)"
+        positive = lambda v, k: f"greatest({v} - {number(k)}, 0e0)"
+        power = lambda v, d: f"power({v}, {d})" if d > 1 else v if d else f"CASE WHEN {v} > 0 THEN 1e0 ELSE 0e0 END"
+        return f'CASE WHEN "{self.a}" IS NOT NULL THEN ' + " + ".join(f"{number(f)} * {v}" for f, v in self._pieces(place, positive, power)) + " END"
 
     def column(self) -> Column:
         x, other = F.col(self.a), F.col(self.b) if self.b else None
@@ -45,9 +71,12 @@ class Term:
             "clipped": lambda: C.clip(x, self.knot, self.high),
             "sin": lambda: F.sin(x),
             "decay": lambda: F.exp(-F.abs(x)),
+            "spline": self._spline,
         }[self.kind]()
 
     def sql(self) -> str:
+        if self.kind == "spline":
+            return self._spline_sql()
         a, b, t, h = f'"{self.a}"', f'"{self.b}"', number(self.knot), number(self.high)
         return {
             "linear": a,
@@ -75,6 +104,7 @@ class Term:
             "clipped": f"{self.a} held in [{t}, {h}]",
             "sin": f"sin({self.a})",
             "decay": f"exp(-|{self.a}|)",
+            "spline": f"spline({self.a}, from {t})",
         }[self.kind]
 
 

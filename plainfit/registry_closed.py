@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import columns as C
+from .operators import additive as G
 from .operators import aggregate as A
 from .operators import formula as S
 from .operators import glm as M
 from .operators import inference as H
 from .operators import linear as L
 from .operators import prep as P
+from .operators import splines as N
 from .operators.model import effect_curve, honesty, probe, toggle_effect
 from .plans.gram import gram
 from .registry import HELD_OUT, ORACLES, QUERIES, READABLE, query, rounded, table
@@ -340,3 +343,64 @@ def smoothed_shape(spark, sf):
     shape = table(spark, sf, "lineitem").groupBy(F.col("l_quantity").cast("int").alias("bin")).agg(F.avg(Y).alias("value")).withColumn("feature", F.lit("quantity"))
     three, five = A.smooth(shape).select("bin", F.col("value").alias("three")), A.smooth_five(shape).select("bin", F.col("value").alias("five"))
     return rounded(three.join(five, "bin"), "three", "five", digits=4)
+
+
+# -- splines and shapes -----------------------------------------------------------------------------------------------
+
+#: Cubic pieces of a basis function by the distance u from where its support begins, in spaces between knots.
+CUBIC = "CASE WHEN u < 0 OR u >= 4 THEN 0 WHEN u < 1 THEN u * u * u / 6 WHEN u < 2 THEN (-3 * (u - 1) * (u - 1) * (u - 1) + 3 * (u - 1) * (u - 1) + 3 * (u - 1) + 1) / 6 WHEN u < 3 THEN (3 * (u - 2) * (u - 2) * (u - 2) - 6 * (u - 2) * (u - 2) + 4) / 6 ELSE (4 - u) * (4 - u) * (4 - u) / 6 END"
+
+
+@query(
+    f"WITH r AS (SELECT *, row_number() OVER () AS r FROM lineitem), d AS (SELECT r, l_orderkey, l_linenumber, j, (least(greatest(l_quantity, 5), 45) - 5) / 8e0 - (j - 3) AS u FROM r CROSS JOIN range(8) t(j)), b AS (SELECT r, l_orderkey, l_linenumber, j, {CUBIC} AS v FROM d)"
+    " SELECT any_value(l_orderkey) AS l_orderkey, any_value(l_linenumber) AS l_linenumber, round(max(v) FILTER (j = 0), 8) AS first, round(max(v) FILTER (j = 4), 8) AS fifth, round(max(v) FILTER (j = 7), 8) AS last, round(sum(v), 8) AS total FROM b GROUP BY r"
+)
+def spline_bases(spark, sf):
+    """Three of eight cubic basis functions over quantities from 5 to 45, and what all add up to."""
+    terms = N.bases("l_quantity", 5.0, 45.0, 8)
+    out = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", terms[0].column().alias("first"), terms[4].column().alias("fifth"), terms[7].column().alias("last"), sum((t.column() for t in terms[1:]), terms[0].column()).alias("total"))
+    return rounded(out, "first", "fifth", "last", "total", digits=8)
+
+
+@query("SELECT l_linenumber, round(avg(l_extendedprice), 3) AS pred FROM lineitem GROUP BY 1")
+def spline_lines(spark, sf):
+    """Splines without penalty, as many as there are line numbers, go through the means."""
+    rows = table(spark, sf, "lineitem")
+    model = N.spline_gam(rows, ["l_linenumber"], F.col(Y), 7, 3, (0.0,))
+    return rounded(model.transform(rows).groupBy("l_linenumber").agg(F.max("pred").alias("pred")), "pred", digits=3)
+
+
+GIVEN = N.SplineModel([N.Term("spline", "l_quantity", float(10 * (-1) ** j * (j + 1)), knot=t.knot, direction=t.direction, high=t.high, bounds=t.bounds) for j, t in enumerate(N.bases("l_quantity", 1.0, 50.0, 6, 2))], 7.0)
+
+
+@query(f"SELECT l_orderkey, l_linenumber, round({GIVEN.sql()}, 6) AS pred FROM lineitem")
+def spline_scores(spark, sf):
+    return rounded(GIVEN.transform(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")).select("l_orderkey", "l_linenumber", "pred"), "pred")
+
+
+DRAWN = sorted(np.random.default_rng(42).permutation(8)[:4].tolist())
+
+
+@query(
+    f"WITH m AS (SELECT avg({Y}) AS m FROM lineitem), g AS (SELECT l_linenumber AS b, count(*) AS n, sum({Y} - m) AS s FROM lineitem, m WHERE l_orderkey % 8 IN ({', '.join(map(str, DRAWN))}) GROUP BY 1),"
+    " c AS (SELECT b, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER () AS n, sum(s) OVER () AS s FROM g WINDOW w AS (ORDER BY b)), k AS (SELECT arg_max(b, sl * sl / nl + (s - sl) * (s - sl) / (n - nl)) AS b FROM c WHERE nl >= 5 AND n - nl >= 5),"
+    " f AS (SELECT c.b, sl / nl AS l, (s - sl) / (n - nl) AS r FROM c JOIN k ON c.b = k.b), e AS (SELECT avg(CASE WHEN l_linenumber <= f.b THEN l ELSE r END) AS e FROM lineitem, f)"
+    " SELECT l_linenumber, round(any_value(m + CASE WHEN l_linenumber <= f.b THEN l ELSE r END - e), 4) AS pred FROM lineitem, m, f, e GROUP BY 1"
+)
+def subsampled_stump(spark, sf):
+    """The first round of boosting on half of the rows' parts, in full."""
+    rows = table(spark, sf, "lineitem")
+    model = G.stochastic_gam(rows, ["l_linenumber"], F.col(Y), F.col("l_orderkey") % 8, F.lit(False), 8, 0.5, rounds=1, rate=1.0, edges=[[float(k) for k in range(1, 7)]])
+    return rounded(model.transform(rows).groupBy("l_linenumber").agg(F.max("pred").alias("pred")), "pred", digits=4)
+
+
+STEPS = G.ShapeModel([N.Term("step", "l_extendedprice", float((i * 37) % 101 - 50), knot=100.0 * i + 50) for i in range(1000)] + [N.Term("linear", "l_quantity", 2.0)], 3.0)
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, round(3 + 2 * l_quantity + coalesce((SELECT sum((i * 37) % 101 - 50) FROM range(1000) t(i) WHERE l_extendedprice > 100 * i + 50), 0), 6) AS pred FROM lineitem"
+)
+def long_shape_scores(spark, sf):
+    """A shape of a thousand steps, found by halving."""
+    return rounded(STEPS.transform(table(spark, sf, "lineitem")).select("l_orderkey", "l_linenumber", "pred"), "pred")
+
