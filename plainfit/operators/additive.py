@@ -223,12 +223,8 @@ def stochastic_gam(df: DataFrame, cols: list[str], label: Column, part: Column,
     return _finished(whole, best[2] if best[1] else f, passes, None)
 
 
-def bin_gam(df: DataFrame, cols: list[str], label: Column, bins: int = 16, rounds: int = 50, passes: int = 0, straight: float | None = None) -> ShapeModel:
-    """Backfitting: each column's shape is its bins' means of what the others leave, in turn until nothing moves."""
-    parts = binned(df, cols, label, edges_of(df, cols, bins))
-    if not parts:
-        return ShapeModel([], 0.0)
-    b = parts[0]
+def backfitted(b: Binned, rounds: int = 50) -> np.ndarray:
+    """Cell values: each column's bins' means of what the others leave, in turn until nothing moves."""
     counts, f = np.diag(b.meet), np.zeros(len(b.labels))
     base = b.labels - b.label_sum / b.n * counts
     for _ in range(rounds):
@@ -241,7 +237,16 @@ def bin_gam(df: DataFrame, cols: list[str], label: Column, bins: int = 16, round
             moved, f[at] = max(moved, float(np.abs(new - f[at]).max())), new
         if moved < 1e-9 * max(1.0, float(np.abs(f).max())):
             break
-    return _finished(b, f, passes, straight)
+    return f
+
+
+def bin_gam(df: DataFrame, cols: list[str], label: Column, bins: int = 16, rounds: int = 50, passes: int = 0, straight: float | None = None) -> ShapeModel:
+    """Backfitting: each column's shape is its bins' means of what the others leave, in turn until nothing moves."""
+    parts = binned(df, cols, label, edges_of(df, cols, bins))
+    if not parts:
+        return ShapeModel([], 0.0)
+    b = parts[0]
+    return _finished(b, backfitted(b, rounds), passes, straight)
 
 
 def _finished(b: Binned, f: np.ndarray, passes: int, straight: float | None, least_share: float = 0.0) -> ShapeModel:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dist
 from ..plans.gram import MOST_GROUPS, Moments, gram
-from ..plans.order import running, value_ranks
+from ..plans.order import running
 from .linear import ols
 
 
@@ -185,8 +185,14 @@ def chi2_contingency(df: DataFrame, a: str, b: str, correction: bool = True) ->
     return Test(float(x), d, dist.chi2_sf(x, d))
 
 
-def anova_oneway(df: DataFrame, value: str, group: str) -> Test:
-    """F of the groups' means; the groups' moments are summed up in Spark, however many there are."""
+def anova_oneway(df: DataFrame | None, value: str, group: str, moments: dict | None = None) -> Test:
+    """F of the groups' means; the groups' moments are summed up in Spark, however many there are, or given (by ``group_moments``)."""
+    if moments is not None:
+        n, k = sum(m[0] for m in moments.values()), len(moments)
+        middle = sum(m[0] * m[1] for m in moments.values()) / n
+        within = sum((m[0] - 1) * m[2] for m in moments.values())
+        f = sum(m[0] * (m[1] - middle) ** 2 for m in moments.values()) / (k - 1) / (within / (n - k))
+        return Test(f, n - k, dist.f_sf(f, k - 1, n - k))
     by = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("v"))
     r = by.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * F.col("m")).alias("s"), F.sum((F.col("n") - 1) * F.col("v")).alias("within")).first()
     between = by.agg(F.sum(F.col("n") * F.pow(F.col("m") - r.s / r.n, 2)).alias("b")).first().b
@@ -227,11 +233,15 @@ def pearson(df: DataFrame, x: str, y: str) -> Test:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> Test:
-    """Correlation of average ranks, from the counts of the distinct pairs of values."""
-    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("c"))
-    known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranks = [value_ranks(known.select(F.col(c).alias(n)), n).select(n, F.col("rank").alias(f"r{n}")) for c, n in ((x, "x"), (y, "y"))]
-    m = gram(pairs.join(ranks[0], "x").join(ranks[1], "y"), {"x": F.col("rx")}, F.col("ry"), weight=F.col("c"))[()]
+    """Correlation of average ranks, from the counts of the distinct pairs of values; one job ranks both columns."""
+    known = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x is not null and y is not null")
+    pairs = known.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
+    both = F.explode(F.array(*(F.struct(F.lit(i).alias("which"), F.col(c).alias("v")) for i, c in enumerate("xy"))))
+    counts = pairs.select("c", both.alias("e")).groupBy("e.which", "e.v").agg(F.sum("c").alias("c"))
+    ranks = running(counts, "v", "c", "below", by=["which"]).withColumn("rank", F.col("below") + (F.col("c") + 1) / 2)
+    for i, c in enumerate("xy"):
+        pairs = pairs.join(ranks.filter(F.col("which") == i).select(F.col("v").alias(c), F.col("rank").alias(f"r{c}")), c)
+    m = gram(pairs, {"x": F.col("rx")}, F.col("ry"), weight=F.col("c"))[()]
     _, s, c, yy, _ = m.centered()
     r = float(c[0] / math.sqrt(s[0, 0] * yy))
     t = r * math.sqrt((m.n - 2) / max(1e-300, 1 - r**2))

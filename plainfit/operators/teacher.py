@@ -203,12 +203,20 @@ def blended(label: Column, teachers: dict[str, float], alpha: float) -> Column:
 
 
 def cross_validated_error(df: DataFrame, fit: Callable[[DataFrame], object], label: Column, fold: Column, k: int) -> DataFrame:
-    """(fold, n, rmse): each fold is scored by what ``fit`` learns on the others."""
+    """(fold, n, rmse): each fold is scored by what ``fit`` learns on the others.
+
+    Models that are a Column score all folds in one pass, each row by its own fold's model.
+    """
     parts = df.withColumn("__fold", fold.cast("int"))
+    models = [fit(parts.filter(F.col("__fold") != i)) for i in range(k)]
+    error = lambda pred: (F.count(pred).alias("n"), F.sqrt(F.avg(F.pow(label - F.col(pred), 2))).alias("rmse"))
+    if all(hasattr(m, "column") for m in models):
+        pred = F.coalesce(*(F.when(F.col("__fold") == i, m.column()) for i, m in enumerate(models)))
+        scored = parts.withColumn("__pred", pred).groupBy(F.col("__fold").alias("fold")).agg(*error("__pred"))
+        return df.sparkSession.range(k).select(F.col("id").cast("int").alias("fold")).join(scored, "fold", "left").select("fold", F.coalesce("n", F.lit(0)).alias("n"), "rmse")
     out = None
-    for i in range(k):
-        scored = fit(parts.filter(F.col("__fold") != i)).transform(parts.filter(F.col("__fold") == i), "__pred")
-        one = scored.agg(F.lit(i).alias("fold"), F.count("__pred").alias("n"), F.sqrt(F.avg(F.pow(label - F.col("__pred"), 2))).alias("rmse"))
+    for i, m in enumerate(models):
+        one = m.transform(parts.filter(F.col("__fold") == i), "__pred").agg(F.lit(i).alias("fold"), *error("__pred"))
         out = one if out is None else out.unionByName(one)
     return out
 

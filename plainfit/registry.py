@@ -276,7 +276,7 @@ def price_tests(spark, sf):
     rows, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
     args = ("l_extendedprice", "l_returnflag", "A", "R")
     groups = H.group_moments(rows, *args[:2])
-    found = {"student": H.ttest_ind(None, *args, moments=groups), "welch": H.ttest_ind(None, *args, equal_var=False, moments=groups), "anova": H.anova_oneway(rows, *args[:2]), "pearson": H.pearson(rows, "l_quantity", "l_discount"), "spearman": H.spearman(rows, "l_quantity", "l_discount"), "mann_whitney": H.mann_whitney(rows, "l_quantity", "l_returnflag", "A", "R"), "chi2": H.chi2_contingency(orders, "o_orderpriority", "o_orderstatus")}
+    found = {"student": H.ttest_ind(None, *args, moments=groups), "welch": H.ttest_ind(None, *args, equal_var=False, moments=groups), "anova": H.anova_oneway(None, *args[:2], moments=groups), "pearson": H.pearson(rows, "l_quantity", "l_discount"), "spearman": H.spearman(rows, "l_quantity", "l_discount"), "mann_whitney": H.mann_whitney(rows, "l_quantity", "l_returnflag", "A", "R"), "chi2": H.chi2_contingency(orders, "o_orderpriority", "o_orderstatus")}
     out = [(k, round(float(t.statistic), 6), round(float(t.df), 4)) for k, t in found.items()] + [("cohen", round(H.cohens_d(None, *args, moments=groups), 6), None)]
     return spark.createDataFrame(out, "test string, statistic double, df double")
 

@@ -11,11 +11,14 @@ from .operators import additive as G
 from .operators import aggregate as A
 from .operators import formula as S
 from .operators import glm as M
+from .operators import grid as Q
 from .operators import inference as H
 from .operators import linear as L
 from .operators import prep as P
 from .operators import splines as N
-from .operators.model import effect_curve, honesty, probe, toggle_effect
+from .operators import teacher as E
+from .operators import tree as R
+from .operators.model import effect_curve, honesty, linear_model, probe, toggle_effect
 from .plans.gram import gram
 from .registry import HELD_OUT, ORACLES, QUERIES, READABLE, query, rounded, table
 from .registry_more import THREE
@@ -404,3 +407,48 @@ def long_shape_scores(spark, sf):
     """A shape of a thousand steps, found by halving."""
     return rounded(STEPS.transform(table(spark, sf, "lineitem")).select("l_orderkey", "l_linenumber", "pred"), "pred")
 
+
+# -- grids and trees --------------------------------------------------------------------------------------------------
+
+QUARTERS = "CASE WHEN l_quantity <= 12 THEN 0 WHEN l_quantity <= 25 THEN 1 WHEN l_quantity <= 38 THEN 2 ELSE 3 END"
+
+
+@query(
+    f"WITH r AS (SELECT l_returnflag AS d, {HELD_OUT} AS t, {X} AS x, {QUARTERS} AS q, {Y} AS y FROM lineitem), f AS (SELECT d, avg(y) AS m, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM r WHERE NOT t GROUP BY 1), g AS (SELECT d, q, avg(y) AS m FROM r WHERE NOT t GROUP BY 1, 2),"
+    " e AS (SELECT r.d, count(*) AS n, sqrt(avg(power(y - a - b * x, 2))) AS line, sqrt(avg(power(y - f.m, 2))) AS mean, sqrt(avg(power(y - g.m, 2))) AS bins FROM r JOIN f ON f.d = r.d JOIN g ON g.d = r.d AND g.q = r.q WHERE t GROUP BY 1)"
+    " SELECT d AS dataset, 'line' AS model, n, round(line, 4) AS rmse FROM e UNION ALL SELECT d, 'mean', n, round(mean, 4) FROM e UNION ALL SELECT d, 'bins', n, round(bins, 4) FROM e"
+)
+def grid_errors(spark, sf):
+    """Three models on three datasets, from one moment job and one binned job."""
+    rows = table(spark, sf, "lineitem")
+    found = Q.moment_grid(rows, "l_returnflag", F.expr(HELD_OUT), [X], F.col(Y), {"line": L.ols, "mean": lambda m: L.ols(m, [])}, {"bins": Q.bin_means}, edges=[[12.0, 25.0, 38.0]])
+    return rounded(found.select("dataset", "model", "n", "rmse"), "rmse", digits=4)
+
+
+@query(
+    f"WITH r AS (SELECT l_orderkey % 4 AS f, {X} AS x, {Y} AS y FROM lineitem), m AS (SELECT k AS f, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM r CROSS JOIN range(4) t(k) WHERE r.f <> k GROUP BY 1)"
+    " SELECT CAST(r.f AS INTEGER) AS fold, count(*) AS n, round(sqrt(avg(power(y - a - b * x, 2))), 4) AS rmse FROM r JOIN m ON m.f = r.f GROUP BY 1"
+)
+def fold_errors(spark, sf):
+    rows = table(spark, sf, "lineitem")
+    fit = lambda d: linear_model(L.ols(gram(d, {X: F.col(X)}, F.col(Y))[()]))
+    return rounded(E.cross_validated_error(rows, fit, F.col(Y), F.col("l_orderkey") % 4, 4), "rmse", digits=4)
+
+
+@query(
+    "WITH g AS (SELECT l_linenumber AS b, count(*) AS n, sum(l_quantity) AS s FROM lineitem GROUP BY 1), c AS (SELECT b, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER () AS n, sum(s) OVER () AS s FROM g WINDOW w AS (ORDER BY b)),"
+    " k AS (SELECT arg_max(b, sl * sl / nl + (s - sl) * (s - sl) / (n - nl)) AS b FROM c WHERE nl < n), f AS (SELECT c.b, s / n AS root, sl / nl AS l, (s - sl) / (n - nl) AS r, n FROM c JOIN k ON c.b = k.b),"
+    " t AS (SELECT b, avg(l_tax) FILTER (l_linenumber <= b) AS l, avg(l_tax) FILTER (l_linenumber > b) AS r FROM lineitem, f GROUP BY 1)"
+    " SELECT 'shrunk' AS kind, l_linenumber, round(any_value(root + (CASE WHEN l_linenumber <= f.b THEN f.l ELSE f.r END - root) / (1 + 500 / n)), 6) AS value FROM lineitem, f GROUP BY 2"
+    " UNION ALL SELECT 'recalibrated', l_linenumber, round(any_value(CASE WHEN l_linenumber <= f.b THEN t.l ELSE t.r END), 6) FROM lineitem, f, t GROUP BY 2"
+    " UNION ALL SELECT 'pruned', l_linenumber, round(any_value(root), 6) FROM lineitem, f GROUP BY 2"
+)
+def tuned_stump(spark, sf):
+    """A tree of one split, shrunk, recalibrated on another label, and pruned to its root."""
+    rows = table(spark, sf, "lineitem")
+    tree = R.fit_tree(rows, ["l_linenumber"], F.col("l_quantity"), max_depth=1)
+    out = None
+    for kind, made in (("shrunk", R.shrink(tree, 500.0)), ("recalibrated", R.recalibrate(tree, rows, F.col("l_tax"))), ("pruned", R.prune_ccp(tree, 1e9))):
+        one = made.transform(rows).groupBy("l_linenumber").agg(F.max("pred").alias("value")).select(F.lit(kind).alias("kind"), "l_linenumber", F.round("value", 6).alias("value"))
+        out = one if out is None else out.unionByName(one)
+    return out
