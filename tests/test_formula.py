@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plainfit import registry_closed
+from plainfit import registry_wide
 from plainfit.operators import formula as S
 from plainfit.operators import glm as M
 from plainfit.operators import inference as H
@@ -167,7 +167,7 @@ def test_negative_binomial_likelihood(spark):
     assert flat.dispersion == 0.0 and flat.dispersion_se is None
 
 
-CLOSED = [n for n in registry_closed.QUERIES if registry_closed.QUERIES[n].__module__ == "plainfit.registry_closed" and n in registry_closed.ORACLES]
+CLOSED = [n for n, f in registry_wide.QUERIES.items() if f.__module__ in ("plainfit.registry_closed", "plainfit.registry_wide") and n in registry_wide.ORACLES]
 
 
 @pytest.mark.parametrize("name", CLOSED)
@@ -175,8 +175,8 @@ def test_closed_forms_equal_sql(spark, name):
     con = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):
         con.sql(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
-    want = con.sql(registry_closed.ORACLES[name])
-    got = registry_closed.QUERIES[name](spark, SF)
+    want = con.sql(registry_wide.ORACLES[name])
+    got = registry_wide.QUERIES[name](spark, SF)
     assert sorted(got.columns) == sorted(want.columns)
     columns = sorted(got.columns)
     mine = sorted(map(tuple, got.select(columns).collect()), key=repr)
