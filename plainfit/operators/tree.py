@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..plans.bins import binned, edges_of
 from ..plans.gram import gram
-from ..sources.scratch import shared_path
+from ..sources.scratch import materialise, shared_path
 from .linear import corr_with, lasso_cv, ridge, ridge_gcv, top_by_correlation
 from .model import Term, TermModel, linear_model, number
 
@@ -219,6 +220,55 @@ def distilled_tree(df: DataFrame, cols: list[str], label: Column, held_out: Colu
     return shrink(recalibrate(tree, every, F.col("__label")) if fit_on_labels else tree, best[1])
 
 
+def noisy_copies(df: DataFrame, cols: list[str], key: list[str], copies: int, noise: float, seed: int = 42) -> DataFrame:
+    """Each row and ``copies`` more with normal noise of ``noise`` deviations on ``cols``; ``__copy`` tells them apart, 0 is the row itself.
+
+    The noise comes from a hash of key, copy and column, so it is the same however the rows are spread.
+    """
+    row = df.agg(*(F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols))).first()
+    out = df.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(copies))))
+
+    def uniform(i: int, which: int) -> Column:
+        return (F.pmod(F.xxhash64(*key, "__copy", F.lit(i), F.lit(which), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+    shaken = {c: F.col(c) + noise * float(row[f"s{i}"] or 0.0) * F.sqrt(-2 * F.log(uniform(i, 0))) * F.cos(2 * math.pi * uniform(i, 1)) for i, c in enumerate(cols)}
+    return out.withColumns({c: F.when(F.col("__copy") == 0, F.col(c)).otherwise(x) for c, x in shaken.items()})
+
+
+def distilled_by_folds(df: DataFrame, cols: list[str], label: Column, fold: Column, k: int, key: list[str], alpha: float = 0.5, leaves: tuple[int, ...] = (4, 8, 12, 16, 20), strengths: tuple[float, ...] = (0.0, 1.0, 10.0, 50.0), depth: int = 6, trees: int = 50, copies: int = 0, noise: float = 0.1, rounds: int = 1) -> tuple[Tree, DataFrame]:
+    """A distilled tree whose leaves and shrinkage have the least error over ``fold``, and (leaves, strength, fold, n, rmse) of all that were tried.
+
+    The teachers of a fold, a forest and a booster, see the other folds only.  A student learns ``alpha`` of their mean
+    and the rest of the label; noisy copies of the rows, of which there are ``copies``, learn what the teachers say.  In
+    each further round the next student learns the mean of the last target and what the last student says.  Trees of all
+    budgets come from one fit a round, and one pass over the rows scores the trees of all folds.
+    """
+    data = df.select(*dict.fromkeys([*cols, *key]), label.cast("double").alias("__label"), fold.cast("int").alias("__fold"))
+    data = data.withColumns({c: F.col(c).cast("double") for c in cols}).na.drop(subset=[*cols, "__label"])
+
+    def student(rows: DataFrame) -> Tree:
+        said = [TreeSum(*ensemble(rows, cols, F.col("__label"), kind, n, d)).column() for kind, n, d in (("rf", trees, 5), ("gbt", 2 * trees, 3))]
+        rows = noisy_copies(rows, cols, key, copies, noise) if copies else rows.withColumn("__copy", F.lit(0))
+        rows = rows.withColumn("__said", (said[0] + said[1]) / 2)
+        target = F.when(F.col("__copy") == 0, alpha * F.col("__said") + (1 - alpha) * F.col("__label")).otherwise(F.col("__said"))
+        rows = materialise(rows.withColumn("__target", target).select(*cols, "__target"), "distil")
+        tree = fit_tree(rows, cols, F.col("__target"), depth)
+        for _ in range(rounds - 1):
+            rows = materialise(rows.withColumn("__target", (F.col("__target") + tree.column()) / 2), "distil")
+            tree = fit_tree(rows, cols, F.col("__target"), depth)
+        return tree
+
+    grown = [student(data.filter(F.col("__fold") != i)) for i in range(k)]
+    tried = [(n, s) for n in leaves for s in strengths]
+    pred = [F.coalesce(*(F.when(F.col("__fold") == i, shrink(pruned_to(t, n), s).column()) for i, t in enumerate(grown))) for n, s in tried]
+    found = data.groupBy("__fold").agg(F.count("__label").alias("n"), *(F.avg(F.pow(F.col("__label") - p, 2)).alias(f"e{j}") for j, p in enumerate(pred))).filter(F.col("__fold").between(0, k - 1)).collect()  # a row for each fold
+    surface = [(n, s, r["__fold"], r.n, r[f"e{j}"] ** 0.5) for r in found for j, (n, s) in enumerate(tried)]
+    total = {t: sum(r.n * r[f"e{j}"] for r in found) for j, t in enumerate(tried)}
+    best = min(tried, key=lambda t: (total[t], t))
+    tree = shrink(pruned_to(student(data), best[0]), best[1])
+    return tree, df.sparkSession.createDataFrame(surface, "leaves int, strength double, fold int, n long, rmse double")
+
+
 @dataclass
 class ModelTree:
     """A tree with a linear equation in the leaves that have one."""
