@@ -9,13 +9,15 @@ from .functions.columns import fourier
 from .operators import additive as G
 from .operators import aggregate as A
 from .operators import board as B
+from .operators import curated
 from .operators import linear as L
 from .operators import prep as P
 from .operators import teacher as E
 from .operators import tree as R
 from .plans.gram import gram
-from .registry import HELD_OUT, QUERIES, READABLE, query, rounded, table
+from .registry import FEATURES, HELD_OUT, QUERIES, READABLE, query, rounded, table
 from .registry_closed import ORACLES
+from .registry_more import KEY, _register
 from .sources import tables as S
 from .sources.scratch import shared_path
 
@@ -250,3 +252,36 @@ def parsed_conclusions(spark, sf):
     said = F.concat(F.lit("So I think {\"response\": "), (F.col("c_custkey") % 101).cast("string"), F.lit(", \"explanation\": \""), "c_mktsegment", F.lit("\"} is it."))
     rows = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 > 0, said).otherwise("no answer").alias("text"))
     return B.parse_conclusions(rows).select("c_custkey", "response", "explanation", "parse_error")
+
+
+# -- named models -----------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"WITH q AS (SELECT quantile_cont({X}, 0.01) AS lo, quantile_cont({X}, 0.99) AS hi FROM lineitem), x AS (SELECT least(greatest({X}, lo), hi) AS x, {SMALL} AS y FROM lineitem, q)"
+    " SELECT round(regr_slope(y, x), 8) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(any_value(lo), 6) AS low, round(any_value(hi), 6) AS high FROM x, q"
+)
+def winsorized_sparse_line(spark, sf):
+    """The named model on one column."""
+    rows = table(spark, sf, "lineitem")
+    model = curated.winsorized_sparse_ols(rows, [X], F.expr(SMALL), ["l_orderkey", "l_linenumber"])
+    t = model.terms[0]
+    return spark.createDataFrame([(round(t.coef, 8), round(float(model.intercept), 6), round(t.knot, 6), round(t.high, 6))], "slope double, intercept double, low double, high double")
+
+
+@query(
+    f"WITH g AS (SELECT l_linenumber AS b, count(*) AS n, sum({Y}) AS s FROM lineitem GROUP BY 1), c AS (SELECT b, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER () AS n, sum(s) OVER () AS s FROM g WINDOW w AS (ORDER BY b)),"
+    " r AS (SELECT arg_max(b, sl * sl / nl + (s - sl) * (s - sl) / (n - nl)) AS b FROM c WHERE nl < n), h AS (SELECT g.b, n, s, g.b <= r.b AS side FROM g, r),"
+    " d AS (SELECT b, side, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER (PARTITION BY side) AS n, sum(s) OVER (PARTITION BY side) AS s FROM h WINDOW w AS (PARTITION BY side ORDER BY b)),"
+    " k AS (SELECT side, arg_max(b, sl * sl / nl + (s - sl) * (s - sl) / (n - nl)) AS b FROM d WHERE nl < n GROUP BY 1)"
+    " SELECT h.b AS l_linenumber, round(sum(s) OVER (PARTITION BY h.side, h.b <= coalesce(k.b, 99)) / sum(n) OVER (PARTITION BY h.side, h.b <= coalesce(k.b, 99)), 4) AS pred FROM h LEFT JOIN k ON k.side = h.side"
+)
+def tiny_tree_lines(spark, sf):
+    """The named tree of four leaves on the line numbers."""
+    rows = table(spark, sf, "lineitem")
+    tree = curated.tiny_tree(rows, ["l_linenumber"], F.col(Y))
+    return rounded(tree.transform(rows).groupBy("l_linenumber").agg(F.max("pred").alias("pred")), "pred", digits=4)
+
+
+for _name in ("dual_path_sparse_symbolic", "teacher_student_rule_spline", "distilled_tree_blend_atlas"):
+    _register(f"{_name}_error", lambda rows, y, f=curated.MODELS[_name]: f(rows, FEATURES, y, KEY, trees=10))
