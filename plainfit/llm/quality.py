@@ -41,7 +41,7 @@ def features(token: str) -> tuple[int, int]:
     return xxhash.xxh3_64_intdigest("w" + token.lower()) % BUCKETS, xxhash.xxh3_64_intdigest("s" + shape(token)) % BUCKETS
 
 
-_features = Memo(features, 200_000)
+_features = Memo(features, 50_000)
 AGAIN = xxhash.xxh3_64_intdigest("again") % BUCKETS
 
 

@@ -73,7 +73,7 @@ class ByteBpe:
     _cut = re.compile(r"(?<=\S)(?= )")
     _odd = re.compile(r"\s ")
 
-    def __init__(self, raw: bytes, limit: int = 400_000):
+    def __init__(self, raw: bytes, limit: int = 150_000):
         spec = json.loads(raw)
         model, back = spec["model"], {c: b for b, c in enumerate(printable_bytes())}
         self.whole = Tokenizer.from_str(raw.decode())

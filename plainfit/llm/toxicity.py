@@ -39,7 +39,7 @@ def buckets(word: str) -> tuple[int, ...]:
     return own, *(xxhash.xxh3_64_intdigest(f"{word[:k]}-") % BUCKETS if len(word) >= k else own for k in STEMS)
 
 
-_buckets = Memo(buckets, 200_000)
+_buckets = Memo(buckets, 50_000)
 
 
 def sentences(text: str) -> list[list[str]]:
