@@ -12,7 +12,7 @@ from plainfit.operators import aggregate as A
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["board_leaderboard", "board_leaderboard_complete", "combined_board"])
+@pytest.mark.parametrize("name", ["board_leaderboard", "board_leaderboard_complete", "combined_board", "frontier_flags"])
 def test_board_of_wavering_errors(spark, monkeypatch, name):
     plain, waver = A.rmse, F.udf(lambda v: v * (1 + random.random() * 1e-12), "double").asNondeterministic()
     monkeypatch.setattr(A, "rmse", lambda *args: plain(*args).withColumn("rmse", waver("rmse")))
